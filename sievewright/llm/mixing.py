@@ -104,8 +104,8 @@ def mix(sizes: DataFrame, targets: DataFrame, seed: int = 11) -> DataFrame:
     while True:
         last = deepest <= 1
 
-        def round_block(key: tuple, part: pd.DataFrame, last=last, level=level) -> pd.DataFrame:
-            part = part.sort_values(["doc_id", "tokens"], kind="stable")
+        def round_block(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+            part = part.sort_values(["tokens", "doc_id"], ascending=[False, True], kind="stable")  # what stays over is small
             import zlib
 
             number = zlib.crc32(repr((seed, level, str(key[0]), int(key[1]))).encode())

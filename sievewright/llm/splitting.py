@@ -11,8 +11,6 @@ summed; the best assignment of all rounds is kept.  Only these sums reach the dr
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,14 +23,14 @@ from .samples import with_entity
 BLOCK = 2048
 ROUNDS = 4
 CHAINS = 4
-STEPS = 6000
+STEPS = 12000
 
 
-def anneal(weights: np.ndarray, start: np.ndarray, goal: np.ndarray, seed: int, steps: int, importance: np.ndarray) -> np.ndarray:
+def anneal(weights: np.ndarray, start: np.ndarray, goal: np.ndarray, seed: int, steps: int, importance: np.ndarray, warmth: float = 1.0) -> np.ndarray:
     """Assignment of components to splits whose sums come nearest to goal.
 
     weights: components x measures; goal: splits x measures; start: a split for each component.  Energy is the sum of
-    absolute differences times importance.  Moves put one component elsewhere, swaps exchange two; the best
+    absolute differences times importance, warmth scales the first temperature.  Moves put one component elsewhere, swaps exchange two; the best
     assignment seen is returned, which is start itself if nothing improves it.
     """
     rng = np.random.default_rng(seed)
@@ -44,7 +42,7 @@ def anneal(weights: np.ndarray, start: np.ndarray, goal: np.ndarray, seed: int,
     np.subtract.at(gap, now, weights)
     energy = float((np.abs(gap) * importance).sum())
     best, best_energy = now.copy(), energy
-    heat = max(energy / max(4, n), 1e-9)
+    heat = max(warmth * energy / max(4, n), 1e-9)
     who, other, to, chance, swap = rng.integers(0, n, steps), rng.integers(0, n, steps), rng.integers(0, k, steps), rng.random(steps), rng.random(steps) < 0.4
     for s in range(steps):
         i = who[s]
@@ -71,7 +69,7 @@ def anneal(weights: np.ndarray, start: np.ndarray, goal: np.ndarray, seed: int,
             energy += change
             if energy < best_energy - 1e-12:
                 best, best_energy = now.copy(), energy
-        heat *= 1 - 6.0 / steps
+        heat *= 1 - 8.0 / steps
     return best
 
 
@@ -113,16 +111,18 @@ def assign_components(stats: DataFrame, targets: DataFrame, seed: int = 7, round
 
     have = sums(state)
     best, best_energy = state, float((np.abs(goal - have) * importance).sum())
-    for number in range(rounds):
-        gap = (goal - have) / blocks
+    for number in range(rounds if blocks > 1 else 1):
+        if best_energy < 1e-6:
+            break
+        gap = (goal - have) / blocks  # run is serialised at once, with this round's values
 
-        def run(key: tuple, rows: pd.DataFrame, gap=gap, number=number) -> pd.DataFrame:
+        def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             rows = rows.sort_values("component", kind="stable")
             weights = rows[labels].fillna(0).to_numpy(float)
             start = rows["at"].to_numpy(np.int64)
             own = gap.copy()
             np.add.at(own, start, weights)  # what this block should hold of each split
-            tries = [anneal(weights, start, own, seed * 1000 + number * 100 + int(key[0]) * 7 + c, STEPS, importance) for c in range(CHAINS)]
+            tries = [anneal(weights, start, own, seed * 1000 + number * 100 + int(key[0]) * 7 + c, STEPS, importance, 8.0**c) for c in range(CHAINS)]
 
             def energy(a: np.ndarray) -> float:
                 g = own.copy()
