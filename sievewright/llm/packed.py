@@ -6,6 +6,9 @@ elements in common, similarity 2c / (m + n) >= t means that at most (1 - t)(m +
 Embedding.  Elements are hashed to segments; the per-segment counts of a text are its embedding.  One
 element more or less moves one count by one, so the Manhattan distance of two embeddings never exceeds the
 number of differing elements: a distance beyond (1 - t)(m + n) refutes the pair, whatever the segments are.
+Counts are kept modulo four in the two-bit Gray code, whose bit differences are the distances around the
+circle of four, again no more than those of the counts; so a text has 256 bits, and the distance of two texts
+is the popcount of their exclusive or.
 
 Grid.  The fine embedding (one segment a word) is cut into unary cells (segment, level), i.e. elements.
 With cells in one order fixed for the corpus, rare ones first, a pair within the radius has its first common
@@ -34,18 +37,18 @@ from .words import elements, mix, words
 #: Segments of the corpus-wide count sketch; its size, 2 MB, is that of what is broadcast, at any input.
 SKETCH_BITS = 18
 SKETCH_BLOCK = 1 << 12
-#: Segments of a text's coarse embedding, four bits each.
-SEGMENTS = 64
+#: Segments of a text's coarse embedding, two bits each.
+SEGMENTS = 128
 #: Texts of more words than this keep to undivided cells.
 LONG = 1024
 #: Texts handled at once; their row number needs 14 bits.
-CHUNK = 1 << 13
+CHUNK = 1 << 12
 #: Pairs handled at once.
 PAIRS = 1 << 20
 #: Texts of one bucket, on average, before its cells bring in others.
 BUCKET_TEXTS = 1 << 16
 
-_NIBBLE = np.uint64(15)
+_GRAY = np.array([0, 1, 3, 2], np.uint8)
 
 
 def segment_counts(e: np.ndarray) -> np.ndarray:
@@ -64,18 +67,16 @@ def bag_ids(e: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def embed(e: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """n x 32 bytes: 64 counts of four bits, cut off at 15, which keeps the Manhattan distance a lower bound."""
+    """n x 4 words of 64 bits: 128 counts modulo four in Gray code."""
     counts = np.bincount(rows * SEGMENTS + ((e >> np.uint64(8)) % np.uint64(SEGMENTS)).astype(np.int64), minlength=n * SEGMENTS)
-    counts = np.minimum(counts, 15).astype(np.uint8).reshape(n, SEGMENTS)
-    return counts[:, 0::2] | (counts[:, 1::2] << 4)
+    code = _GRAY[counts & 3].reshape(n, SEGMENTS // 4, 4)
+    packed = code[:, :, 0] | (code[:, :, 1] << 2) | (code[:, :, 2] << 4) | (code[:, :, 3] << 6)
+    return np.ascontiguousarray(packed).view(np.uint64)
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Manhattan distances of the packed embeddings, row by row."""
-    low_a, low_b, high_a, high_b = a & 15, b & 15, a >> 4, b >> 4
-    d = np.maximum(low_a, low_b) - np.minimum(low_a, low_b)
-    d += np.maximum(high_a, high_b) - np.minimum(high_a, high_b)
-    return d.sum(1, dtype=np.int32)
+    """Distances of the packed embeddings, row by row."""
+    return np.bitwise_count(a ^ b).sum(1, dtype=np.int32)
 
 
 def classes(counts: np.ndarray) -> np.ndarray:
@@ -134,7 +135,7 @@ def cells(e: np.ndarray, offsets: np.ndarray, counts: np.ndarray, klass: np.ndar
 
 BLOB = pa.schema([("bucket", pa.int32()), ("texts", pa.binary()), ("cells", pa.binary())])
 BLOB_DDL = "bucket int, texts binary, cells binary"
-TEXT = np.dtype([("id", "<u8"), ("m", "<u4"), ("role", "u1"), ("v", "u1", (SEGMENTS // 2,))])
+TEXT = np.dtype([("id", "<u8"), ("m", "<u4"), ("role", "u1"), ("v", "<u8", (SEGMENTS // 32,))])
 CELL = np.dtype([("low", "<u4"), ("high", "u1"), ("row", "<u2"), ("s", "<u4")])
 CELL_NARROW = np.dtype([("low", "<u4"), ("high", "u1"), ("row", "<u2"), ("s", "<u2")])
 
@@ -188,38 +189,54 @@ def unpack(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, n
     return out, key[keep], text[keep], s_[keep]
 
 
+#: How far, in multiples of its own length, the partners of a smaller text may reach: the classes of the grid.
+REACH = (1.06, 1.14, 1.26, np.inf)
+
+
 def pairs(texts: np.ndarray, key: np.ndarray, text: np.ndarray, s: np.ndarray, t: float, crossing: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Range join inside the cells: pairs the lengths, the positions and the embeddings leave standing."""
+    """Range join inside the cells: pairs the lengths, the positions and the embeddings leave standing.
+
+    An entry of length n whose cell leaves s elements to share reaches partners up to the length 2 s / t - n.
+    A pair stands if each reaches the other, the smaller one therefore beyond its own length; these
+    are laid out by cell, class of reach and length, and every entry looks through one interval of each class.
+    """
     m = texts["m"].astype(np.int64)
-    n = np.minimum(m[text], (1 << 23) - 1)  # beyond eight million words one interval holds all lengths
-    code = (key << np.uint64(24)) | n.astype(np.uint64)
+    role, v = np.ascontiguousarray(texts["role"]), np.ascontiguousarray(texts["v"])
+    most = (1 << 22) - 1  # beyond four million words one interval holds all lengths
+    length = m[text]
+    reach = np.floor(2 * s / t - length + 1e-9).astype(np.int64)
+    small = np.flatnonzero(reach >= length)
+    kind = np.searchsorted(REACH, reach[small] / length[small], "right").astype(np.uint64)
+    code = (key[small] << np.uint64(24)) | (kind << np.uint64(22)) | np.minimum(length[small], most).astype(np.uint64)
     order = np.argsort(code)
-    code, key, text, s, n = code[order], key[order], text[order], s[order], n[order]
-    long = m[text]
-    low = np.minimum(np.ceil(long * t / (2 - t) - 1e-9).astype(np.int64), (1 << 23) - 1)
-    high = np.minimum(np.minimum(n, np.floor(2 * s / t - long + 1e-9).astype(np.int64)), (1 << 23) - 1)
-    base = key << np.uint64(24)
-    begin = np.searchsorted(code, base | low.astype(np.uint64))
-    end = np.minimum(np.searchsorted(code, base | np.maximum(high, 0).astype(np.uint64), "right"), np.arange(len(code)))
-    times = np.maximum(0, end - begin)
-    total = np.cumsum(times)
-    done = 0
-    while done < len(times):
-        stop = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + PAIRS, "right")))
-        if total[stop - 1] > (total[done - 1] if done else 0):
+    code, small = code[order], small[order]
+    high = np.minimum(length, reach)
+    for k, bound in enumerate(REACH):
+        low = np.ceil(length * np.maximum(t / (2 - t), 1 / bound) - 1e-9).astype(np.int64)
+        large = np.flatnonzero(high >= low)
+        base = (key[large] << np.uint64(24)) | np.uint64(k << 22)
+        begin = np.searchsorted(code, base | np.minimum(low[large], most).astype(np.uint64))
+        end = np.searchsorted(code, base | np.minimum(high[large], most).astype(np.uint64), "right")
+        some = end > begin
+        large, begin, times = large[some], begin[some], (end - begin)[some]
+        total = np.cumsum(times)
+        done = 0
+        while done < len(times):
+            before = total[done - 1] if done else 0
+            stop = max(done + 1, int(np.searchsorted(total, before + PAIRS, "right")))
             count = times[done:stop]
-            a = np.repeat(np.arange(done, stop), count)
-            b = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + begin[a]
-            need = t / 2 * (long[a] + long[b]) - 1e-9
-            ok = (s[a] >= need) & (s[b] >= need)
+            a = np.repeat(large[done:stop], count)
+            b = small[np.arange(total[stop - 1] - before) + np.repeat(begin[done:stop] - total[done:stop] + count + before, count)]
+            ok = reach[b] >= length[a]
             x, y = text[a[ok]], text[b[ok]]
+            ok = x != y
             if crossing:
-                cross = (texts["role"][x] | texts["role"][y]) == 3
-                x, y = x[cross], y[cross]
+                ok &= (role[x] | role[y]) == 3
+            x, y = x[ok], y[ok]
             if len(x):
-                near = distance(texts["v"][x], texts["v"][y]) <= (1 - t) * (m[x] + m[y]) + 1e-9
+                near = distance(v[x], v[y]) <= (1 - t) * (m[x] + m[y]) + 1e-9
                 yield x[near], y[near]
-        done = stop
+            done = stop
 
 
 class Bloom:

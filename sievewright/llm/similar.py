@@ -82,7 +82,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict(none | {"block": b.column(0), "counts": b.column(1)})
 
 
-def find(texts: DataFrame, threshold: float = 0.8, evaluation_ids: DataFrame | None = None, hot: int = 2048) -> Found:
+def find(texts: DataFrame, threshold: float = 0.8, evaluation_ids: DataFrame | None = None, hot: int = 8192) -> Found:
     """Similar pairs among the rows (kind, id, text).
 
     evaluation_ids: a one-column table; if given, only pairs of one text of these ids and one of the others are

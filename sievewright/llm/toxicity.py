@@ -31,6 +31,10 @@ UNLABELLED = 4000
 #: Hashed features.
 BITS = 20
 FOLDS = 3
+#: How much more often in positive documents than elsewhere a feature must stand to count for toxicity.
+LIFT = 3.5
+#: And by how many standard deviations its count there must exceed the expected one.
+SURPRISE = 3.5
 TOXIC = ("abusive", "hateful", "sexual")
 
 # Letters of other scripts that look like Latin ones, only folded inside words that also hold Latin letters.
@@ -39,18 +43,23 @@ _INVISIBLE = re.compile("[­​-‏⁠﻿‪-‮]")
 _MIXED = re.compile(r"[^\W_]+")
 _STOPS = str.maketrans({"。": ". ", "！": "! ", "？": "? ", "¿": " ", "¡": " ", "’": "'", "，": " "})
 
-_LETTER, _CUT = 1, 2
 _MAP = np.zeros(256, np.uint8)
 _MAP[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
 _MAP[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
 _MAP[128:] = np.arange(128, 256)
 _MAP[ord("*")] = ord("*")
-for _a, _b in (("0", "o"), ("1", "i"), ("3", "e"), ("4", "a"), ("5", "s"), ("7", "t"), ("@", "a"), ("$", "s"), ("!", "i")):
+_PURE = _MAP > 0
+_PURE[ord("*")] = False
+# Signs and digits that stand for letters inside words.
+for _a, _b in (("0", "o"), ("1", "i"), ("3", "e"), ("4", "a"), ("5", "s"), ("7", "t"), ("@", "a"), ("$", "s")):
     _MAP[ord(_a)] = ord(_b)
-_SIGN = np.zeros(256, bool)
-_SIGN[[ord(c) for c in "0134579@$!*268"]] = True
+_SIGN = (_MAP > 0) & ~_PURE
 _VOWEL = np.zeros(256, bool)
 _VOWEL[[ord(c) for c in "aeiou*"]] = True
+_SPACE = np.zeros(256, bool)
+_SPACE[[0, *range(9, 14), 32]] = True
+_WIDE = np.zeros(256, bool)  # lead bytes of ideographs and kana, which are words of one character each
+_WIDE[0xE3:0xF0] = True
 
 
 def fold(text: str) -> str:
@@ -69,110 +78,104 @@ def fold(text: str) -> str:
     return _MIXED.sub(one, text)
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Feature numbers, their n + 1 offsets by sentence, and the row of each sentence; every row has one at least."""
-    data = np.frombuffer(b"\n".join([*(fold(x).encode("utf-8", "replace") for x in texts), b""]), np.uint8)
-    sizes = np.array([len(fold(x).encode("utf-8", "replace")) if not x.isascii() else len(x) for x in texts], np.int64) + 1
-    return _features(data, sizes)
+@dataclass
+class Words:
+    """Words of a batch: hash, consonant hash (0 where none counts), sentence; and the row of each sentence."""
+
+    word: np.ndarray
+    consonants: np.ndarray
+    sentence: np.ndarray
+    rows: np.ndarray
+    spelled: tuple[np.ndarray, np.ndarray, np.ndarray]
+
+    def pieces(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Feature numbers and the sentence of each: words, consonants, neighbours, words two apart, triples, spelled words."""
+        h, s = self.word, self.sentence
+        yield _bucket(h), s
+        some = np.flatnonzero(self.consonants)
+        yield _bucket(self.consonants[some]), s[some]
+        if len(h) > 1:
+            two = h[:-1] * _ODD + h[1:]
+            ok = np.flatnonzero(s[1:] == s[:-1])
+            yield _bucket(two[ok]), s[ok]
+        if len(h) > 2:
+            ok = np.flatnonzero(s[2:] == s[:-2])
+            yield _bucket((h[:-2] * _ODD_2 + h[2:])[ok]), s[ok]
+            yield _bucket((two[:-1] * _ODD + h[2:])[ok]), s[ok]
+        for x in self.spelled[:2]:
+            if len(x):
+                yield _bucket(x), self.spelled[2]
+
+
+_ODD, _ODD_2, _LAST = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+
+
+def _bucket(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * _LAST
+    return (x >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def words_of(texts: list[str]) -> Words:
+    raw = [(x if x.isascii() else fold(x)).encode("utf-8", "replace") for x in texts]
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
+    data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
+    n = len(data)
+    nothing = np.zeros(0, np.uint64)
+    if not n:
+        return Words(nothing, nothing, np.zeros(0, np.int64), np.zeros(0, np.int64), (nothing, nothing, np.zeros(0, np.int64)))
+    pure, sign = _PURE[data], _SIGN[data]
+    # a sign or digit is a letter only between letters or their masks, a star or dollar also beside one
+    left, right = np.zeros(n, bool), np.zeros(n, bool)
+    left[1:], right[:-1] = pure[:-1], pure[1:]
+    left_mask, right_mask = np.zeros(n, bool), np.zeros(n, bool)
+    left_mask[1:], right_mask[:-1] = sign[:-1], sign[1:]
+    word = pure | (sign & (((left | left_mask) & (right | right_mask) & (left | right)) | (((data == 42) | (data == 36)) & (left | right))))
+    word &= ~((data == 64) & ~left)
+    stop = data == 10
+    end = (data == 46) | (data == 33) | (data == 63)
+    end[:-1] &= _SPACE[data[1:]]
+    stop |= end
+    fresh = word.copy()
+    fresh[1:] &= ~word[:-1] | _WIDE[data[1:]]
+    starts = np.flatnonzero(fresh)
+    lower = np.where(word, _MAP[data], 0).astype(np.uint8)
+    kept = word.copy()
+    kept[1:] &= (lower[1:] != lower[:-1]) | (lower[1:] >= 128)  # a run of one letter is one letter
+    h, size = _hashes(lower, kept, starts)
+    consonants, hard = _hashes(lower, kept & ~_VOWEL[lower], starts)
+    line = np.cumsum(stop, dtype=np.int32)[starts]
+    before = np.zeros(len(starts), np.uint8)
+    inner = np.flatnonzero(starts > 0)
+    before[inner] = data[starts[inner] - 1]
+    code = (before == 95) | (before == 47)
+    capital = np.flatnonzero(((data[1:] >= 65) & (data[1:] <= 90)) & ((data[:-1] >= 97) & (data[:-1] <= 122))) + 1
+    code[np.searchsorted(starts, capital, "right") - 1] = True  # names of code have a capital inside
+    handle = before == 64
+    single = (size == 1) & ~_WIDE[data[starts]]
+    h = np.where(code, np.uint64(1), np.where(handle, np.uint64(2), h))
+    consonants = np.where((hard >= 2) & (size >= 3) & ~code & ~handle, consonants ^ np.uint64(5), np.uint64(0))
+    run = np.zeros(len(starts), bool)
+    run[1:] = single[1:] & single[:-1] & (np.diff(starts) <= 3) & (line[1:] == line[:-1])
+    new = np.ones(len(starts), bool)
+    new[1:] = line[1:] != line[:-1]
+    sentence = np.cumsum(new) - 1
+    rows = np.searchsorted(np.cumsum(sizes), starts[new], "right")
+    spelled = _spelled(lower, starts, run)
+    return Words(h, consonants, sentence, rows, (spelled[0], spelled[1], sentence[spelled[2]]))
 
 
-def _features(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = len(data)
-    ends = np.cumsum(sizes)
-    after = np.zeros(n, np.uint8)
-    after[:-1] = data[1:]
-    before = np.zeros(n, np.uint8)
-    before[1:] = data[:-1]
-    pure = ((data | 32) >= 97) & ((data | 32) <= 122) | (data >= 128)
-    # a sign or digit is a letter only between letters, or as the star of a masked word
-    near = np.zeros(n, bool)
-    near[1:-1] = pure[:-2] | pure[2:]
-    both = np.zeros(n, bool)
-    both[1:-1] = (pure[:-2] | _SIGN[data[:-2]]) & pure[2:]
-    word = pure | (_SIGN[data] & near & (both | (data == ord("*")) | (data == ord("$")))) & (data != ord("!"))
-    handle = (data == ord("@")) & ~np.roll(pure, 1)
-    word &= ~handle
-    blank = (after == 32) | ((after >= 9) & (after <= 13)) | (after == 0)
-    stop = (data == 10) | (((data == 46) | (data == 33) | (data == 63)) & blank)
-    wide = (data >= 0xE3) & (data <= 0xEF)  # ideographs and kana are words of one character each
-    edge = word.copy()
-    edge[1:] &= ~word[:-1] | wide[1:]
-    starts = np.flatnonzero(edge)
-    if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(len(sizes) + 1, np.int64), np.arange(len(sizes))
-    lower = np.where(word, _MAP[data], 0)
-    # runs of a letter count as one letter
-    same = np.zeros(n, bool)
-    same[1:] = (lower[1:] == lower[:-1]) & (lower[1:] < 128) & word[1:] & word[:-1]
-    kept = word & ~same
-    place = np.cumsum(kept) - kept
-    stops = np.append(starts[1:], n)
-    total = np.zeros(int(kept.sum()) + 1, np.uint64)
+def _hashes(lower: np.ndarray, kept: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and number of the kept letters of each word."""
     letters = lower[kept].astype(np.uint64)
+    total = np.zeros(len(letters) + 1, np.uint64)
     np.cumsum(letters * powers(len(letters)), out=total[1:])
-    place = np.append(place, int(kept.sum()))
-    a, b = place[starts], place[stops]
-    size = b - a
-    h = mix((total[b] - total[a]) * powers(len(letters) + 1, inverse=True)[a] + size.astype(np.uint64))
-    # consonants alone: the same for a word and for its masked spellings
-    hard = kept & ~_VOWEL[lower]
-    hard_total = np.zeros(int(hard.sum()) + 1, np.uint64)
-    hard_letters = lower[hard].astype(np.uint64)
-    np.cumsum(hard_letters * powers(len(hard_letters)), out=hard_total[1:])
-    hard_place = np.append(np.cumsum(hard) - hard, int(hard.sum()))
-    c, d = hard_place[starts], hard_place[stops]
-    skeleton = mix((hard_total[d] - hard_total[c]) * powers(len(hard_letters) + 1, inverse=True)[c] + (d - c).astype(np.uint64) + np.uint64(77))
-    # names of code: a capital inside a word, an underscore, a slash or a digit beside it
-    capital = (data >= 65) & (data <= 90) & word
-    inner = capital.copy()
-    inner[1:] &= (before[1:] >= 97) & (before[1:] <= 122)
-    inner[0] = False
-    code = np.add.reduceat(inner.astype(np.int32), starts) > 0
-    code |= np.isin(before[starts], [95, 47]) | np.isin(data[np.minimum(starts + size, n - 1)], [95, 47])
-    handle_word = before[starts] == ord("@")
-    h = np.where(code, np.uint64(1), np.where(handle_word, np.uint64(2), h))
-    # letters set apart are read as one word: d i c k
-    single = (size == 1) & ~wide[starts]
-    sentence_of = np.cumsum(stop)[starts] - stop[starts]
-    row_of = np.searchsorted(ends, starts, "right")
-    sentence_key = sentence_of + row_of  # row ends are line ends already; empty rows get sentences below
-    run = np.zeros(len(starts), bool)
-    if len(starts) > 2:
-        close = np.zeros(len(starts), bool)
-        close[1:] = single[1:] & single[:-1] & (starts[1:] - starts[:-1] <= 3) & (sentence_key[1:] == sentence_key[:-1])
-        run = close
-    spaced_h, spaced_s, spaced_at = _spaced(lower, starts, run)
-    key = np.uint64(0x9E3779B97F4A7C15)
-    pieces = [(h, np.arange(len(h)))]
-    pieces.append((skeleton ^ np.uint64(5), np.flatnonzero((d - c >= 2) & (size >= 3) & ~code & ~handle_word)))
-    pieces[1] = (skeleton[pieces[1][1]] ^ np.uint64(5), pieces[1][1])
-    for gap in (1, 2):
-        if len(h) > gap:
-            ok = np.flatnonzero(sentence_key[gap:] == sentence_key[:-gap])
-            pieces.append((mix(h[ok] * key + h[ok + gap] + np.uint64(gap)), ok))
-    if len(h) > 2:
-        ok = np.flatnonzero(sentence_key[2:] == sentence_key[:-2])
-        pieces.append((mix(mix(h[ok] * key + h[ok + 1]) * key + h[ok + 2]), ok))
-    if len(spaced_h):
-        pieces.append((spaced_h, spaced_at))
-        pieces.append((spaced_s, spaced_at))
-    value = np.concatenate([p[0] for p in pieces])
-    at = np.concatenate([p[1] for p in pieces])
-    order = np.argsort(at, kind="stable")
-    value, at = value[order], at[order]
-    feature = (mix(value) >> np.uint64(64 - BITS)).astype(np.int64)
-    group = sentence_key[at]
-    first = np.flatnonzero(np.diff(group, prepend=-1))
-    rows = row_of[at[first]]
-    offsets = np.append(first, len(feature))
-    missing = np.setdiff1d(np.arange(len(sizes)), rows)
-    return feature, np.concatenate([offsets, np.full(len(missing), len(feature))]), np.concatenate([rows, missing])
-
-
-def _spaced(lower: np.ndarray, starts: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, as of ordinary words, of the words that runs of three and more single letters spell."""
-    if not run.any():
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    at = np.append((np.cumsum(kept, dtype=np.int64) - kept)[starts], len(letters))
+    size = np.diff(at)
+    return mix((total[at[1:]] - total[at[:-1]]) * powers(len(letters) + 1, inverse=True)[at[:-1]] + size.astype(np.uint64)), size
+
+
+def _spelled(lower: np.ndarray, starts: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, as of ordinary words, of the words that three and more single letters in a row spell."""
     hashes, skeletons, places = [], [], []
     edges = np.flatnonzero(np.diff(run, prepend=False, append=False))
     for a, b in zip(edges[0::2], edges[1::2], strict=True):
@@ -183,30 +186,47 @@ def _spaced(lower: np.ndarray, starts: np.ndarray, run: np.ndarray) -> tuple[np.
         hard = [x for x in letters if not _VOWEL[x]]
         p = powers(len(letters) + 1)
         hashes.append(np.sum(np.array(letters, np.uint64) * p[: len(letters)], dtype=np.uint64) + np.uint64(len(letters)))
-        skeletons.append(np.sum(np.array(hard, np.uint64) * p[: len(hard)], dtype=np.uint64) + np.uint64(len(hard)) + np.uint64(77))
+        skeletons.append(np.sum(np.array(hard, np.uint64) * p[: len(hard)], dtype=np.uint64) + np.uint64(len(hard)))
         places.append(a)
     return mix(np.array(hashes, np.uint64)), mix(np.array(skeletons, np.uint64)) ^ np.uint64(5), np.array(places, np.int64)
 
 
+def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature numbers, their n + 1 offsets by sentence, and the row of each sentence; a wordless row has none."""
+    w = words_of(texts)
+    pieces = list(w.pieces())
+    feature, at = (np.concatenate([p[k] for p in pieces]) if pieces else np.zeros(0, np.int64) for k in (0, 1))
+    order = np.argsort(at * (1 << 32) + np.arange(len(at)))
+    return feature[order], np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(w.rows)))]).astype(np.int64), w.rows
+
+
 def sentence_scores(weights: np.ndarray, bias: float, feature: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     total = np.zeros(len(feature) + 1)
     np.cumsum(weights[feature], out=total[1:])
     return total[offsets[1:]] - total[offsets[:-1]] + bias if len(offsets) > 1 else np.zeros(0)
 
 
+def text_scores(weights: np.ndarray, bias: float, texts: list[str]) -> np.ndarray:
+    """Of each text the score of its worst sentence; of a wordless text minus infinity."""
+    w = words_of(texts)
+    z = np.full(len(w.rows), float(bias))
+    for f, s in w.pieces():
+        z += np.bincount(s, weights[f], len(z))
+    return row_scores(z, w.rows, len(texts))
+
+
 def row_scores(scores: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     out = np.full(n, -np.inf)
     np.maximum.at(out, rows, scores)
     return out
 
 
-def fit_nnpu(feature: np.ndarray, offsets: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float, start: np.ndarray | None, allowed: np.ndarray, steps: int = 60, decay: float = 2e-6) -> tuple[np.ndarray, float]:
+def fit_nnpu(feature: np.ndarray, offsets: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float, allowed: np.ndarray, steps: int = 80, decay: float = 3e-6) -> tuple[np.ndarray, float]:
     """Weights and bias of the non-negative PU risk with the logistic loss, by Adagrad over all sentences.
 
-    positive, unlabelled: sentence numbers.  allowed: features that may have a weight.
+    positive, unlabelled: sentence numbers.  allowed: features that may have a weight; sentences without any
+    score as the bias, so they are carried as one term of their number.
     """
-    w = np.zeros(1 << BITS) if start is None else start[:-1].copy()
-    b = -2.0 if start is None else float(start[-1])
     chosen = np.concatenate([positive, unlabelled])
     size = np.diff(offsets)[chosen]
     flat = feature[np.repeat(offsets[chosen] - np.cumsum(size) + size, size) + np.arange(size.sum())]
@@ -214,27 +234,35 @@ def fit_nnpu(feature: np.ndarray, offsets: np.ndarray, positive: np.ndarray, unl
     keep = allowed[flat]
     flat, owner = flat[keep], owner[keep]
     used, local = np.unique(flat, return_inverse=True)
-    weight = w[used]
-    squares, square_b = np.full(len(used), 1e-8), 1e-8
-    n_p, n_u = len(positive), len(unlabelled)
-    is_p = np.arange(len(chosen)) < n_p
-    rate = 0.5
+    live, owner = np.unique(owner, return_inverse=True)
+    is_p = live < len(positive)
+    n_p, n_u = max(1, len(positive)), max(1, len(unlabelled))
+    plain_p, plain_u = n_p - is_p.sum(), n_u - (~is_p).sum()
+    weight, b = np.zeros(len(used)), -2.0
+    squares, square_b = np.full(len(used), 1e-10), 1e-10
+    rate = 0.4
+
+    def sigmoid(z: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
     for _ in range(steps):
-        z = np.bincount(owner, weight[local], len(chosen)) + b
-        s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        minus = np.logaddexp(0, z)  # loss as a negative
-        negative_risk = minus[~is_p].mean() - prior * minus[is_p].mean()
+        z = np.bincount(owner, weight[local], len(live)) + b
+        s, s0 = sigmoid(z), float(sigmoid(np.array(b)))
+        minus, minus0 = np.logaddexp(0, z), float(np.logaddexp(0, b))
+        negative_risk = (minus[~is_p].sum() + plain_u * minus0) / n_u - prior * (minus[is_p].sum() + plain_p * minus0) / n_p
         if negative_risk >= 0:
-            g = np.where(is_p, prior * ((s - 1) - s) / max(1, n_p), s / max(1, n_u))
-        else:  # undo what drove the estimate below zero
-            g = np.where(is_p, prior * s / max(1, n_p), -s / max(1, n_u))
+            g = np.where(is_p, -prior / n_p, s / n_u)
+            g0 = -prior * plain_p / n_p + plain_u * s0 / n_u
+        else:  # undo what drove the estimate of the negative risk below zero
+            g = np.where(is_p, prior * s / n_p, -s / n_u)
+            g0 = prior * plain_p * s0 / n_p - plain_u * s0 / n_u
         grad = np.bincount(local, g[owner], len(used)) + decay * weight
-        gb = g.sum()
+        gb = g.sum() + g0
         squares += grad**2
         square_b += gb**2
         weight -= rate * grad / np.sqrt(squares)
         b -= rate * gb / np.sqrt(square_b)
-    w[:] = 0
+    w = np.zeros(1 << BITS)
     w[used] = weight
     return w, float(b)
 
@@ -248,35 +276,44 @@ class Model:
     prior: float
 
     def score(self, texts: list[str]) -> np.ndarray:
-        """Of each text the score of its worst sentence; texts without words have the bias alone."""
-        feature, offsets, rows = features(texts)
-        return row_scores(sentence_scores(self.weights, self.bias, feature, offsets), rows, len(texts))
+        return text_scores(self.weights, self.bias, texts)
 
 
 def _train(feature: np.ndarray, offsets: np.ndarray, rows: np.ndarray, positive_rows: np.ndarray, unlabelled_rows: np.ndarray, prior: float, turns: int = 4) -> tuple[np.ndarray, float]:
-    is_positive = np.zeros(int(rows.max(initial=0)) + 1, bool)
+    n_rows = int(max(rows.max(initial=0), positive_rows.max(initial=0), unlabelled_rows.max(initial=0))) + 1
+    is_positive, in_unlabelled = np.zeros(n_rows, bool), np.zeros(n_rows, bool)
     is_positive[positive_rows] = True
-    in_unlabelled = np.zeros_like(is_positive)
     in_unlabelled[unlabelled_rows] = True
     sentence_p, sentence_u = np.flatnonzero(is_positive[rows]), np.flatnonzero(in_unlabelled[rows])
     owner = np.repeat(rows, np.diff(offsets))
-    # features met in one positive document only say nothing about others
-    seen = np.unique(owner[is_positive[owner]] * (1 << BITS) + feature[is_positive[owner]]) & ((1 << BITS) - 1)
-    allowed = np.bincount(seen, minlength=1 << BITS) >= 2
-    # first guess: how much more often a sentence's features stand in positive documents than elsewhere
-    seen_u = np.unique(owner[in_unlabelled[owner]] * (1 << BITS) + feature[in_unlabelled[owner]]) & ((1 << BITS) - 1)
-    rate_p = (np.bincount(seen, minlength=1 << BITS) + 0.1) / (len(positive_rows) + 1)
-    rate_u = (np.bincount(seen_u, minlength=1 << BITS) + 0.5) / (len(unlabelled_rows) + 1)
-    w, b = np.where(allowed, np.maximum(np.log(rate_p / rate_u), 0), 0), 0.0
-    density = max(1e-4, prior * len(unlabelled_rows) / max(1, len(sentence_u)))
+    width = 1 << BITS
+
+    def spread(which: np.ndarray) -> np.ndarray:  # in how many of the documents each feature stands
+        mine = which[owner]
+        return np.bincount(np.unique(owner[mine] * width + feature[mine]) & (width - 1), minlength=width)
+
+    in_p, in_u = spread(is_positive), spread(in_unlabelled)
+    ratio = ((in_p + 0.1) / (len(positive_rows) + 1)) / ((in_u + 1.0) / (len(unlabelled_rows) + 1))
+    # what stands in one positive document only, or hardly more often than elsewhere, says nothing of others
+    expected = (in_u + 1.0) / (len(unlabelled_rows) + 1) * len(positive_rows)
+    telling = (in_p >= 2) & (ratio >= LIFT) & (in_p - expected >= SURPRISE * np.sqrt(expected))
+    allowed = telling.copy()
+    w, b = np.where(telling, np.log(np.maximum(ratio, 1)), 0), 0.0
+    density = np.clip(prior * len(unlabelled_rows) / max(1, len(sentence_u)), 1e-4, 0.5)
     for turn in range(turns):
         z = sentence_scores(w, b, feature, offsets)
-        if turn == 0:
-            z = z / np.sqrt(np.maximum(1, np.diff(offsets)))
-        top = np.full(len(is_positive), -np.inf)
+        top = np.full(n_rows, -np.inf)
         np.maximum.at(top, rows[sentence_p], z[sentence_p])
-        best = sentence_p[(z[sentence_p] >= top[rows[sentence_p]]) | ((z[sentence_p] > 0) if turn else False)]
-        w, b = fit_nnpu(feature, offsets, best, sentence_u, min(0.5, density * max(1.0, len(best) / max(1, len(positive_rows)))), None, allowed)
+        # documents without any telling sentence are taken for labels that are wrong
+        best = sentence_p[(z[sentence_p] >= top[rows[sentence_p]] - 1e-12) & (z[sentence_p] > b)]
+        if not len(best):
+            break
+        if turn:  # what surrounds the same words in innocent sentences may count against
+            doubtful = np.zeros(len(offsets) - 1, bool)
+            doubtful[sentence_u[z[sentence_u] > b + 1]] = True
+            near = np.bincount(feature[np.repeat(doubtful, np.diff(offsets))], minlength=width)
+            allowed = telling | ((near >= 3) & (ratio < 0.7))
+        w, b = fit_nnpu(feature, offsets, best, sentence_u, float(density), allowed)
     return w, b
 
 
@@ -311,10 +348,6 @@ def train(texts: list[str], kind: np.ndarray, prior: float, seed: int = 5) -> Mo
     if len(pos) < 2:
         return Model(np.zeros(1 << BITS), -1.0, np.inf, 0.0, prior)
     feature, offsets, rows = features(texts)
-    order = np.argsort(rows, kind="stable")
-    size = np.diff(offsets)
-    feature = feature[np.repeat(offsets[:-1][order] - np.cumsum(size[order]) + size[order], size[order]) + np.arange(size.sum())]
-    offsets, rows = np.concatenate([[0], np.cumsum(size[order])]), rows[order]
     rng = np.random.default_rng(seed)
     fold_of = rng.integers(0, FOLDS, len(texts))
     held = np.full(len(texts), np.nan)
@@ -348,8 +381,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                feature, offsets, rows = features([x or "" for x in part.column(2).to_pylist()])
-                z = row_scores(sentence_scores(weights, bias, feature, offsets), rows, part.num_rows)
+                z = text_scores(weights, bias, [x or "" for x in part.column(2).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(z)], ["doc_id", "source", "score"])
 
     kind = dict(documents.dtypes)["doc_id"]
