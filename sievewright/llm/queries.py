@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import cut, table
 from . import components, formatting, leaks, mixing, samples, similar, splitting, tokenizing, toxicity
+from .sql import SQL
 
 
 def _pairs(found: similar.Found) -> DataFrame:
@@ -153,3 +154,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_leaks": p7_leaks, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found,
         "p10_scores": p10_scores, "p10_rates": p10_rates,
     }
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
