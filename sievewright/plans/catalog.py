@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import skew_queries
+from . import curation_queries, skew_queries
 
-_MODULES = [skew_queries]
+_MODULES = [curation_queries, skew_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def entry(spark: SparkSession, folder: str) -> DataFrame:
-    return skew_queries.p3_found(spark, folder)
+    return curation_queries.decontaminated_split(spark, folder)
