@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packed import Bloom
+from ..sources.tables import cut
+from .packed import Bloom, bloom_of, id_hashes
 from .words import mix, words
 
 #: Words a seed covers, and the masks: 1 takes the word part in the hash, 0 ignores it.
@@ -100,15 +101,21 @@ def _around(h: np.ndarray, offsets: np.ndarray, row: np.ndarray, place: np.ndarr
     return pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary()), place - begin
 
 
-def _seed_rows(reach: int, window: int, bloom=None, kept_words: bool = True):
+def _places(seed: np.ndarray) -> np.ndarray:
+    return id_hashes(pa.array(seed.view(np.int64)))
+
+
+def _seed_rows(reach: int, window: int, bloom):
+    """Rows of the kept seeds that the Bloom filter lets through, with the words around them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, _CHUNK):
                 part = batch.slice(k, _CHUNK)
                 h, offsets = words(part.column(1))
                 seed, place = seeds(h, offsets, window)
-                if bloom is not None and len(seed):
-                    hit = bloom.value.has(seed)
+                if len(seed):
+                    hit = bloom.value.has(_places(seed))
                     seed, place = seed[hit], place[hit]
                 if not len(seed):
                     continue
@@ -131,7 +138,7 @@ def _seed_bloom(items: DataFrame, window: int, n: int) -> Bloom:
         for batch in batches:
             for k in range(0, batch.num_rows, _CHUNK):
                 seed, _ = seeds(*words(batch.slice(k, _CHUNK).column(1)), window)
-                own.add(seed)
+                own.add(_places(seed))
         yield pa.RecordBatch.from_pydict({"block": pa.array([0], pa.int32()), "bits": pa.array([own.data.tobytes()], pa.binary())})
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
@@ -178,11 +185,12 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, tolerance: int
     window = run - SPAN + 1
     reach = 2 * run
     docs = documents.select(F.col("doc_id").cast("string").alias("id"), "text").where("text is not null and doc_id is not null")
-    wanted = items.select(F.col("item_id").alias("id"), "text")
-    n = items.select(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    bloom = spark.sparkContext.broadcast(_seed_bloom(wanted, window, n // 20 + 1))
-    d = docs.mapInArrow(_seed_rows(reach, window, bloom), _SEED_DDL).toDF("seed", "doc", "doc_at", "doc_words", "doc_before")
-    q = wanted.mapInArrow(_seed_rows(reach, window), _SEED_DDL).toDF("seed", "item", "item_at", "item_words", "item_before")
+    wanted = cut(items.select(F.col("item_id").alias("id"), "text"))
+    n = wanted.select(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    broadcast = spark.sparkContext.broadcast
+    # each side only sends the seeds that the other side may hold: filters of bounded size, first of the items, then of what they hit
+    d = cut(docs.mapInArrow(_seed_rows(reach, window, broadcast(_seed_bloom(wanted, window, n // 12 + 1))), _SEED_DDL)).toDF("seed", "doc", "doc_at", "doc_words", "doc_before")
+    q = wanted.mapInArrow(_seed_rows(reach, window, broadcast(bloom_of(d, "seed", d.count()))), _SEED_DDL).toDF("seed", "item", "item_at", "item_words", "item_before")
     q = q.dropDuplicates(["seed", "item", "item_words", "item_before"]).drop("item_at")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
