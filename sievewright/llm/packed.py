@@ -262,9 +262,11 @@ class Bloom:
 
 
 def id_hashes(column: pa.Array) -> np.ndarray:
-    """A hash of each id string, whatever its characters."""
+    """A hash of each id, a string of whatever characters or a number."""
     import pandas as pd
 
+    if pa.types.is_integer(column.type):
+        return mix(np.asarray(column).view(np.uint64) + np.uint64(9))
     return mix(pd.util.hash_array(np.asarray(column.to_pylist(), dtype=object), categorize=False))
 
 

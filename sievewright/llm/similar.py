@@ -159,13 +159,18 @@ def _verified(texts: DataFrame, members: DataFrame, met: DataFrame, t: float, cr
     spark = texts.sparkSession
     wanted = met.select(F.explode(F.array("lo_a", "lo_b")).alias("lo")).distinct()
     stand_in = cut(members.join(wanted, "lo").groupBy("lo").agg(F.min(F.struct("id", "kind")).alias("x")).select("lo", "x.id", "x.kind"))
-    bloom = spark.sparkContext.broadcast(packed.bloom_of(stand_in, "id", stand_in.count()))
+    n = stand_in.count()
+    bloom = spark.sparkContext.broadcast(packed.bloom_of(stand_in, "id", n))
+    bag_bloom = spark.sparkContext.broadcast(packed.bloom_of(stand_in, "lo", n))
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(bloom.value.has(packed.id_hashes(batch.column(1)))))
             for part, e, offsets in _chunks(batch):
                 lo, _ = packed.bag_ids(e, offsets)
+                wanted = bag_bloom.value.has(packed.id_hashes(pa.array(lo.view(np.int64))))
+                e, lo, part = e[np.repeat(wanted, np.diff(offsets))], lo[wanted], part.filter(pa.array(wanted))
+                offsets = np.concatenate([[0], np.cumsum(np.diff(offsets)[wanted])])
                 rows = np.repeat(np.arange(part.num_rows), np.diff(offsets))
                 e = e[np.lexsort((e, rows))]
                 data = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer((offsets * 8).astype(np.int64).tobytes()), pa.py_buffer(e.tobytes())])
@@ -173,7 +178,8 @@ def _verified(texts: DataFrame, members: DataFrame, met: DataFrame, t: float, cr
 
     bag = (
         texts.mapInArrow(bags, "kind string, id string, lo long, bag binary")
-        .join(stand_in, ["lo", "id", "kind"], "left_semi")
+        .join(stand_in.toDF("lo", "x", "y"), "lo")
+        .where("id = x and kind = y")
         .select("lo", "bag")
         .dropDuplicates(["lo"])
     )
