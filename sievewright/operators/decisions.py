@@ -99,9 +99,8 @@ def rollout_decisions(rows: DataFrame, key: str, raw: str, valid: str, reason: s
 
 
 def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Of the rows with equal keys the one that comes first; an aggregate, so equal rows never meet in one task."""
-    best = df.groupBy(*keys).agg(F.min(order).alias(order))
-    return df.join(best, [*keys, order], "left_semi") if not any(dict(df.dtypes)[k] == "map" for k in keys) else df
+    """Of the rows with equal keys, nulls being equal, the one that comes first in a unique order; an aggregate, so equal rows never meet in one task."""
+    return df.join(df.groupBy(*keys).agg(F.min(order).alias(order)).select(order), order, "left_semi")
 
 
 def claim_once(raw: DataFrame, claims: DataFrame, key: str, order: str) -> DataFrame:

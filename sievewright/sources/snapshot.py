@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import fnmatch
 import json
 import os
 import re
@@ -148,10 +147,6 @@ def partitioned(files: DataFrame, patterns: dict[str, str]) -> DataFrame:
     return out.withColumn("partition", F.col("_hits")[0]).drop("_hits")
 
 
-def matches(path: str, pattern: str) -> bool:
-    return fnmatch.fnmatchcase(path, pattern)
-
-
 class Collision(Exception):
     """Something else is already published under the name."""
 
