@@ -82,7 +82,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict(none | {"block": b.column(0), "counts": b.column(1)})
 
 
-def find(texts: DataFrame, threshold: float = 0.8, evaluation_ids: DataFrame | None = None, hot: int = 8192) -> Found:
+def find(texts: DataFrame, threshold: float = 0.8, evaluation_ids: DataFrame | None = None, hot: int = 16384) -> Found:
     """Similar pairs among the rows (kind, id, text).
 
     evaluation_ids: a one-column table; if given, only pairs of one text of these ids and one of the others are
@@ -101,7 +101,7 @@ def find(texts: DataFrame, threshold: float = 0.8, evaluation_ids: DataFrame | N
     members = profile.where("block is null").select("kind", "id", "lo", "hi", "m").distinct()
     counts = packed.sum_blocks(profile.where("block is not null"), 1 << packed.SKETCH_BITS)
     size = profile.where("block is null").count()
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // packed.BUCKET_TEXTS))
+    buckets = max(2 * spark.sparkContext.defaultParallelism, -(-size // packed.BUCKET_TEXTS))
     shared = spark.sparkContext.broadcast(counts.astype(np.int64))
     roles = None
     if crossing:
