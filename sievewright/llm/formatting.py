@@ -1,16 +1,17 @@
 """Copies that differ in formatting only (problem 4).
 
 Records get a canonical key: all characters but a-z and 0-9 dropped after lower-casing, patches sorted.
-The keys are range-partitioned and sorted (Spark sorts externally), adjacent rows are compared by their full
-keys, and each run gives its smallest id and its length.  The ranges are over (key, id), so a run that holds
-a third of all rows spreads over as many partitions as it needs; what a partition knows of its first and last
-run is one compact row, and these rows are merged by their full keys.
+The keys are range-partitioned by their hash and sorted by hash and key (Spark sorts externally), adjacent rows
+are compared by their full keys, and each run gives its smallest id and its length.  The ranges are over
+(hash, id), so a run that holds a third of all rows spreads over as many partitions as it needs, and the sample
+from which Spark takes the ranges holds no texts; runs that may cross partitions are merged by their full keys.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -38,25 +39,32 @@ def canonical_records(samples: DataFrame) -> DataFrame:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The run of each row: its number in the partition, whether it touches the partition's edge, its id."""
-    run, last, first_of_run, number = -1, None, None, 0
+    """The run of each row: its number in the partition and its first id; and, as edge, the full key of runs near the partition's ends.
+
+    Only a run whose hash is that of the partition's first or last row can go on elsewhere; one row of it, in each
+    batch it is met in, has the key.  The last hash of every batch is taken for a last one, which does no harm.
+    """
+    run, last, first_hash, first_id = -1, None, None, None
     for batch in batches:
-        if not batch.num_rows:
+        n = batch.num_rows
+        if not n:
             continue
-        key, ids = batch.column(0), batch.column(1)
-        new = [last is None or key[0].as_py() != last]
-        if batch.num_rows > 1:
-            new += pc.not_equal(key.slice(1), key.slice(0, batch.num_rows - 1)).to_pylist()
-        id_list = ids.to_pylist()
-        runs, firsts = [], []
-        for k, start in enumerate(new):
-            if start:
-                run += 1
-                first_of_run = id_list[k]
-            runs.append(run)
-            firsts.append(first_of_run)
-        last = key[batch.num_rows - 1].as_py()
-        yield pa.RecordBatch.from_pydict({"run": pa.array(runs, pa.int64()), "first_id": pa.array(firsts, pa.string()), "sample_id": ids, "part": batch.column(2)})
+        h, key, ids = np.asarray(batch.column(0)), batch.column(1), batch.column(2)
+        if first_hash is None:
+            first_hash = h[0]
+        new = np.ones(n, bool)
+        new[0] = last is None or key[0].as_py() != last
+        new[1:] = np.asarray(pc.not_equal(key.slice(1), key.slice(0, n - 1)))
+        start = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+        firsts = ids.take(pa.array(np.maximum(start, 0)))
+        if start[0] < 0:
+            firsts = pc.if_else(pa.array(start < 0), pa.scalar(first_id, pa.string()), firsts)
+        numbers = run + np.cumsum(new)
+        mark = new.copy()
+        mark[0] = True
+        mark &= (h == first_hash) | (h == h[-1])
+        yield pa.RecordBatch.from_pydict({"part": batch.column(3), "run": pa.array(numbers), "first_id": firsts, "sample_id": ids, "edge": pc.if_else(pa.array(mark), key, pa.scalar(None, pa.string()))})
+        run, last, first_id = int(numbers[-1]), key[n - 1].as_py(), firsts[n - 1].as_py()
 
 
 def copies(samples: DataFrame) -> DataFrame:
@@ -68,45 +76,12 @@ def copies(samples: DataFrame) -> DataFrame:
     spark = samples.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     records = canonical_records(samples)
-    sorted_ = records.repartitionByRange(n, "key", "sample_id").sortWithinPartitions("key", "sample_id")
-    rows = sorted_.select("key", "sample_id", F.spark_partition_id().alias("part"))
-    marked = cut(rows.mapInArrow(_edges, "part int, run long, first_id string, sample_id string, edge string"))
-    # only the first and the last run of a partition can go on in a neighbour: one row each, matched by full key
+    sorted_ = records.withColumn("h", F.xxhash64("key")).repartitionByRange(n, "h", "sample_id").sortWithinPartitions("h", "key", "sample_id")
+    rows = sorted_.select("h", "key", "sample_id", F.spark_partition_id().alias("part"))
+    marked = cut(rows.mapInArrow(_runs, "part int, run long, first_id string, sample_id string, edge string"))
+    # a run that may go on in another partition has a row or a few with its full key, by which it is matched
     ends = marked.where("edge is not null").groupBy("part", "run", "edge").agg(F.min("first_id").alias("first_id"))
     joined = ends.groupBy("edge").agg(F.min("first_id").alias("whole_first")).join(ends, "edge").select("part", "run", "whole_first")
     whole = marked.join(joined, ["part", "run"], "left").select(F.coalesce("whole_first", "first_id").alias("first_id"), "sample_id").distinct()
     sizes = whole.groupBy("first_id").agg(F.count(F.lit(1)).alias("n_copies"))
     return whole.join(sizes, "first_id").select("first_id", "sample_id", "n_copies")
-
-
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the full key, as edge, to one row of the partition's first and of its last run."""
-
-    def out(b: pa.RecordBatch, edge: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"part": b.column("part"), "run": b.column("run"), "first_id": b.column("first_id"), "sample_id": b.column("sample_id"), "edge": pa.array(edge, pa.string())})
-
-    seen: dict[str, str] = {}
-
-    def tee() -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                seen.setdefault("first", b.column(0)[0].as_py())
-                seen["last"] = b.column(0)[b.num_rows - 1].as_py()
-                yield b
-
-    held = None
-    begun = False
-    for b in _runs(tee()):
-        if held is not None:
-            yield out(held, [None if begun else seen["first"]] + [None] * (held.num_rows - 1))
-            begun = True
-        held = b
-    if held is not None:
-        edge: list = [None] * held.num_rows
-        if not begun:
-            edge[0] = seen["first"]
-        if held.num_rows == 1 and not begun:
-            yield out(held, edge)  # the only row is both ends
-        else:
-            edge[-1] = seen["last"]
-            yield out(held, edge)
