@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .words import mix, powers
 
 #: Most positive and most unlabelled documents that a fit reads.
-POSITIVES = 3000
-UNLABELLED = 3000
+POSITIVES = 2000
+UNLABELLED = 2000
 #: Hashed features.
 BITS = 20
 FOLDS = 3
@@ -195,13 +195,22 @@ def _spelled(lower: np.ndarray, starts: np.ndarray, run: np.ndarray) -> tuple[np
     return mix(np.array(hashes, np.uint64)), mix(np.array(skeletons, np.uint64)) ^ np.uint64(5), np.array(places, np.int64)
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Feature numbers, their n + 1 offsets by sentence, and the row of each sentence; a wordless row has none."""
-    w = words_of(texts)
-    pieces = list(w.pieces())
-    feature, at = (np.concatenate([p[k] for p in pieces]) if pieces else np.zeros(0, np.int64) for k in (0, 1))
-    order = np.argsort(at * (1 << 32) + np.arange(len(at)))
-    return feature[order], np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(w.rows)))]).astype(np.int64), w.rows
+def features(texts: list[str], step: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature numbers, their n + 1 offsets by sentence, and the row of each sentence; a wordless row has none.
+
+    Made some texts at a time and kept in 32 bits, since a fit holds those of its whole sample.
+    """
+    numbers, counts, rows = [], [np.zeros(1, np.int64)], []
+    for k in range(0, len(texts), step):
+        w = words_of(texts[k : k + step])
+        pieces = list(w.pieces())
+        at = np.concatenate([p[1] for p in pieces])
+        numbers.append(np.concatenate([p[0] for p in pieces])[np.argsort(at, kind="stable")].astype(np.int32))
+        counts.append(np.bincount(at, minlength=len(w.rows)))
+        rows.append(w.rows + k)
+    if not numbers:
+        return np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(numbers), np.cumsum(np.concatenate(counts)), np.concatenate(rows)
 
 
 def sentence_scores(weights: np.ndarray, bias: float, feature: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -290,12 +299,12 @@ def _train(feature: np.ndarray, offsets: np.ndarray, rows: np.ndarray, positive_
     is_positive[positive_rows] = True
     in_unlabelled[unlabelled_rows] = True
     sentence_p, sentence_u = np.flatnonzero(is_positive[rows]), np.flatnonzero(in_unlabelled[rows])
-    owner = np.repeat(rows, np.diff(offsets))
+    owner = np.repeat(rows.astype(np.int32), np.diff(offsets))
     width = 1 << BITS
 
     def spread(which: np.ndarray) -> np.ndarray:  # in how many of the documents each feature stands
         mine = which[owner]
-        return np.bincount(np.unique(owner[mine] * width + feature[mine]) & (width - 1), minlength=width)
+        return np.bincount(np.unique(owner[mine].astype(np.int64) * width + feature[mine]) & (width - 1), minlength=width)
 
     in_p, in_u = spread(is_positive), spread(in_unlabelled)
     ratio = ((in_p + 0.1) / (len(positive_rows) + 1)) / ((in_u + 1.0) / (len(unlabelled_rows) + 1))
@@ -337,13 +346,14 @@ def fit(documents: DataFrame, labels: DataFrame, positives: int = POSITIVES, unl
     )
     text = documents.where("text is not null and trim(text) <> ''").select("doc_id", "text")
     place = F.xxhash64("doc_id", F.lit(3))
-    known = text.join(votes, "doc_id")
-    p = known.where("toxic > clean").orderBy(place).limit(positives).select("text", F.lit(1).alias("kind"))
-    q = known.where("toxic <= clean").orderBy(place).limit(unlabelled).select("text", F.lit(0).alias("kind"))
-    chosen = text.select("doc_id").orderBy(place).limit(unlabelled)
-    u = text.join(chosen, "doc_id", "left_semi").join(votes, "doc_id", "left_anti").select("text", F.lit(-1).alias("kind"))
+    ids = text.select("doc_id").join(votes, "doc_id", "left").withColumn("place", place)  # ids alone are put in order
+
+    def first(which: str, n: int, kind: int) -> DataFrame:
+        return ids.where(which).orderBy("place", "doc_id").limit(n).select("doc_id", F.lit(kind).alias("kind"))
+
+    chosen = first("toxic > clean", positives, 1).unionByName(first("toxic <= clean", unlabelled, 0)).unionByName(first("toxic is null", unlabelled, -1))
     shares = votes.agg(F.avg((F.col("toxic") > F.col("clean")).cast("double"))).first()[0]
-    table = p.unionByName(q).unionByName(u).toArrow()
+    table = text.join(chosen.dropDuplicates(["doc_id"]), "doc_id").orderBy("doc_id").select("text", "kind").toArrow()
     return train(table.column("text").to_pylist(), np.array(table.column("kind").to_pylist(), np.int64), shares or 0.0)
 
 
