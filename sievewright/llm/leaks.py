@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import cut
-from .packed import Bloom, bloom_of, id_hashes
+from .packed import Bloom, bloom_of, id_hashes, merged_bloom
 from .words import mix, words
 
 #: Words a seed covers, and the masks: 1 takes the word part in the hash, 0 ignores it.
@@ -130,23 +130,13 @@ def _seed_rows(reach: int, window: int, bloom):
 
 
 def _seed_bloom(items: DataFrame, window: int, n: int) -> Bloom:
-    """Bloom filter of the items' seeds, merged in blocks; its size is bounded whatever the number of items."""
-    total = Bloom(n)
+    """Bloom filter of the items' seeds."""
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Bloom(n)
-        for batch in batches:
-            for k in range(0, batch.num_rows, _CHUNK):
-                seed, _ = seeds(*words(batch.slice(k, _CHUNK).column(1)), window)
-                own.add(_places(seed))
-        yield pa.RecordBatch.from_pydict({"block": pa.array([0], pa.int32()), "bits": pa.array([own.data.tobytes()], pa.binary())})
-
-    def merge(key: tuple, table: pa.Table) -> pa.Table:
-        return pa.table({"block": pa.array([0], pa.int32()), "bits": pa.array([np.bitwise_or.reduce([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bits")]).tobytes()], pa.binary())})
+    def hashes(batch: pa.RecordBatch) -> np.ndarray:
+        found = [seeds(*words(batch.slice(k, _CHUNK).column(1)), window)[0] for k in range(0, batch.num_rows, _CHUNK)]
+        return _places(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
-    for r in items.mapInArrow(build, "block int, bits binary").groupBy("block").applyInArrow(merge, "block int, bits binary").collect():
-        total.data |= np.frombuffer(r["bits"], np.uint8)
-    return total
+    return merged_bloom(items, n, hashes)
 
 
 def _extend(d: np.ndarray, d0: int, q: np.ndarray, q0: int, tolerance: int) -> tuple[int, int, int]:

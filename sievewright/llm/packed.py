@@ -270,23 +270,40 @@ def id_hashes(column: pa.Array) -> np.ndarray:
     return mix(pd.util.hash_array(np.asarray(column.to_pylist(), dtype=object), categorize=False))
 
 
-def bloom_of(ids: DataFrame, column: str, n: int) -> Bloom:
-    """Bloom filter of a column, made in parallel and merged on the driver; its size is bounded."""
-    empty = Bloom(n)
+#: Bytes of one block in which Bloom filters are merged.
+BLOOM_BLOCK = 1 << 16
+
+
+def merged_bloom(rows: DataFrame, n: int, hashes: Callable[[pa.RecordBatch], np.ndarray]) -> Bloom:
+    """Bloom filter over the hashes of a relation's batches, for about n of them.
+
+    Tasks write the blocks they touched, blocks are merged apart from each other, and the merged filter, of bounded
+    size, is put together on the driver.
+    """
+    out = Bloom(n)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Bloom(n)
         for b in batches:
-            own.add(id_hashes(b.column(0).drop_null()))
-        yield pa.RecordBatch.from_pydict({"block": pa.array([0], pa.int32()), "bits": pa.array([own.data.tobytes()], pa.binary())})
+            own.add(hashes(b))
+        for k in range(0, len(own.data), BLOOM_BLOCK):
+            part = own.data[k : k + BLOOM_BLOCK]
+            if part.any():
+                yield pa.RecordBatch.from_pydict({"block": pa.array([k // BLOOM_BLOCK], pa.int32()), "bits": pa.array([part.tobytes()], pa.binary())})
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        return pa.table({"block": pa.array([0], pa.int32()), "bits": pa.array([np.bitwise_or.reduce([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bits")]).tobytes()], pa.binary())})
+        bits = np.bitwise_or.reduce([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bits")])
+        return pa.table({"block": table.column("block").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
 
-    got = ids.select(column).mapInArrow(build, "block int, bits binary").groupBy("block").applyInArrow(merge, "block int, bits binary").collect()
-    for row in got:
-        empty.data |= np.frombuffer(row["bits"], np.uint8)
-    return empty
+    for row in rows.mapInArrow(build, "block int, bits binary").groupBy("block").applyInArrow(merge, "block int, bits binary").collect():
+        part = np.frombuffer(row["bits"], np.uint8)
+        out.data[row["block"] * BLOOM_BLOCK :][: len(part)] |= part
+    return out
+
+
+def bloom_of(ids: DataFrame, column: str, n: int) -> Bloom:
+    """Bloom filter of a column's values; nulls are left out."""
+    return merged_bloom(ids.select(column), n, lambda b: id_hashes(b.column(0).drop_null()))
 
 
 def sum_blocks(parts: DataFrame, width: int) -> np.ndarray:

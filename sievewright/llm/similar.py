@@ -98,7 +98,7 @@ def find(texts: DataFrame, threshold: float = 0.8, evaluation_ids: DataFrame | N
     spark = texts.sparkSession
     t, crossing = threshold, evaluation_ids is not None
     profile = cut(texts.mapInArrow(_profile, "kind string, id string, lo long, hi long, m long, block int, counts binary"))
-    members = profile.where("block is null").select("kind", "id", "lo", "hi", "m").distinct()
+    members = cut(profile.where("block is null").select("kind", "id", "lo", "hi", "m").distinct())
     counts = packed.sum_blocks(profile.where("block is not null"), 1 << packed.SKETCH_BITS)
     size = profile.where("block is null").count()
     buckets = max(2 * spark.sparkContext.defaultParallelism, -(-size // packed.BUCKET_TEXTS))
