@@ -7,8 +7,9 @@ on the risk pi R+(p) + max(0, R-(u) - pi R-(p)), where the class prior pi correc
 in the unlabelled text, and the maximum keeps the estimate of the negative risk from going below zero.
 Which sentence of a positive document is the toxic one is found by alternating: score, take the best, train.
 
-The classifier is fitted on bounded samples (``POSITIVES``, ``UNLABELLED`` documents by hash order); scoring
-reads every document whole, in numpy passes over the bytes of its text.
+The weights are fitted on bounded samples (``POSITIVES``, ``UNLABELLED`` documents by hash order); the threshold
+is chosen on the held-out scores of all labelled documents.  Scoring reads every document whole, in numpy passes
+over the bytes of its text.
 """
 
 from __future__ import annotations
@@ -37,6 +38,9 @@ LIFT = 3.5
 SURPRISE = 5.0
 #: F1 that a stricter threshold may lose; the labels' own errors hide smaller differences.
 TOLERANCE = 0.005
+#: Cells of held-out scores to a unit of their inverse hyperbolic sine, and the one of wordless texts.
+CELLS = 4096
+WORDLESS = -(1 << 30)
 #: Strength of the weights' decay.
 DECAY = 8.0
 TOXIC = ("abusive", "hateful", "sexual")
@@ -334,9 +338,10 @@ def _train(feature: np.ndarray, offsets: np.ndarray, rows: np.ndarray, positive_
 def fit(documents: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
     """A model from labelled documents, confirmed toxic by more labels than deny it, and unlabelled text.
 
-    The samples are the documents of smallest id hash.  The class prior is the share of toxic among labelled
-    documents; the threshold is the strictest whose F1 on held-out folds of the labelled ones is within TOLERANCE of the best.  Null labels and
-    null texts count for nothing.  Without two positives the model scores everything as clean.
+    The weights are fitted on samples, the documents of smallest id hash.  The class prior is the share of toxic among labelled
+    documents; the threshold is the strictest whose F1 is within TOLERANCE of the best, over all labelled documents, each scored
+    by the weights of the folds it isn't in.  Null labels and null texts count for nothing.  Without two positives the model
+    scores everything as clean.
     """
     votes = (
         labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
@@ -344,7 +349,8 @@ def fit(documents: DataFrame, labels: DataFrame, positives: int = POSITIVES, unl
         .agg(F.count_if(F.lower(F.trim("label")).isin(*TOXIC)).alias("toxic"), F.count_if(F.lower(F.trim("label")) == "clean").alias("clean"))
         .where("toxic + clean > 0")
     )
-    text = documents.where("text is not null and trim(text) <> ''").select("doc_id", "text")
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(FOLDS)).cast("int").alias("fold")
+    text = documents.where("text is not null and trim(text) <> ''").select("doc_id", "text", fold)
     place = F.xxhash64("doc_id", F.lit(3))
     ids = text.select("doc_id").join(votes, "doc_id", "left").withColumn("place", place)  # ids alone are put in order
 
@@ -353,39 +359,67 @@ def fit(documents: DataFrame, labels: DataFrame, positives: int = POSITIVES, unl
 
     chosen = first("toxic > clean", positives, 1).unionByName(first("toxic <= clean", unlabelled, 0)).unionByName(first("toxic is null", unlabelled, -1))
     shares = votes.agg(F.avg((F.col("toxic") > F.col("clean")).cast("double"))).first()[0]
-    table = text.join(chosen.dropDuplicates(["doc_id"]), "doc_id").orderBy("doc_id").select("text", "kind").toArrow()
-    return train(table.column("text").to_pylist(), np.array(table.column("kind").to_pylist(), np.int64), shares or 0.0)
+    table = text.join(chosen.dropDuplicates(["doc_id"]), "doc_id").orderBy("doc_id").select("text", "kind", "fold").toArrow()
+    kind, fold_of = (np.array(table.column(c).to_pylist(), np.int64) for c in ("kind", "fold"))
+    if (kind == 1).sum() < 2:
+        return Model(np.zeros(1 << BITS), -1.0, np.inf, 0.0, shares or 0.0)
+    folds, (w, b) = train(table.column("text").to_pylist(), kind, fold_of, shares or 0.0)
+    threshold, f1 = strictest(*held_out(text.join(votes, "doc_id").select("text", "fold", (F.col("toxic") > F.col("clean")).alias("toxic")), folds))
+    return Model(w, b, threshold, f1, shares or 0.0)
 
 
-def train(texts: list[str], kind: np.ndarray, prior: float, seed: int = 5) -> Model:
-    """kind: 1 confirmed toxic, 0 labelled otherwise, -1 not labelled."""
-    pos = np.flatnonzero(kind == 1)
-    if len(pos) < 2:
-        return Model(np.zeros(1 << BITS), -1.0, np.inf, 0.0, prior)
+def train(texts: list[str], kind: np.ndarray, fold_of: np.ndarray, prior: float) -> tuple[list[tuple[np.ndarray, float] | None], tuple[np.ndarray, float]]:
+    """Weights and bias without each fold, None where too few positives are left, and those of all.
+
+    kind: 1 confirmed toxic, 0 labelled otherwise, -1 not labelled.
+    """
     feature, offsets, rows = features(texts)
-    rng = np.random.default_rng(seed)
-    fold_of = rng.integers(0, FOLDS, len(texts))
-    held = np.full(len(texts), np.nan)
-    for k in range(FOLDS):
-        inside = fold_of != k
+
+    def on(inside: np.ndarray) -> tuple[np.ndarray, float] | None:
         if (kind[inside] == 1).sum() < 2:
-            continue
-        w, b = _train(feature, offsets, rows, np.flatnonzero(inside & (kind == 1)), np.flatnonzero(inside & (kind != 1)), prior)
-        z = row_scores(sentence_scores(w, b, feature, offsets), rows, len(texts))
-        held[fold_of == k] = z[fold_of == k]
-    judged = (kind >= 0) & ~np.isnan(held)
-    threshold, f1 = 0.0, 0.0
-    if judged.any():
-        z, y = held[judged], kind[judged] == 1
-        by = np.argsort(-z)
-        hit = np.cumsum(y[by])
-        scores = 2 * hit / (np.arange(1, len(by) + 1) + y.sum())
-        # of the thresholds as good as the best but for wrong labels the strictest: innocent look-alikes stand just below
-        best = int(np.flatnonzero(scores >= scores.max() - TOLERANCE)[0])
-        f1 = float(scores[best])
-        threshold = float((z[by][best] + z[by][min(best + 1, len(by) - 1)]) / 2)
-    w, b = _train(feature, offsets, rows, pos, np.flatnonzero(kind != 1), prior)
-    return Model(w, b, threshold, f1, prior)
+            return None
+        return _train(feature, offsets, rows, np.flatnonzero(inside & (kind == 1)), np.flatnonzero(inside & (kind != 1)), prior)
+
+    return [on(fold_of != k) for k in range(FOLDS)], on(np.ones(len(texts), bool))
+
+
+def held_out(labelled: DataFrame, folds: list[tuple[np.ndarray, float] | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Occupied cells of the held-out scores in rising order, and the toxic and all documents of each.
+
+    labelled: text, fold, toxic.  Cells are even in the inverse hyperbolic sine of the score, so their number, which is all
+    that reaches the driver, has a bound at any input; wordless texts are in the cell WORDLESS.
+    """
+    shared = labelled.sparkSession.sparkContext.broadcast([m and (m[0].astype(np.float32), m[1]) for m in folds])  # 4 MB a fold
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = shared.value
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                fold = np.asarray(part.column(1))
+                for n, m in enumerate(models):
+                    mine = part.filter(pa.array(fold == n))
+                    if m is not None and mine.num_rows:
+                        z = text_scores(*m, mine.column(0).to_pylist())
+                        cell = np.where(np.isfinite(z), np.floor(np.arcsinh(np.maximum(z, -1e9)) * CELLS), WORDLESS).astype(np.int32)
+                        yield pa.RecordBatch.from_arrays([pa.array(cell), mine.column(2)], ["cell", "toxic"])
+
+    cells = labelled.select("text", "fold", "toxic").mapInArrow(run, "cell int, toxic boolean").groupBy("cell").agg(F.count_if("toxic").alias("hit"), F.count(F.lit(1)).alias("n"))
+    found = np.array(sorted(tuple(r) for r in cells.collect()), np.int64).reshape(-1, 3)
+    return found[:, 0], found[:, 1], found[:, 2]
+
+
+def strictest(cell: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Threshold and its F1 from the cells of held-out scores: of the thresholds as good as the best but for wrong labels the
+    strictest, since innocent look-alikes stand just below."""
+    some = np.flatnonzero(cell != WORDLESS)[::-1]  # wordless texts are never toxic, though their labels count as missed
+    if not len(some):
+        return 0.0, 0.0
+    scores = 2 * np.cumsum(toxic[some]) / (np.cumsum(n[some]) + max(1, toxic.sum()))
+    best = int(np.flatnonzero(scores >= scores.max() - TOLERANCE)[0])
+    low = np.sinh(cell[some[best]] / CELLS)
+    below = np.sinh((cell[some[best + 1]] + 1) / CELLS) if best + 1 < len(some) else low
+    return float((low + below) / 2), float(scores[best])
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:

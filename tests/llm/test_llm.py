@@ -277,6 +277,26 @@ def test_toxicity_on_held_out_documents(spark):
     assert toxicity.score(d, nothing).where("toxic").count() == 0 and toxicity.score(d.limit(0), model).count() == 0
 
 
+def test_toxicity_threshold_is_that_of_all_labels(spark):
+    """A word of 30 toxic and 90 of 2,000 clean documents is worth flagging in a balanced sample, but not among all labels."""
+    rng = random.Random(4)
+    docs, labels = [], []
+    for k in range(2070):
+        toxic = k < 70
+        lines = [f"The noun{rng.randrange(60)} keeps its noun{rng.randrange(60)}." for _ in range(4)]
+        if k < 40:
+            lines.append("You worthless stupid idiot.")
+        elif k < 160:
+            lines.append("Zounds.")
+        docs.append((k, "\n".join(lines), "src"))
+        labels.append((k, "abusive" if toxic else "clean"))
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    model = toxicity.fit(d, spark.createDataFrame(labels, "doc_id long, label string"), 70, 100)
+    flagged = {r.doc_id for r in toxicity.score(d, model).where("toxic").collect()}
+    assert set(range(40)) <= flagged and not {k for k in flagged if k >= 70}
+    assert abs(model.held_out_f1 - 2 * 40 / (40 + 70)) < 0.02
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_sql(spark, duck, name):
     folder, con = duck
