@@ -7,9 +7,9 @@ on the risk pi R+(p) + max(0, R-(u) - pi R-(p)), where the class prior pi correc
 in the unlabelled text, and the maximum keeps the estimate of the negative risk from going below zero.
 Which sentence of a positive document is the toxic one is found by alternating: score, take the best, train.
 
-The weights are fitted on bounded samples (``POSITIVES``, ``UNLABELLED`` documents by hash order); the threshold
-is chosen on the held-out scores of all labelled documents.  Scoring reads every document whole, in numpy passes
-over the bytes of its text.
+The weights are fitted on bounded samples (``POSITIVES``, ``UNLABELLED`` documents by hash order), with the
+features that document counts over the whole corpus choose; the threshold is chosen on the held-out scores of
+all labelled documents.  Scoring reads every document whole, in numpy passes over the bytes of its text.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .words import mix, powers
 
 #: Most positive and most unlabelled documents that a fit reads.
-POSITIVES = 2000
-UNLABELLED = 2000
+POSITIVES = 3000
+UNLABELLED = 3000
 #: Hashed features.
 BITS = 20
 FOLDS = 3
@@ -41,6 +41,10 @@ TOLERANCE = 0.005
 #: Cells of held-out scores to a unit of their inverse hyperbolic sine, and the one of wordless texts.
 CELLS = 4096
 WORDLESS = -(1 << 30)
+#: Share of documents that a feature is given beforehand: one of a full sample; a share, so it doesn't fade as the input grows.
+RARE = 1 / (2 * UNLABELLED)
+#: Document counters of features that are added at once.
+COUNTERS = 1 << 13
 #: Strength of the weights' decay.
 DECAY = 8.0
 TOXIC = ("abusive", "hateful", "sexual")
@@ -297,23 +301,73 @@ class Model:
         return text_scores(self.weights, self.bias, texts)
 
 
-def _train(feature: np.ndarray, offsets: np.ndarray, rows: np.ndarray, positive_rows: np.ndarray, unlabelled_rows: np.ndarray, prior: float, turns: int = 4) -> tuple[np.ndarray, float]:
+#: In how many positive and other documents each feature stands, and the numbers of these documents.
+Spread = tuple[np.ndarray, np.ndarray, int, int]
+
+
+def spreads(documents: DataFrame) -> tuple[list[Spread], Spread]:
+    """Of all documents the spread without each fold, for what isn't labelled with it, and the whole one.
+
+    documents: text, fold, kind (1 confirmed toxic, 0 labelled otherwise, -1 not labelled).  Tasks write the occupied counters,
+    these are added in blocks, and only sums, whose size is fixed, reach the driver.
+    """
+    width, sets = 1 << BITS, 2 * FOLDS + 1  # not labelled; labelled otherwise and toxic by fold
+    size = sets * width + sets  # behind the features' counters those of the documents
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(-(-size // COUNTERS) * COUNTERS, np.int32)
+        for batch in batches:
+            kind, fold = np.asarray(batch.column(2)), np.asarray(batch.column(1))
+            which = np.where(kind < 0, 0, 1 + kind * FOLDS + fold).astype(np.int64)
+            for k in range(0, batch.num_rows, 512):
+                part = which[k : k + 512]
+                np.add.at(total, sets * width + part, 1)
+                w = words_of(batch.column(0).slice(k, 512).to_pylist())
+                keys = [(w.rows[s] << BITS | f).astype(np.uint32) for f, s in w.pieces()]
+                keys = np.sort(np.concatenate(keys))
+                keys = keys[np.diff(keys, prepend=keys[:1] ^ np.uint32(1)) != 0]  # a feature once a document
+                row = keys >> np.uint32(BITS)
+                for n in np.unique(part):
+                    mine = (keys[part[row] == n] & np.uint32(width - 1)).astype(np.int64)
+                    total[n * width : (n + 1) * width] += np.bincount(mine, minlength=width).astype(np.int32)
+        for k in range(0, len(total), COUNTERS):
+            part = total[k : k + COUNTERS]
+            at = np.flatnonzero(part)
+            if len(at):
+                yield pa.RecordBatch.from_pydict({"block": pa.array([k // COUNTERS], pa.int32()), "places": pa.array([at.astype(np.uint16).tobytes()], pa.binary()), "counts": pa.array([part[at].tobytes()], pa.binary())})
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        total = np.zeros(COUNTERS, np.int32)
+        for at, n in zip(table.column("places"), table.column("counts"), strict=True):
+            total[np.frombuffer(at.as_buffer(), np.uint16)] += np.frombuffer(n.as_buffer(), np.int32)
+        return pa.table({"block": table.column("block").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    found = np.zeros(-(-size // COUNTERS) * COUNTERS, np.int32)
+    summed = documents.select("text", "fold", "kind").mapInArrow(count, "block int, places binary, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary")
+    for row in summed.toLocalIterator():
+        found[row["block"] * COUNTERS :][:COUNTERS] = np.frombuffer(row["counts"], np.int32)
+    features_in, documents_in = found[: sets * width].reshape(sets, width), found[sets * width : size]
+
+    def of(fold: int | None) -> Spread:
+        other = [0, *(1 + k for k in range(FOLDS) if k != fold)]
+        toxic = [1 + FOLDS + k for k in range(FOLDS) if k != fold]
+        return features_in[toxic].sum(0, dtype=np.int32), features_in[other].sum(0, dtype=np.int32), int(documents_in[toxic].sum()), int(documents_in[other].sum())
+
+    return [of(k) for k in range(FOLDS)], of(None)
+
+
+def _train(feature: np.ndarray, offsets: np.ndarray, rows: np.ndarray, positive_rows: np.ndarray, unlabelled_rows: np.ndarray, prior: float, spread: Spread, turns: int = 4) -> tuple[np.ndarray, float]:
     n_rows = int(max(rows.max(initial=0), positive_rows.max(initial=0), unlabelled_rows.max(initial=0))) + 1
     is_positive, in_unlabelled = np.zeros(n_rows, bool), np.zeros(n_rows, bool)
     is_positive[positive_rows] = True
     in_unlabelled[unlabelled_rows] = True
     sentence_p, sentence_u = np.flatnonzero(is_positive[rows]), np.flatnonzero(in_unlabelled[rows])
-    owner = np.repeat(rows.astype(np.int32), np.diff(offsets))
     width = 1 << BITS
-
-    def spread(which: np.ndarray) -> np.ndarray:  # in how many of the documents each feature stands
-        mine = which[owner]
-        return np.bincount(np.unique(owner[mine].astype(np.int64) * width + feature[mine]) & (width - 1), minlength=width)
-
-    in_p, in_u = spread(is_positive), spread(in_unlabelled)
-    ratio = ((in_p + 0.1) / (len(positive_rows) + 1)) / ((in_u + 1.0) / (len(unlabelled_rows) + 1))
+    in_p, in_u, n_p, n_u = spread
+    share_u = in_u / max(1, n_u) + RARE
+    ratio = ((in_p + 0.1) / (n_p + 1)) / share_u
     # what stands in one positive document only, or hardly more often than elsewhere, says nothing of others
-    expected = (in_u + 1.0) / (len(unlabelled_rows) + 1) * len(positive_rows)
+    expected = share_u * n_p
     telling = (in_p >= 2) & (ratio >= LIFT) & (in_p - expected >= SURPRISE * np.sqrt(expected))
     allowed = telling.copy()
     w, b = np.where(telling, np.log(np.maximum(ratio, 1)), 0), 0.0
@@ -338,7 +392,7 @@ def _train(feature: np.ndarray, offsets: np.ndarray, rows: np.ndarray, positive_
 def fit(documents: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
     """A model from labelled documents, confirmed toxic by more labels than deny it, and unlabelled text.
 
-    The weights are fitted on samples, the documents of smallest id hash.  The class prior is the share of toxic among labelled
+    The weights are fitted on samples, the documents of smallest id hash, with features chosen by their counts in all documents.  The class prior is the share of toxic among labelled
     documents; the threshold is the strictest whose F1 is within TOLERANCE of the best, over all labelled documents, each scored
     by the weights of the folds it isn't in.  Null labels and null texts count for nothing.  Without two positives the model
     scores everything as clean.
@@ -363,24 +417,25 @@ def fit(documents: DataFrame, labels: DataFrame, positives: int = POSITIVES, unl
     kind, fold_of = (np.array(table.column(c).to_pylist(), np.int64) for c in ("kind", "fold"))
     if (kind == 1).sum() < 2:
         return Model(np.zeros(1 << BITS), -1.0, np.inf, 0.0, shares or 0.0)
-    folds, (w, b) = train(table.column("text").to_pylist(), kind, fold_of, shares or 0.0)
+    everything = text.join(votes, "doc_id", "left").select("text", "fold", F.when(F.col("toxic") > F.col("clean"), 1).when(F.col("toxic").isNotNull(), 0).otherwise(-1).alias("kind"))
+    folds, (w, b) = train(table.column("text").to_pylist(), kind, fold_of, shares or 0.0, *spreads(everything))
     threshold, f1 = strictest(*held_out(text.join(votes, "doc_id").select("text", "fold", (F.col("toxic") > F.col("clean")).alias("toxic")), folds))
     return Model(w, b, threshold, f1, shares or 0.0)
 
 
-def train(texts: list[str], kind: np.ndarray, fold_of: np.ndarray, prior: float) -> tuple[list[tuple[np.ndarray, float] | None], tuple[np.ndarray, float]]:
+def train(texts: list[str], kind: np.ndarray, fold_of: np.ndarray, prior: float, without: list[Spread], whole: Spread) -> tuple[list[tuple[np.ndarray, float] | None], tuple[np.ndarray, float]]:
     """Weights and bias without each fold, None where too few positives are left, and those of all.
 
-    kind: 1 confirmed toxic, 0 labelled otherwise, -1 not labelled.
+    kind: 1 confirmed toxic, 0 labelled otherwise, -1 not labelled.  without, whole: the spreads of all documents.
     """
     feature, offsets, rows = features(texts)
 
-    def on(inside: np.ndarray) -> tuple[np.ndarray, float] | None:
+    def on(inside: np.ndarray, spread: Spread) -> tuple[np.ndarray, float] | None:
         if (kind[inside] == 1).sum() < 2:
             return None
-        return _train(feature, offsets, rows, np.flatnonzero(inside & (kind == 1)), np.flatnonzero(inside & (kind != 1)), prior)
+        return _train(feature, offsets, rows, np.flatnonzero(inside & (kind == 1)), np.flatnonzero(inside & (kind != 1)), prior, spread)
 
-    return [on(fold_of != k) for k in range(FOLDS)], on(np.ones(len(texts), bool))
+    return [on((fold_of != k) | (kind < 0), without[k]) for k in range(FOLDS)], on(np.ones(len(texts), bool), whole)
 
 
 def held_out(labelled: DataFrame, folds: list[tuple[np.ndarray, float] | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -297,6 +297,33 @@ def test_toxicity_threshold_is_that_of_all_labels(spark):
     assert abs(model.held_out_f1 - 2 * 40 / (40 + 70)) < 0.02
 
 
+def test_toxicity_counts_features_in_all_documents(spark):
+    rng = random.Random(2)
+    rows = [(" ".join(f"w{rng.randrange(50)}" for _ in range(30)) + ". w1", rng.randrange(toxicity.FOLDS), rng.choice([-1, -1, 0, 1])) for _ in range(1500)]
+    without, whole = toxicity.spreads(spark.createDataFrame(rows, "text string, fold int, kind int"))
+    feature, offsets, at = toxicity.features([r[0] for r in rows])
+    owner = np.repeat(at, np.diff(offsets))
+    for fold, got in [*enumerate(without), (None, whole)]:
+        for n, sign in enumerate((True, False)):
+            mine = np.array([(r[2] == 1) == sign and (r[1] != fold or r[2] < 0) for r in rows])
+            want = np.zeros(1 << toxicity.BITS, int)
+            for f in {(int(o), int(f)) for o, f in zip(owner, feature, strict=True) if mine[o]}:
+                want[f[1]] += 1
+            assert (got[n] == want).all() and got[n + 2] == mine.sum()
+
+
+def test_toxicity_features_do_not_depend_on_the_sample(spark, monkeypatch):
+    """The counts that choose features are those of all documents, however few a fit samples, and the shipped sample is 3,000."""
+    seen = []
+    train = toxicity._train
+    monkeypatch.setattr(toxicity, "_train", lambda *a, **k: seen.append(a[6]) or train(*a, **k))
+    docs = [(k, f"word{k % 7} is here. " + ("You stupid idiot." if k % 10 == 0 else "All fine."), "s") for k in range(600)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(k, "abusive" if k % 10 == 0 else "clean") for k in range(300)], "doc_id long, label string")
+    toxicity.fit(d, labels, 10, 10)
+    assert seen[-1][2:] == (30, 570) and (toxicity.POSITIVES, toxicity.UNLABELLED) == (3000, 3000)
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_sql(spark, duck, name):
     folder, con = duck
