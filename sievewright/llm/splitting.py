@@ -4,9 +4,10 @@ A component is all records of one entity.  Components start in the split their h
 of parallel annealing move components between splits, and exchange them, to reduce the deviation of sizes and
 of label counts from the targets.  A round deals the components anew into blocks of bounded size, one task
 each.  A block is given its part of the whole deviation to remove and anneals its own components with several
-chains; components larger than a block's fair share are dealt first, evenly, so one that holds a third of all
-rows is one row in one block.  After a round the whole deviation (one number for each split and label) is
-summed; the best assignment of all rounds is kept.  Only these sums reach the driver.
+chains.  A component that isn't small beside a block can't be moved there, since it changes more than the block is to
+remove; these, at most FINE for a block and measure, are placed before the rounds so that no split overflows, and
+annealed against the whole deviation after each.  After a round the whole deviation (one number for each split and
+label) is summed; the best assignment of all rounds is kept.  Only these sums and the large components reach the driver.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ BLOCK = 2048
 ROUNDS = 4
 CHAINS = 4
 STEPS = 12000
+#: A component of more than this part of a block's fair share, in size or a label, is placed globally.
+FINE = 16
 
 
 def anneal(weights: np.ndarray, start: np.ndarray, goal: np.ndarray, seed: int, steps: int, importance: np.ndarray, warmth: float = 1.0) -> np.ndarray:
@@ -73,6 +76,19 @@ def anneal(weights: np.ndarray, start: np.ndarray, goal: np.ndarray, seed: int,
     return best
 
 
+def place_large(weights: np.ndarray, start: np.ndarray, goal: np.ndarray, importance: np.ndarray) -> np.ndarray:
+    """Splits of the large components, largest first: the one of start if goal isn't exceeded there, else where it is least
+    exceeded, and of several such splits the emptiest."""
+    at, left = start.copy(), goal.astype(float).copy()
+    for i in np.argsort(-(weights * importance).sum(1), kind="stable"):
+        over = (np.maximum(0, weights[i] - np.maximum(0, left)) * importance).sum(1)
+        if over[at[i]] > 1e-12:
+            room = (left * importance).sum(1)
+            at[i] = max(range(len(goal)), key=lambda k: (-round(over[k], 12), room[k]))
+        left[at[i]] -= weights[i]
+    return at
+
+
 def assign_components(stats: DataFrame, targets: DataFrame, seed: int = 7, rounds: int = ROUNDS) -> DataFrame:
     """component, split for stats (component, n, l0, l1, ...): sizes and label counts of each component.
 
@@ -109,8 +125,23 @@ def assign_components(stats: DataFrame, targets: DataFrame, seed: int = 7, round
             out[r["at"]] = [r[c] or 0 for c in labels]
         return out
 
-    have = sums(state)
-    best, best_energy = state, float((np.abs(goal - have) * importance).sum())
+    fixed, fixed_at, keys = np.zeros((0, len(labels))), np.zeros(0, np.int64), []
+    if blocks > 1:
+        is_large = F.greatest(*[F.coalesce(F.col(c), F.lit(0)) * float(blocks * FINE) > float(max(total[k], 1)) for k, c in enumerate(labels)])
+        large = state.where(is_large).orderBy("component").toPandas()
+        keys, fixed = list(large["component"]), large[labels].fillna(0).to_numpy(float)
+        fixed_at = place_large(fixed, large["at"].to_numpy(np.int64), goal, importance)
+        if keys:
+            state = cut(state.where(~is_large))
+
+    def held() -> np.ndarray:
+        out = np.zeros_like(goal)
+        np.add.at(out, fixed_at, fixed)
+        return out
+
+    rest = sums(state)
+    have = rest + held()
+    best, best_at, best_energy = state, fixed_at, float((np.abs(goal - have) * importance).sum())
     for number in range(rounds if blocks > 1 else 1):
         if best_energy < 1e-6:
             break
@@ -134,15 +165,29 @@ def assign_components(stats: DataFrame, targets: DataFrame, seed: int = 7, round
 
         block = F.pmod(F.xxhash64(F.col("component").cast("string"), F.lit(seed + 1 + number)), F.lit(blocks)).cast("int")
         state = cut(state.withColumn("block", block).groupBy("block").applyInPandas(run, state.schema))
-        have = sums(state)
+        rest = sums(state)
+        if keys:
+            tries = [anneal(fixed, fixed_at, goal - rest, seed * 1000 + number * 100 + c, STEPS, importance, 8.0**c) for c in range(CHAINS)]
+
+            def off(a: np.ndarray) -> float:
+                g = goal - rest
+                np.subtract.at(g, a, fixed)
+                return float((np.abs(g) * importance).sum())
+
+            fixed_at = min([fixed_at, *tries], key=off)
+        have = rest + held()
         energy = float((np.abs(goal - have) * importance).sum())
         if energy < best_energy:
-            best, best_energy = state, energy
+            best, best_at, best_energy = state, fixed_at, energy
         else:
-            state = best
-            have = sums(state)
+            state, fixed_at = best, best_at
+            have = sums(state) + held()
     named = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("at") + 1)
-    return best.select("component", named.alias("split"))
+    found = best.select("component", "at")
+    if keys:
+        placed = spark.createDataFrame(list(zip(keys, map(int, best_at), strict=True)), found.select("component", F.col("at").cast("int")).schema)
+        found = found.unionByName(placed)
+    return found.select("component", named.alias("split"))
 
 
 def split_records(samples: DataFrame, aliases: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:

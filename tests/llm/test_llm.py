@@ -179,6 +179,22 @@ def test_annealing_improves_and_keeps_the_best():
     assert off(splitting.anneal(w, start, goal, 3, 6000, np.ones(2))) < min(20, off(start))
 
 
+@pytest.mark.parametrize("sizes", [[1000], [700, 650], [400] * 4])
+def test_large_components_reach_the_targets_in_blocks(spark, monkeypatch, sizes):
+    """Entities that hold a good part of all rows don't keep their hashed split where several blocks are annealed."""
+    monkeypatch.setattr(splitting, "BLOCK", 128)
+    targets = spark.createDataFrame([("train", 0.8), ("validation", 0.1), ("test", 0.1)], "split string, share double")
+    for seed in (1, 2):
+        rng = random.Random(seed)
+        rows = [(f"big{k}", n, n // 2, n // 4) for k, n in enumerate(sizes)] + [(f"c{k}", *[rng.randint(1, 5)] * 2, 0) for k in range(600)]
+        df = spark.createDataFrame(rows, "component string, n int, solved int, unsolved int")
+        at = {r.component: r.split for r in splitting.assign_components(df, targets, seed).collect()}
+        total, got = sum(r[1] for r in rows), collections.Counter()
+        for r in rows:
+            got[at[r[0]]] += r[1]
+        assert len(at) == len(rows) and all(abs(got[s] / total - w) < 0.02 for s, w in (("train", 0.8), ("validation", 0.1), ("test", 0.1))), (seed, got)
+
+
 def test_leaks_against_brute_force(spark):
     rng = random.Random(6)
     vocabulary = [f"t{k}" for k in range(300)]
