@@ -158,6 +158,119 @@ def _extend(d: np.ndarray, d0: int, q: np.ndarray, q0: int, tolerance: int) -> t
     return exact, hi - lo, int(same[lo:hi].sum())
 
 
+_AT_DDL = "seed long, key long, at int, near binary"
+
+
+def _seed_places(bloom, reach: int, beyond: int):
+    """Rows of all seeds that the Bloom filter lets through, with a byte of each word up to reach words around; beyond, under
+    2, stands for what is outside of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, _CHUNK):
+                part = batch.slice(k, _CHUNK)
+                h, offsets = words(part.column(1))
+                seed, place = seeds(h, offsets, 1)
+                if len(seed):
+                    hit = bloom.value.has(_places(seed))
+                    seed, place = seed[hit], place[hit]
+                if len(seed):
+                    row = np.searchsorted(offsets, place, "right") - 1
+                    at = place[:, None] + np.arange(-reach, SPAN + reach)
+                    byte = (h >> np.uint64(40)).astype(np.uint8) | np.uint8(2)
+                    near = np.where((at >= offsets[row][:, None]) & (at < offsets[row + 1][:, None]), byte[np.clip(at, 0, len(h) - 1)], np.uint8(beyond)).astype(np.uint8)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(seed.view(np.int64)), part.column(0).take(pa.array(row)), pa.array((place - offsets[row]).astype(np.int32)), pa.array([x.tobytes() for x in near], pa.binary()),
+                    ], ["seed", "key", "at", "near"])
+
+    return run
+
+
+def _diagonal(d: np.ndarray, q: np.ndarray, shift: int, places: np.ndarray, tolerance: int) -> tuple[int, int, int]:
+    """As _extend, over all seeds of one diagonal (document place - item place = shift) and without a limit of reach."""
+    exact = overlap = equal = 0
+    first = max(0, shift)
+    a, b = d[first:], q[max(0, -shift) :]
+    n = min(len(a), len(b))
+    same = a[:n] == b[:n]
+    hit = np.zeros(n + 1, bool)
+    hit[places - first] = True
+    edges = np.flatnonzero(np.diff(same, prepend=False, append=False))
+    met = np.concatenate([[0], np.cumsum(hit)])
+    starts, stops = edges[0::2], edges[1::2]
+    meets = met[stops] > met[np.maximum(0, starts - SPAN + 1)]
+    exact = int((stops - starts)[meets].max()) if meets.any() else 0
+    wrong = np.flatnonzero(~same)
+    # a seed whose word before is equal and starts a seed too extends as that one does
+    for p in np.flatnonzero(hit[:n] & ~np.concatenate([[False], hit[: n - 1] & same[: n - 1]])):
+        k = int(np.searchsorted(wrong, p))
+        lo = int(wrong[k - tolerance - 1]) + 1 if k > tolerance else 0
+        hi = int(wrong[k + tolerance]) if k + tolerance < len(wrong) else n
+        good = lo + np.flatnonzero(same[lo:hi])
+        if len(good) and int(good[-1]) + 1 - int(good[0]) > 0:
+            overlap, equal = max(overlap, int(good[-1]) + 1 - int(good[0])), max(equal, len(good))
+    return exact, overlap, equal
+
+
+def all_leaks(documents: DataFrame, items: DataFrame, run: int = RUN, tolerance: int = TOLERANCE) -> DataFrame:
+    """As leaks, from all seeds and with true lengths: a pair is found if any seed of any mask is common to a passage.
+
+    Seeds travel with a byte of each word around, which refutes most hits and no leak; those of one diagonal that are left
+    are one hit, and the texts of a pair meet once to be compared.
+    """
+    broadcast = documents.sparkSession.sparkContext.broadcast
+    reach = run + tolerance  # as far as it takes to tell whether run words overlap
+    kind = dict(documents.dtypes)["doc_id"]
+    docs = documents.where("text is not null and doc_id is not null").select("doc_id", F.xxhash64("text").alias("key"), "text")
+    wanted = cut(items.where("item_id is not null and text is not null").select("item_id", F.xxhash64("text").alias("key"), "text").distinct())
+    n = wanted.select(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    only = wanted.select("key", "text").dropDuplicates(["key"])
+
+    def hashes(batch: pa.RecordBatch) -> np.ndarray:
+        found = [seeds(*words(batch.slice(k, _CHUNK).column(1)), 1)[0] for k in range(0, batch.num_rows, _CHUNK)]
+        return _places(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+    d = cut(docs.select("key", "text").mapInArrow(_seed_places(broadcast(merged_bloom(only, n // 3 + 1, hashes)), reach, 0), _AT_DDL).distinct()).toDF("seed", "doc", "doc_at", "doc_near")
+    q = only.mapInArrow(_seed_places(broadcast(bloom_of(d, "seed", d.count())), reach, 1), _AT_DDL).toDF("seed", "item", "item_at", "item_near")
+
+    def refute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("doc_near", "item_near"))
+            length = np.zeros(b.num_rows, np.int64)
+            same = x == y
+            for part in (same[:, reach:], same[:, :reach][:, ::-1]):
+                good = part & (np.cumsum(~part, 1) <= tolerance)
+                length += np.where(good.any(1), part.shape[1] - np.argmax(good[:, ::-1], 1), 0)
+            yield b.select(["doc", "item", "doc_at", "item_at"]).filter(pa.array(length >= run))
+
+    near = d.join(q, "seed").select("doc", "item", "doc_at", "item_at", "doc_near", "item_near").mapInArrow(refute, "doc long, item long, doc_at int, item_at int")
+    hits = near.groupBy("doc", "item", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(F.collect_set("doc_at").alias("places"))
+    pairs = hits.groupBy("doc", "item").agg(F.collect_list(F.struct("shift", "places")).alias("diagonals"))
+    texts = docs.select("key", "text").dropDuplicates(["key"])
+    both = pairs.join(texts.toDF("doc", "doc_text"), "doc").join(only.toDF("item", "item_text"), "item").select("doc", "item", "diagonals", "doc_text", "item_text")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 256):
+                b = whole.slice(k, 256)
+                (dw, do), (qw, qo) = words(b.column(3)), words(b.column(4))
+                got = []
+                for r, diagonals in enumerate(b.column(2).to_pylist()):
+                    x, y = dw[do[r] : do[r + 1]], qw[qo[r] : qo[r + 1]]
+                    each = [_diagonal(x, y, g["shift"], np.array(g["places"], np.int64), tolerance) for g in diagonals]
+                    kept = [e for e in each if e[1] >= run]
+                    got.append(tuple(max(e) for e in zip(*kept, strict=True)) if kept else (0, 0, 0))
+                e, o, s = (np.array(x, np.int32) for x in zip(*got, strict=True))
+                out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(e), pa.array(o), pa.array(s)], ["doc", "item", "exact_words", "overlap_words", "equal_words"])
+                yield out.filter(pa.array(o >= run))
+
+    found = both.mapInArrow(verify, "doc long, item long, exact_words int, overlap_words int, equal_words int")
+    named = found.join(docs.select("doc_id", F.col("key").alias("doc")), "doc").join(wanted.select("item_id", F.col("key").alias("item")), "item")
+    return named.groupBy(F.col("doc_id").cast(kind).alias("doc_id"), "item_id").agg(*[F.max(c).alias(c) for c in ("exact_words", "overlap_words", "equal_words")])
+
+
 def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, tolerance: int = TOLERANCE) -> DataFrame:
     """doc_id, item_id, exact_words, overlap_words, equal_words of the documents and items that share a passage.
 

@@ -98,17 +98,17 @@ def p6_splits(spark: SparkSession, folder: str) -> DataFrame:
     return _split(spark, folder).select("sample_id", "entity", "split")
 
 
-def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+def _leaks(spark: SparkSession, folder: str, find: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     items = leaks.item_texts(table(spark, folder, "benchmark_entries"), table(spark, folder, "samples"), samples.splits(table(spark, folder, "split_assignments")))
-    return leaks.leaks(table(spark, folder, "documents"), items)
+    return find(table(spark, folder, "documents"), items)
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _leaks(spark, folder).where(F.col("exact_words") >= leaks.RUN).select("doc_id", "item_id")
+    return _leaks(spark, folder, leaks.leaks).where(F.col("exact_words") >= leaks.RUN).select("doc_id", "item_id")
 
 
 def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
-    return _leaks(spark, folder)
+    return _leaks(spark, folder, leaks.all_leaks)
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:

@@ -225,6 +225,22 @@ def test_leaks_against_brute_force(spark):
     assert leaks.leaks(d.limit(0), q).count() == 0 and leaks.leaks(d, q.limit(0)).count() == 0
 
 
+def test_tolerant_leaks_are_whole(spark):
+    """Passages with substitutions are found wherever a seed fits, and lengths are not cut off at a reach."""
+    rng = random.Random(9)
+    fresh = iter(range(10**6))
+    docs, items = [], []
+    for k in range(60):
+        n, wrong = [(20, [13]), (25, [12]), (36, [12, 24]), (400, [100, 300])][k % 4]
+        piece = [f"p{next(fresh)}" for _ in range(n)]
+        items.append((f"i{k}", " ".join(piece)))
+        pad = [f"d{rng.randrange(10**6)}x" for _ in range(20)]
+        docs.append((k, " ".join([*pad, *[f"z{next(fresh)}" if p in wrong else w for p, w in enumerate(piece)], *pad])))
+    got = {(r.doc_id, r.item_id): (r.exact_words, r.overlap_words, r.equal_words) for r in leaks.all_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")).collect()}
+    want = {(k, f"i{k}"): [(13, 20, 19), (12, 25, 24), (12, 36, 34), (199, 400, 398)][k % 4] for k in range(60)}
+    assert got == want
+
+
 def test_tokenizer_equals_the_public_one(spark):
     import tiktoken
     import public_tokenizers
