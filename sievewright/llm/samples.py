@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.repository import repository_key
-from ..sources.tables import cut
+from ..operators.aliases import entities
 
 
 def sample_id(c: Column) -> Column:
@@ -19,31 +19,6 @@ def split_name(c: Column) -> Column:
     return F.when(x.isin("val", "dev"), "validation").otherwise(x)
 
 
-def entities(aliases: DataFrame) -> DataFrame:
-    """name, entity: for each alias the name where no further alias applies.
-
-    Spellings are made canonical, repeated and null rows dropped; of several targets of one alias the smallest
-    counts; a name that is its own alias applies no further.  Chains are halved by joining the mapping with
-    itself until nothing moves, so no step holds the table on the driver; a cycle is an error.
-    """
-    step = (
-        aliases.select(repository_key(F.col("alias")).alias("name"), repository_key(F.col("target")).alias("entity"))
-        .where("name is not null and entity is not null and name <> entity")
-        .groupBy("name")
-        .agg(F.min("entity").alias("entity"))
-    )
-    now = cut(step)
-    for _ in range(64):
-        on = now.select(F.col("name").alias("entity"), F.col("entity").alias("further"))
-        moved = cut(now.join(on, "entity", "left").select("name", F.coalesce("further", "entity").alias("entity"), F.col("further").isNotNull().alias("moved")))
-        if moved.where("name = entity").limit(1).count():
-            raise ValueError("repository aliases form a cycle")
-        if not moved.where("moved").limit(1).count():
-            return moved.select("name", "entity")
-        now = moved.select("name", "entity")
-    raise ValueError("repository aliases form a cycle")
-
-
 def with_entity(records: DataFrame, aliases: DataFrame) -> DataFrame:
     """Adds name (canonical repository) and entity; a repository without a name has neither."""
     known = entities(aliases)

@@ -184,13 +184,21 @@ def split_repositories(samples: DataFrame, benchmark: DataFrame, seed: int, eval
     return placed.join(excluded, "contamination_group", "left").select("sample_id", "repository", "contamination_group", split.alias("split"))
 
 
-def evidence(samples: DataFrame, benchmark: DataFrame, assigned: DataFrame) -> DataFrame:
-    """name, n: counts of values, groups, overlaps and of samples and repositories in each split."""
+def evidence(samples: DataFrame, benchmark: DataFrame, assigned: DataFrame, near: float | None = None) -> DataFrame:
+    """name, n: counts of values, groups, overlaps and of samples and repositories in each split; with near also of the near
+    candidates and matches among samples and with the benchmark."""
     values = content(samples)
     groups = exact_groups(values).groupBy("kind").agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit("exact_groups_"), "kind").alias("name"), "n")
     distinct = values.select("kind", "fingerprint").distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit("values_"), "kind").alias("name"), "n")
     hits = exact_overlap(values, benchmark_values(benchmark)).agg(F.count_distinct("sample_id").alias("n")).select(F.lit("overlap_samples").alias("name"), "n")
     per = assigned.groupBy("split").agg(F.count(F.lit(1)).alias("s"), F.count_distinct("repository").alias("r"))
     splits = per.select(F.inline(F.array(F.struct(F.concat(F.lit("samples_"), "split").alias("name"), F.col("s").alias("n")), F.struct(F.concat(F.lit("repositories_"), "split").alias("name"), F.col("r").alias("n")))))
-    return groups.unionByName(distinct).unionByName(hits).unionByName(splits)
+    out = groups.unionByName(distinct).unionByName(hits).unionByName(splits)
+    if near is not None:
+        values, bench = cut(values), cut(benchmark_values(benchmark))
+        for what, left, symmetric in (("samples", values, True), ("benchmark", bench, False)):
+            candidates = near_candidates(left, values, near, symmetric)
+            for name, rows in (("candidates", candidates), ("matches", near_pairs(candidates, near))):
+                out = out.unionByName(rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(f"near_{name}_{what}").alias("name"), "n"))
+    return out
 

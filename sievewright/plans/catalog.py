@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def entry(spark: SparkSession, folder: str) -> DataFrame:
-    return curation_queries.decontaminated_split(spark, folder)
+    return curation_queries.whole_decontaminated_split(spark, folder)

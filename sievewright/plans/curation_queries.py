@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.repository import canonical_repository
-from ..operators import contamination, decisions, evidence, normalization, profile, recovery, selection
+from ..operators import aliases, contamination, decisions, evidence, normalization, profile, recovery, selection
 from ..sources.tables import table
 from .curation_sql import SQL as SQL
 
-SEED, FRACTION = 11, 0.5
+SEED, FRACTION, NEAR = 11, 0.5, 0.95
 
 
 def _tasks(spark: SparkSession, folder: str) -> DataFrame:
@@ -122,8 +122,25 @@ def near_benchmark_overlap(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.near_pairs(contamination.near_candidates(b, v, 0.95, False), 0.95).select("kind", "fp_l", "fp_r", F.round("similarity", 6).alias("similarity"))
 
 
+def _resolved(spark: SparkSession, folder: str) -> DataFrame:
+    """As _samples, with the repository that aliases lead to."""
+    return aliases.resolve(table(spark, folder, "samples").where("sample_id is not null").dropDuplicates(["sample_id"]), table(spark, folder, "repository_aliases"))
+
+
+def whole_decontaminated_split(spark: SparkSession, folder: str) -> DataFrame:
+    """The flagship: repositories under their resolved names, linked by equal and near content, excluded by equal and near
+    benchmark overlap, split by hash."""
+    return contamination.split_repositories(_resolved(spark, folder), table(spark, folder, "benchmark_entries"), SEED, FRACTION, NEAR)
+
+
+def whole_decontamination_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """As decontamination_evidence, of the whole split, with the near candidates and matches of samples and benchmark."""
+    s, b = _resolved(spark, folder), table(spark, folder, "benchmark_entries")
+    return contamination.evidence(s, b, contamination.split_repositories(s, b, SEED, FRACTION, NEAR), NEAR)
+
+
 def decontaminated_split(spark: SparkSession, folder: str) -> DataFrame:
-    """The flagship: repositories linked by shared content, excluded by benchmark overlap, split by hash."""
+    """The exact form of whole_decontaminated_split, which SQL can express: repositories linked by shared content, excluded by benchmark overlap, split by hash."""
     return contamination.split_repositories(_samples(spark, folder), table(spark, folder, "benchmark_entries"), SEED, FRACTION)
 
 
@@ -203,7 +220,7 @@ def snapshot_differences(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        decontaminated_split, audit_summary, audit_value_counts, duplicate_instances, first_duplicate_instances, license_rejections,
+        whole_decontaminated_split, whole_decontamination_evidence, decontaminated_split, audit_summary, audit_value_counts, duplicate_instances, first_duplicate_instances, license_rejections,
         patch_size_distribution, small_sample_distribution, observed_fields, canonical_repositories, text_fingerprints, diff_statistics,
         hash_buckets, task_decisions, task_reasons, rollout_decisions, row_numbers, claimed_once, normalized_traces, exact_groups,
         exact_benchmark_overlap, near_benchmark_overlap, near_task_pairs, decontamination_evidence, label_recovery, label_requests, label_accounting,

@@ -100,6 +100,31 @@ def test_components_and_split(spark):
     assert got["one"] == got["two"] and got["one"][0] == "r1" and got["three"] == ("r3", "excluded") and got["four"][1] in ("train", "evaluation")
 
 
+def test_whole_split_resolves_aliases_and_near_content(spark, tmp_path):
+    from difflib import SequenceMatcher
+    from itertools import combinations
+
+    from sievewright.plans import catalog, curation_queries
+
+    base = "the quick brown fox jumps over the lazy dog and runs away from the big bad wolf"
+    bench = "a benchmark task that asks for the parser to be repaired without any change of its tests"
+    patch = "diff --git a/x b/x adds one line and takes another one away in the middle of the file"
+    rows = [
+        ("old", "o/old", "about nothing in particular at all", None), ("new", "O/new", "something of quite another kind here", None), ("near1", "n/one", base, None),
+        ("near2", "n/two", base.replace("quick", "quack"), None), ("leak", "l/k", bench + "s", None), ("p1", "p/one", None, [patch]), ("p2", "p/two", None, [patch + "s"]),
+    ]
+    spark.createDataFrame(rows, "sample_id string, repository string, task_text string, patch_texts array<string>").write.parquet(f"{tmp_path}/samples.parquet")
+    spark.createDataFrame([("x", bench, "zzz")], "benchmark_id string, task_text string, patch_text string").write.parquet(f"{tmp_path}/benchmark_entries.parquet")
+    spark.createDataFrame([("o/old", "o/new")], "alias string, target string").write.parquet(f"{tmp_path}/repository_aliases.parquet")
+    got = {r.sample_id: (r.contamination_group, r.split) for r in catalog.entry(spark, str(tmp_path)).collect()}
+    assert len(got) == 7 and got["old"] == got["new"] and got["leak"][1] == "excluded"
+    near = {frozenset((a[0], b[0])) for a, b in combinations(rows, 2) for x, y in ((a[2], b[2]), ((a[3] or [None])[0], (b[3] or [None])[0])) if x and y and SequenceMatcher(None, x, y, False).ratio() >= 0.95}
+    assert near == {frozenset(("near1", "near2")), frozenset(("p1", "p2"))}
+    assert {frozenset((a, b)) for a, b in combinations(got, 2) if got[a] == got[b] and got[a][0] == got[b][0]} == near | {frozenset(("old", "new"))}
+    n = {r.name: r.n for r in curation_queries.whole_decontamination_evidence(spark, str(tmp_path)).collect()}
+    assert n["near_matches_samples"] == 2 and n["near_matches_benchmark"] == 1 and n["near_candidates_samples"] >= 2 and n["near_candidates_benchmark"] >= 1
+
+
 def test_recovery(spark):
     rows = [(0, "k", "ts", 1), (1, "k", "ts", None), (2, "c", "js", 1), (3, "c", "js", 0), (4, "c", "js", -1), (5, "n", "ts", None), (6, "n", "ts", -1), (7, "k", "python", None)]
     df = spark.createDataFrame(rows, "row_id long, key string, lang string, resolved int")
