@@ -112,8 +112,9 @@ def exact_benchmark_overlap(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def near_task_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    v = contamination.content(_samples(spark, folder)).where("kind = 'task'")
-    return contamination.near_pairs(contamination.near_candidates(v, v, 0.95, True), 0.95).select("fp_l", "fp_r", F.round("similarity", 6).alias("similarity"))
+    """Near pairs of task texts and of patches, each kind with itself."""
+    v = contamination.content(_samples(spark, folder))
+    return contamination.near_pairs(contamination.near_candidates(v, v, NEAR, True), NEAR).select("kind", "fp_l", "fp_r", F.round("similarity", 6).alias("similarity"))
 
 
 def near_benchmark_overlap(spark: SparkSession, folder: str) -> DataFrame:

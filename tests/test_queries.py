@@ -32,3 +32,23 @@ def test_near_task_pairs_against_brute_force(spark, duck):
         have = {r.fingerprint: r.text for r in v.collect()}
         want = {frozenset((a, b)) for a in have for b in have if a < b and max(SequenceMatcher(None, have[a], have[b], False).ratio(), SequenceMatcher(None, have[b], have[a], False).ratio()) >= t}
         assert got == want
+
+
+def test_near_pairs_of_both_kinds_against_brute_force(spark, tmp_path):
+    from difflib import SequenceMatcher
+    from hashlib import sha256
+    from itertools import combinations
+
+    base = {"task": "the quick brown fox jumps over the lazy dog and runs from the wolf", "patch": "one line is added and another one taken away from the parser of dates"}
+    texts = {k: [x, x.replace("one", "two").replace("quick", "quack"), x + "s", "something else entirely"] for k, x in base.items()}
+    rows = [(f"s{k}", f"a/r{k}", texts["task"][k], [texts["patch"][k]]) for k in range(4)]
+    spark.createDataFrame(rows, "sample_id string, repository string, task_text string, patch_texts array<string>").write.parquet(f"{tmp_path}/samples.parquet")
+    hashed = lambda x: sha256(x.encode()).hexdigest()
+    want = {
+        (k, *sorted((hashed(a), hashed(b))))
+        for k, found in texts.items()
+        for a, b in combinations(found, 2)
+        if max(SequenceMatcher(None, a, b, False).ratio(), SequenceMatcher(None, b, a, False).ratio()) >= 0.95
+    }
+    got = {(r.kind, r.fp_l, r.fp_r) for r in catalog.queries()["near_task_pairs"](spark, str(tmp_path)).collect()}
+    assert got == want and {k for k, _, _ in want} == {"task", "patch"}
