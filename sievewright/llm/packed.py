@@ -10,14 +10,23 @@ Counts are kept modulo four in the two-bit Gray code, whose bit differences are
 circle of four, again no more than those of the counts; so a text has 256 bits, and the distance of two texts
 is the popcount of their exclusive or.
 
-Grid.  The fine embedding (one segment a word) is cut into unary cells (segment, level), i.e. elements.
-With cells in one order fixed for the corpus, rare ones first, a pair within the radius has its first common
-cell among the first m - c + 1 cells of one and the first n - c + 1 of the other.  So a text enters only
-those cells, and in a cell the join ranges over the interval of lengths the radius still allows there.
-A cell more frequent than ``hot`` is divided by the *second* common cell, which exists for every pair of
-different texts that can pass; its pairs are again those of the interval, so nothing is lost or capped.
-Texts of more than ``LONG`` words don't divide cells (their prefixes are long, and such texts rare);
-texts that can pair with them enter the undivided cells as well.
+Grid.  The embedding by fine segments (64-bit ranges, so that one holds hardly more than one word) is cut into
+unary grid cells (segment, level), i.e. elements; elements in one order fixed for the corpus, rare ones first,
+make a text a string, in which elements that differ are insertions and deletions.
+
+* An element of at most ``hot`` occurrences in the corpus is a cell of its own.  A pair within the radius that shares one
+  has its first common element among the first m - c + 1 of one text and the first n - c + 1 of the other, so a text
+  enters only these.
+* Elements more frequent than ``hot`` stand at the end of every string.  A pair that shares none of the others has
+  its c common elements there; at most (1 - t)(m + n) differing elements part them, less the rare ones, so at
+  least (1.5 t - 1)(m + n) - 1 neighbours among them are neighbours in both strings.  Two neighbours are one cell, and a
+  text enters the first of them, as many as can be before the first common one.  A text thus enters fewer cells than
+  it has words, whatever is hot, and nothing is lost or capped.  Texts too short for this bound, of under
+  six words at t = 0.8, and those that can pair with them, enter single frequent elements as well.
+
+In a cell the join ranges over the interval of lengths that the Manhattan radius allows, then over positions: a shared
+element at i of m and j of n leaves |i - j| elements before and |(m - i) - (n - j)| behind that differ; then over the
+distance of the coarse embeddings.
 
 Exchange.  Cell entries travel as packed arrays, one row for each batch and bucket, so the JVM moves a few
 large binaries and a text's embedding goes once to a bucket however many of its cells fall there.
@@ -39,14 +48,14 @@ SKETCH_BITS = 18
 SKETCH_BLOCK = 1 << 12
 #: Segments of a text's coarse embedding, two bits each.
 SEGMENTS = 128
-#: Texts of more words than this keep to undivided cells.
-LONG = 1024
 #: Texts handled at once; their row number needs 14 bits.
 CHUNK = 1 << 12
 #: Pairs handled at once.
 PAIRS = 1 << 20
-#: Texts of one bucket, on average, before its cells bring in others.
-BUCKET_TEXTS = 1 << 16
+#: Texts of one bucket, on average, before its cells bring in others; the number of buckets grows with the texts.
+BUCKET_TEXTS = 1 << 13
+#: Bit of a key that tells a cell of two neighbours from one of a single element.
+PAIR = np.uint64(1 << 24)
 
 _GRAY = np.array([0, 1, 3, 2], np.uint8)
 
@@ -92,10 +101,16 @@ def ordered(e: np.ndarray, offsets: np.ndarray, klass: np.ndarray) -> np.ndarray
     return np.argsort(key)
 
 
-def cells(e: np.ndarray, offsets: np.ndarray, counts: np.ndarray, klass: np.ndarray, t: float, hot: int, useful: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cells a chunk's texts enter: key, row, and s, the most elements a pair first meeting there can share.
+def short(t: float) -> int:
+    """The length from which on texts are sure to share neighbours among c common elements with every partner."""
+    gain = 1.5 * t - 1
+    return 1 << 40 if gain < 0.01 else int(np.ceil(2 / (gain * (1 + t / (2 - t))) - 1e-9))
 
-    useful: segments outside of it can meet no partner and are left out.
+
+def cells(e: np.ndarray, offsets: np.ndarray, counts: np.ndarray, klass: np.ndarray, t: float, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells a chunk's texts enter: key, row, and the place of the cell's (first) element in the text's order.
+
+    A text of m elements enters at most m - c + 1 single elements and m neighbours.
     """
     order = ordered(e, offsets, klass)
     e = e[order]
@@ -105,62 +120,47 @@ def cells(e: np.ndarray, offsets: np.ndarray, counts: np.ndarray, klass: np.ndar
     pos = np.arange(len(e)) - offsets[:-1][rows]
     least = np.ceil(t / (2 - t) * m - 1e-9).astype(np.int64)  # elements shared with the smallest partner
     seg = (e >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-    df = counts[seg]
-    near = size - pos >= least[rows]
-    lone = (df <= 1) if useful is None else ~useful[seg]
-    is_hot = df > hot
-    keys, at, shared = [], [], []
-
-    def add(k: np.ndarray, r: np.ndarray, s: np.ndarray) -> None:
-        keys.append(k)
-        at.append(r)
-        shared.append(s)
-
-    one = near & ~lone & ~is_hot
-    add(mix(e[one]), rows[one], (size - pos)[one])
-    big = near & ~lone & is_hot & (size * (2 - t) >= LONG * t)
-    add(mix(e[big] ^ np.uint64(0x1234567)), rows[big], (size - pos)[big])
-    two = np.flatnonzero(near & ~lone & is_hot & (size <= LONG))
-    last = np.minimum(m - least + 1, m - 1)[rows[two]]  # the second common cell stands there at the latest
-    times = np.maximum(0, last - pos[two])
-    if times.sum():
-        first = np.repeat(two, times)
-        step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + 1
-        second = first + step
-        fine = ~lone[second]
-        first, second = first[fine], second[fine]
-        add(mix(mix(e[first]) + e[second]), rows[first], size[first] - pos[second] + 1)
-    return np.concatenate(keys), np.concatenate(at), np.concatenate(shared)
+    is_hot = klass[seg] >= classes(np.array([hot + 1]))[0]  # by class, so that hot elements come last
+    near = (size - pos >= least[rows]) & (counts[seg] > 1)
+    enough = short(t)
+    one = np.flatnonzero(near & (~is_hot | (size * t <= enough * (2 - t))))
+    gain = 1.5 * t - 1
+    rare = np.bincount(rows[~is_hot], minlength=len(m))
+    common = np.maximum(1, np.ceil(gain * (m + least) - 1 + rare - 1e-9)).astype(np.int64)  # neighbours shared at least
+    two = np.flatnonzero(is_hot & (size >= enough) & (pos <= (m - 1 - common)[rows]))
+    keys = np.concatenate([mix(e[one]) & ~PAIR, mix(mix(e[two]) + e[np.minimum(two + 1, len(e) - 1)]) | PAIR])
+    at = np.concatenate([one, two])
+    return keys, rows[at], pos[at]
 
 
 BLOB = pa.schema([("bucket", pa.int32()), ("texts", pa.binary()), ("cells", pa.binary())])
 BLOB_DDL = "bucket int, texts binary, cells binary"
 TEXT = np.dtype([("id", "<u8"), ("m", "<u4"), ("role", "u1"), ("v", "<u8", (SEGMENTS // 32,))])
-CELL = np.dtype([("low", "<u4"), ("high", "u1"), ("row", "<u2"), ("s", "<u4")])
-CELL_NARROW = np.dtype([("low", "<u4"), ("high", "u1"), ("row", "<u2"), ("s", "<u2")])
+CELL = np.dtype([("low", "<u4"), ("high", "u1"), ("row", "<u2"), ("at", "<u4")])
+CELL_NARROW = np.dtype([("low", "<u4"), ("high", "u1"), ("row", "<u2"), ("at", "<u2")])
 
 
-def pack(keys: np.ndarray, rows: np.ndarray, shared: np.ndarray, texts: np.ndarray, buckets: int) -> pa.RecordBatch:
+def pack(keys: np.ndarray, rows: np.ndarray, places: np.ndarray, texts: np.ndarray, buckets: int) -> pa.RecordBatch:
     bucket = (keys % np.uint64(buckets)).astype(np.int64)
     order = np.argsort((bucket << 40) | rows, kind="stable")
-    bucket, keys, rows, shared = bucket[order], keys[order], rows[order], shared[order]
+    bucket, keys, rows, places = bucket[order], keys[order], rows[order], places[order]
     edge = np.flatnonzero(np.diff(bucket, prepend=-1))
     out: list[list] = [[], [], []]
     for a, b in zip(edge, np.append(edge[1:], len(bucket)), strict=True):
         used, local = np.unique(rows[a:b], return_inverse=True)
-        kind = CELL_NARROW if shared[a:b].max() < 1 << 16 else CELL
+        kind = CELL_NARROW if places[a:b].max() < 1 << 16 else CELL
         c = np.empty(b - a, kind)
         key = keys[a:b] >> np.uint64(24)
         c["low"], c["high"] = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), (key >> np.uint64(32)).astype(np.uint8)
-        c["row"], c["s"] = local, shared[a:b]
+        c["row"], c["at"] = local, places[a:b]
         for x, y in zip(out, (int(bucket[a]), texts[used].tobytes(), bytes([kind is CELL]) + c.tobytes()), strict=True):
             x.append(y)
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, BLOB, strict=True)], schema=BLOB)
 
 
 def unpack(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Texts of the bucket, each once; and its cells, each text once in a cell: key, text, s."""
-    texts, low, high, row, s, base = [], [], [], [], [], 0
+    """Texts of the bucket, each once; and its cells, each text once in a cell: key, text, place."""
+    texts, low, high, row, at, base = [], [], [], [], [], 0
     for batch in batches:
         for t, c in zip(batch.column(1), batch.column(2), strict=True):
             t = np.frombuffer(t.as_buffer(), TEXT)
@@ -170,7 +170,7 @@ def unpack(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, n
             low.append(c["low"])
             high.append(c["high"])
             row.append(c["row"].astype(np.int64) + base)
-            s.append(c["s"].astype(np.int64))
+            at.append(c["at"].astype(np.int64))
             base += len(t)
     if not texts:
         return np.zeros(0, TEXT), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -181,30 +181,31 @@ def unpack(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, n
     np.bitwise_or.at(role, inverse, both["role"])
     out["role"] = role
     key = np.concatenate(low).astype(np.uint64) | (np.concatenate(high).astype(np.uint64) << np.uint64(32))
-    text, s_ = inverse[np.concatenate(row)], np.concatenate(s)
+    text, place = inverse[np.concatenate(row)], np.concatenate(at)
     order = np.argsort((key << np.uint64(24)) | text.astype(np.uint64))
-    key, text, s_ = key[order], text[order], s_[order]
+    key, text, place = key[order], text[order], place[order]
     keep = np.ones(len(key), bool)
     keep[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
-    return out, key[keep], text[keep], s_[keep]
+    return out, key[keep], text[keep], place[keep]
 
 
 #: How far, in multiples of its own length, the partners of a smaller text may reach: the classes of the grid.
 REACH = (1.06, 1.14, 1.26, np.inf)
 
 
-def pairs(texts: np.ndarray, key: np.ndarray, text: np.ndarray, s: np.ndarray, t: float, crossing: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def pairs(texts: np.ndarray, key: np.ndarray, text: np.ndarray, place: np.ndarray, t: float, crossing: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Range join inside the cells: pairs the lengths, the positions and the embeddings leave standing.
 
-    An entry of length n whose cell leaves s elements to share reaches partners up to the length 2 s / t - n.
-    A pair stands if each reaches the other, the smaller one therefore beyond its own length; these
+    An entry of m elements that meets at place i can share m - i elements, or as many neighbours less one, and reaches
+    partners up to the length 2 (m - i) / t - m, or (m - i) / (1.5 t - 1) - m.  A pair stands if each reaches the other, the smaller one therefore beyond its own length; these
     are laid out by cell, class of reach and length, and every entry looks through one interval of each class.
     """
     m = texts["m"].astype(np.int64)
     role, v = np.ascontiguousarray(texts["role"]), np.ascontiguousarray(texts["v"])
     most = (1 << 22) - 1  # beyond four million words one interval holds all lengths
     length = m[text]
-    reach = np.floor(2 * s / t - length + 1e-9).astype(np.int64)
+    two = (key & np.uint64(1)) == 1  # bit PAIR of the whole key
+    reach = np.floor(np.minimum((length - place) / np.where(two, max(1.5 * t - 1, 1e-9), t / 2), length * 2 / t) - length + 1e-9).astype(np.int64)
     small = np.flatnonzero(reach >= length)
     kind = np.searchsorted(REACH, reach[small] / length[small], "right").astype(np.uint64)
     code = (key[small] << np.uint64(24)) | (kind << np.uint64(22)) | np.minimum(length[small], most).astype(np.uint64)
@@ -227,7 +228,8 @@ def pairs(texts: np.ndarray, key: np.ndarray, text: np.ndarray, s: np.ndarray, t
             count = times[done:stop]
             a = np.repeat(large[done:stop], count)
             b = small[np.arange(total[stop - 1] - before) + np.repeat(begin[done:stop] - total[done:stop] + count + before, count)]
-            ok = reach[b] >= length[a]
+            i, j, p, q = place[a], place[b], length[a], length[b]
+            ok = (reach[b] >= p) & (np.abs(i - j) + np.abs((p - i) - (q - j)) <= (1 - t) * (p + q) + 1e-9)
             x, y = text[a[ok]], text[b[ok]]
             ok = x != y
             if crossing:

@@ -33,6 +33,8 @@ from .words import elements, mix, words
 
 #: Bits of a text's role in a search between splits.
 TRAIN, EVALUATION = 1, 2
+#: Evaluation ids up to which their filter, of ten bits an id, is broadcast: 16 MB.
+ROLE_IDS = (1 << 27) // 10
 _RECENT = 1 << 18
 
 
@@ -82,16 +84,18 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict(none | {"block": b.column(0), "counts": b.column(1)})
 
 
-def find(texts: DataFrame, threshold: float = 0.8, evaluation_ids: DataFrame | None = None, hot: int = 16384) -> Found:
+def find(texts: DataFrame, threshold: float = 0.8, evaluation_ids: DataFrame | None = None, hot: int = 16384, role_ids: int = ROLE_IDS) -> Found:
     """Similar pairs among the rows (kind, id, text).
 
     evaluation_ids: a one-column table; if given, only pairs of one text of these ids and one of the others are
-    searched, by segment join: the element string of an evaluation text, in the corpus-wide order, is cut into
-    single-element segments of which no pair within the edit budget loses all; training strings are looked up
-    for them at the positions the budget allows; and the rest is verified by banded dynamic programming.
+    searched, by segment join: of the element string of an evaluation text, in the corpus-wide order, segments of one
+    element, or two where elements are frequent, are taken, so many that edits within the budget can't destroy all;
+    equal substrings of training strings are looked up for them, at the positions that the budget allows; and the rest is
+    verified by banded dynamic programming.  Up to ROLE_IDS ids their role travels in a filter sized for them, beyond
+    in a join with the texts; either way pairs of the wrong roles are dropped by exact ids before they are verified.
 
     Null or wordless texts match nothing; equal rows count once; an empty table gives empty results.
-    hot: corpus frequency above which a cell is divided by the second common cell; no value changes the result.
+    hot: corpus frequency above which an element is a cell with its neighbour only; no value changes the result.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
@@ -103,20 +107,27 @@ def find(texts: DataFrame, threshold: float = 0.8, evaluation_ids: DataFrame | N
     size = profile.where("block is null").count()
     buckets = max(2 * spark.sparkContext.defaultParallelism, -(-size // packed.BUCKET_TEXTS))
     shared = spark.sparkContext.broadcast(counts.astype(np.int64))
-    roles = None
+    roles, ids, entering = None, None, texts
     if crossing:
-        ids = evaluation_ids.toDF("id")
-        roles = spark.sparkContext.broadcast(packed.bloom_of(ids, "id", ids.count()))
+        ids = evaluation_ids.toDF("id").where("id is not null").distinct()
+        n = ids.count()
+        if n <= role_ids:
+            roles = spark.sparkContext.broadcast(packed.bloom_of(ids, "id", n))
+        else:
+            known = F.when(F.col("held"), EVALUATION).otherwise(TRAIN).cast("byte").alias("role")
+            entering = texts.join(ids.withColumn("held", F.lit(True)), "id", "left").select("kind", "id", "text", known)
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         klass = packed.classes(counts)
-        recent = np.zeros((3, _RECENT), np.uint64)
+        recent = np.zeros((3, _RECENT), np.uint64)  # last bag of each slot, by role
         for batch in batches:
             for part, e, offsets in _chunks(batch):
                 lo, hi = packed.bag_ids(e, offsets)
-                role = np.full(part.num_rows, TRAIN | EVALUATION if roles is None else TRAIN, np.uint8)
-                if roles is not None:
+                role = np.full(part.num_rows, TRAIN if roles else TRAIN | EVALUATION, np.uint8)
+                if part.num_columns > 3:
+                    role = np.asarray(part.column(3)).astype(np.uint8)
+                elif roles:
                     role[roles.value.has(packed.id_hashes(part.column(1)))] = TRAIN | EVALUATION  # a hit may be false
                 slot = (lo >> np.uint64(40)).astype(np.int64) % _RECENT
                 new = (recent[role % 3, slot] != lo) & (np.diff(offsets) > 0)
@@ -129,16 +140,16 @@ def find(texts: DataFrame, threshold: float = 0.8, evaluation_ids: DataFrame | N
                 m = np.diff(offsets)[new]
                 e, offsets = e[keep], np.concatenate([[0], np.cumsum(m)])
                 rows = np.repeat(np.arange(len(m)), m)
-                key, at, s = packed.cells(e, offsets, counts, klass, t, hot)
+                key, at, place = packed.cells(e, offsets, counts, klass, t, hot)
                 if len(key):
                     x = np.zeros(len(m), packed.TEXT)
                     x["id"], x["m"], x["role"], x["v"] = lo[new], m, role[new], packed.embed(e, rows, len(m))
-                    yield packed.pack(key, at, s, x, buckets)
+                    yield packed.pack(key, at, place, x, buckets)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, key, text, s = packed.unpack(batches)
+        x, key, text, place = packed.unpack(batches)
         held: list[np.ndarray] = []
-        for a, b in packed.pairs(x, key, text, s, t, crossing):
+        for a, b in packed.pairs(x, key, text, place, t, crossing):
             held.append(np.unique((np.minimum(a, b) << 32) | np.maximum(a, b)))
             if len(held) > 64:
                 held = [np.unique(np.concatenate(held))]
@@ -148,9 +159,14 @@ def find(texts: DataFrame, threshold: float = 0.8, evaluation_ids: DataFrame | N
             a, b = x["id"][p >> 32].view(np.int64), x["id"][p & 0xFFFFFFFF].view(np.int64)
             yield pa.RecordBatch.from_pydict({"lo_a": pa.array(np.minimum(a, b)), "lo_b": pa.array(np.maximum(a, b))})
 
-    met = cut(
-        texts.mapInArrow(enter, packed.BLOB_DDL).repartitionById(buckets, "bucket").mapInArrow(meet, "lo_a long, lo_b long").distinct()
-    )
+    met = entering.mapInArrow(enter, packed.BLOB_DDL).repartitionById(buckets, "bucket").mapInArrow(meet, "lo_a long, lo_b long").distinct()
+    if crossing:
+        met = cut(met)
+        used = met.select(F.explode(F.array("lo_a", "lo_b")).alias("lo")).distinct()
+        held = members.join(used, "lo", "left_semi").join(ids.withColumn("held", F.lit(True)), "id", "left")
+        sides = held.groupBy("lo").agg(F.bool_or(F.col("held").isNotNull()).alias("e"), F.bool_or(F.col("held").isNull()).alias("n"))
+        met = met.join(sides.toDF("lo_a", "e_a", "n_a"), "lo_a").join(sides.toDF("lo_b", "e_b", "n_b"), "lo_b").where("(e_a and n_b) or (n_a and e_b)").select("lo_a", "lo_b")
+    met = cut(met)
     return Found(members, _verified(texts, members, met, t, crossing))
 
 

@@ -87,11 +87,32 @@ def test_similar_pairs_equal_brute_force(spark, hot):
     assert got == brute(rows, 0.8)
 
 
-def test_crossing_pairs_and_empty_tables(spark):
+def test_long_texts_of_frequent_words_enter_few_cells(spark):
+    rng = np.random.default_rng(5)
+    names = [f"w{k}" for k in range(900)]
+    base = [[names[k] for k in rng.integers(0, 900, n)] for n in (1200, 900, 600, 300, 40, 12)]
+    rows = []
+    for k in range(90):
+        t = list(base[k % len(base)])
+        for _ in range(int(len(t) * rng.choice([0.02, 0.1, 0.25]))):
+            t[rng.integers(len(t))] = names[rng.integers(900)]
+        rows.append((f"s{k:02}", None, " ".join(t), None, None, None, None, None))
+    found = similar.find(similar.sample_texts(spark.createDataFrame(rows, SAMPLE)), 0.8, hot=3)  # every word is hot
+    assert {(r.kind, r.a, r.b) for r in similar.record_pairs(found).collect()} == brute(rows, 0.8)
+    h, o = words(pa.array([r[2] for r in rows]))
+    e = elements(h, o)
+    counts = packed.segment_counts(e)
+    for hot in (3, 30, 10**9):
+        _, row, _ = packed.cells(e, o, counts, packed.classes(counts), 0.8, hot)
+        assert (np.bincount(row, minlength=len(rows)) <= np.diff(o)).all()
+
+
+@pytest.mark.parametrize("role_ids", [0, similar.ROLE_IDS])
+def test_crossing_pairs_and_empty_tables(spark, role_ids):
     rows = corpus(1)
     df = spark.createDataFrame(rows, SAMPLE)
     held = {r[0] for r in rows if r[0] and hash(r[0][-1]) % 2}
-    found = similar.find(similar.sample_texts(df), 0.7, spark.createDataFrame([(x,) for x in held], "x string"))
+    found = similar.find(similar.sample_texts(df), 0.7, spark.createDataFrame([(x,) for x in held], "x string"), 20, role_ids)
     got = {(r.kind, r.a, r.b) for r in similar.record_pairs(found).collect()}
     assert {g for g in got if (g[1] in held) != (g[2] in held)} == {g for g in brute(rows, 0.7) if (g[1] in held) != (g[2] in held)}
     empty = similar.find(similar.sample_texts(df.limit(0)))
