@@ -6,6 +6,8 @@ import numpy as np
 
 _FAR = np.int32(1 << 29)
 _CELLS = 1 << 24
+#: Rows after which pairs that can't stay within their budget any more are dropped.
+_LOOK = 16
 
 
 def indel_distances(a: list[np.ndarray], b: list[np.ndarray], budget: np.ndarray) -> np.ndarray:
@@ -25,12 +27,12 @@ def indel_distances(a: list[np.ndarray], b: list[np.ndarray], budget: np.ndarray
             width = int(budget[order[k]])
             k += 1
         group = order[done:k]
-        out[group] = np.minimum(_group([a[g] for g in group], [b[g] for g in group], width), out[group])
+        out[group] = np.minimum(_group([a[g] for g in group], [b[g] for g in group], width, np.asarray(budget)[group]), out[group])
         done = k
     return out
 
 
-def _group(a: list[np.ndarray], b: list[np.ndarray], r: int) -> np.ndarray:
+def _group(a: list[np.ndarray], b: list[np.ndarray], r: int, budget: np.ndarray) -> np.ndarray:
     n = np.array([len(x) for x in a], np.int64)
     m = np.array([len(x) for x in b], np.int64)
     rows, width = int(n.max(initial=0)), 2 * r + 1
@@ -43,10 +45,11 @@ def _group(a: list[np.ndarray], b: list[np.ndarray], r: int) -> np.ndarray:
     steps = columns.astype(np.int32)
     band = np.where((columns >= 0) & (columns <= m[:, None]), columns, _FAR).astype(np.int32)
     result = np.where(n == 0, m, _FAR).astype(np.int64)
+    who = np.arange(len(a))
     for i in range(1, rows + 1):
         j = i + columns
         inside = (j >= 1) & (j <= m[:, None])
-        window = np.zeros((len(a), width), np.uint64)
+        window = np.zeros((len(n), width), np.uint64)
         have = pad_b[:, i - 1 : i - 1 + width]
         window[:, : have.shape[1]] = have
         # diagonal: same band cell of the row above; deletion: the next band cell of the row above
@@ -60,5 +63,13 @@ def _group(a: list[np.ndarray], b: list[np.ndarray], r: int) -> np.ndarray:
         if len(last):
             d = m[last] - i + r
             ok = (d >= 0) & (d < width)
-            result[last[ok]] = band[last[ok], d[ok]]
+            result[who[last[ok]]] = band[last[ok], d[ok]]
+        if i % _LOOK == 0 or len(last):
+            # what is left of both strings can only cost more than their difference in length
+            least = (band + np.abs((m[:, None] - j) - (n[:, None] - i))).min(1)
+            alive = (least <= budget) & (n > i)
+            if not alive.any():
+                break
+            if not alive.all():
+                n, m, band, pad_a, pad_b, who, budget = (x[alive] for x in (n, m, band, pad_a, pad_b, who, budget))
     return result

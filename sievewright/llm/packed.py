@@ -52,8 +52,6 @@ SEGMENTS = 128
 CHUNK = 1 << 12
 #: Pairs handled at once.
 PAIRS = 1 << 20
-#: Texts of one bucket, on average, before its cells bring in others; the number of buckets grows with the texts.
-BUCKET_TEXTS = 1 << 13
 #: Bit of a key that tells a cell of two neighbours from one of a single element.
 PAIR = np.uint64(1 << 24)
 
@@ -76,7 +74,7 @@ def bag_ids(e: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def embed(e: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """n x 4 words of 64 bits: 128 counts modulo four in Gray code."""
+    """n rows of 64-bit words: SEGMENTS counts modulo four in Gray code."""
     counts = np.bincount(rows * SEGMENTS + ((e >> np.uint64(8)) % np.uint64(SEGMENTS)).astype(np.int64), minlength=n * SEGMENTS)
     code = _GRAY[counts & 3].reshape(n, SEGMENTS // 4, 4)
     packed = code[:, :, 0] | (code[:, :, 1] << 2) | (code[:, :, 2] << 4) | (code[:, :, 3] << 6)
@@ -241,6 +239,12 @@ def pairs(texts: np.ndarray, key: np.ndarray, text: np.ndarray, place: np.ndarra
             done = stop
 
 
+def bucket_count(texts: int, parallelism: int) -> int:
+    """Buckets for so many texts, their number and their sizes growing with the square root at first; a bucket never has more
+    than 2^18 times the entries of a text, of about 2 KB."""
+    return max(4 * parallelism, int(np.sqrt(max(1, texts)) / 20), texts >> 18)
+
+
 class Bloom:
     """Fixed-size set of hashes, grown with the count it is made for up to a bound; false hits only cost work."""
 

@@ -105,7 +105,7 @@ def find(texts: DataFrame, threshold: float = 0.8, evaluation_ids: DataFrame | N
     members = cut(profile.where("block is null").select("kind", "id", "lo", "hi", "m").distinct())
     counts = packed.sum_blocks(profile.where("block is not null"), 1 << packed.SKETCH_BITS)
     size = profile.where("block is null").count()
-    buckets = max(2 * spark.sparkContext.defaultParallelism, -(-size // packed.BUCKET_TEXTS))
+    buckets = packed.bucket_count(size, spark.sparkContext.defaultParallelism)
     shared = spark.sparkContext.broadcast(counts.astype(np.int64))
     roles, ids, entering = None, None, texts
     if crossing:
