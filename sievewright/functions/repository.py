@@ -26,25 +26,20 @@ def repository_key(name: Column) -> Column:
 def canonical_repository(name: Column, default_host: str = "github.com") -> Column:
     """Canonical repository of a ``git@host:path``, URL, ``host/owner/name`` or bare ``owner/name``.
 
-    A URL keeps host and path only; one lower-case ``.git`` at the very end goes before outer slashes do.
-    A name of fewer than two parts, or of fewer than three behind an explicit host, gives null, as null does.
+    A URL keeps host and path only and needs a host; one lower-case ``.git`` at the very end goes before outer slashes do, and
+    parts without a character are left out.  Fewer than two parts, or than three behind an explicit host, give null, as null does.
     """
     x = F.regexp_replace(name, _BLANKS, "")
-    scp, url = x.rlike(r"^git@[^:]*:"), x.contains("://")
+    scp, url = x.rlike(r"\Agit@[^:]+:.+\z"), x.contains("://")
     rest = F.regexp_replace(x, r"^[^:]*://", "")
     authority = F.regexp_extract(rest, r"^([^/?#]*)", 1)
     host = F.lower(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":[0-9]*$", ""))
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
-    scp_path = F.regexp_replace(x, r"^git@([^:]*):", "$1/")
-    whole = F.when(scp, scp_path).when(url, F.concat(host, path)).otherwise(x)
-    whole = F.regexp_replace(whole, r"\.git$", "")
-    whole = F.lower(F.regexp_replace(whole, r"^/+|/+$", ""))
-    parts = F.split(whole, "/")
-    filled = F.size(F.filter(parts, lambda p: p != "")) == F.size(parts)
+    whole = F.when(scp, F.regexp_replace(x, r"^git@([^:]+):", "$1/")).when(url, F.when(host != "", F.concat(host, path))).otherwise(x)
+    parts = F.filter(F.split(F.lower(F.regexp_replace(whole, r"\.git$", "")), "/"), lambda p: p != "")
     n = F.size(parts)
-    bare = ~scp & ~url & (n == 2)
     return (
-        F.when(bare & filled, F.concat(F.lit(default_host + "/"), whole))
-        .when((n >= 3) & filled, whole)
+        F.when((n == 2) & ~scp & ~url, F.concat(F.lit(default_host + "/"), F.array_join(parts, "/")))
+        .when(n >= 3, F.array_join(parts, "/"))
         .otherwise(F.lit(None).cast("string"))
     )

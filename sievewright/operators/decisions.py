@@ -6,7 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.repository import canonical_repository
-from ..functions.text import language, license_disposition, spdx, usable
+from ..functions.text import language, license_disposition, spdx, stripped, usable
+
+
+def commit(c: Column) -> Column:
+    """A full commit of 40 hexadecimal digits in lower case, blanks around it aside; else null."""
+    x = stripped(c)
+    return F.when(x.rlike(r"\A[0-9a-fA-F]{40}\z"), F.lower(x))
 
 
 def task_reason(source_verified: Column | None = None) -> Column:
@@ -20,7 +26,7 @@ def task_reason(source_verified: Column | None = None) -> Column:
         .when(usable(F.col("instance_id")).isNull(), "missing_instance_id")
         .when(usable(F.col("repository")).isNull(), "missing_repository")
         .when(canonical_repository(F.col("repository")).isNull(), "invalid_repository")
-        .when(~F.coalesce(F.col("base_commit").rlike("^[0-9a-fA-F]{40}$"), F.lit(False)), "invalid_base_commit")
+        .when(commit(F.col("base_commit")).isNull(), "invalid_base_commit")
         .when(language(F.col("language")).isNull(), "missing_language")
     )
 
@@ -36,7 +42,7 @@ def task_decisions(tasks: DataFrame) -> DataFrame:
     """
     reason = task_reason()
     payload = F.sha2(
-        F.concat_ws("\x1f", canonical_repository(F.col("repository")), F.lower("base_commit"), spdx(F.col("license")), language(F.col("language"))), 256
+        F.concat_ws("\x1f", canonical_repository(F.col("repository")), commit(F.col("base_commit")), spdx(F.col("license")), language(F.col("language"))), 256
     )
     rows = tasks.select("row_index", usable(F.col("instance_id")).alias("id"), reason.alias("reason"), payload.alias("payload")).withColumn("ok", F.col("reason").isNull())
     ids = rows.where("id is not null").groupBy("id").agg(
@@ -72,7 +78,7 @@ def admitted_tasks(tasks: DataFrame) -> DataFrame:
     kept = task_decisions(tasks).where("decision = 'admit'").select("row_index")
     return tasks.join(kept, "row_index", "left_semi").select(
         usable(F.col("instance_id")).alias("instance_id"), canonical_repository(F.col("repository")).alias("repository"),
-        F.lower("base_commit").alias("base_commit"), spdx(F.col("license")).alias("license"), language(F.col("language")).alias("language"),
+        commit(F.col("base_commit")).alias("base_commit"), spdx(F.col("license")).alias("license"), language(F.col("language")).alias("language"),
     )
 
 

@@ -2,29 +2,23 @@
 
 from __future__ import annotations
 
+import functools
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import REFERENCE_WORDS, names_patch, names_reference
+from ..functions.text import KEY_WORD, PATCH_WORDS, REFERENCE_WORDS, names_patch, names_reference
 
 
-def _words(key: str) -> set[str]:
-    out, word = [], ""
-    for before, c in zip(" " + key, key, strict=False):
-        if c.isupper() and (before.islower() or before.isdigit()):
-            out.append(word)
-            word = ""
-        low = c.casefold()
-        if low.isascii() and low.isalnum():
-            word += low
-        else:
-            out.append(word)
-            word = ""
-    return set(filter(None, [*out, word]))
+@functools.lru_cache(1 << 16)
+def key_kind(key: str) -> tuple[bool, bool]:
+    """Whether the words of a field name speak of reference material, and of a patch."""
+    words = {w.lower() for w in re.findall(KEY_WORD, key)}
+    return bool(words & set(REFERENCE_WORDS)) or {"ground", "truth"} <= words, bool(words & set(PATCH_WORDS))
 
 
 def forbidden_paths(document: object) -> list[str]:
@@ -35,11 +29,10 @@ def forbidden_paths(document: object) -> list[str]:
         node, below, path = stack.pop()
         if isinstance(node, dict):
             for k, v in node.items():
-                w = _words(str(k))
-                inside = below or bool(w & set(REFERENCE_WORDS)) or {"ground", "truth"} <= w
-                if inside and w & {"patch", "diff"}:
+                reference, patch = key_kind(str(k))
+                if (below or reference) and patch:
                     found.append(f"{path}.{k}")
-                stack.append((v, inside, f"{path}.{k}"))
+                stack.append((v, below or reference, f"{path}.{k}"))
         elif isinstance(node, list):
             stack += [(v, below, f"{path}[]") for v in node]
     return sorted(found)

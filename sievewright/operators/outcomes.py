@@ -20,10 +20,33 @@ def normalized_statuses(statuses: Column) -> Column:
     return F.map_from_arrays(names, F.transform(names, best))
 
 
+# Marks with which reporters of JavaScript tests list failures, and words of their summaries.
+CROSS, DETAIL, AVA_FAIL, AVA_REASON = "✕", "●", "✘ [fail]:", "Rejected promise returned by test"
+SUITE_SEPARATOR = " › "
+
+
 def failed_names(log: Column) -> Column:
-    """Names of numbered failures that a log reports."""
-    found = F.regexp_extract_all(log, F.lit(r"(?m)^\s*\d+\)\s+(.+?):?\s*$"), F.lit(1))
-    return F.array_distinct(F.transform(found, test_name))
+    """Names of the failed tests that a log of a JavaScript runner reports.
+
+    A numbered line (``1) name``) counts alone.  A crossed line counts if a detail line names the test, itself or behind its
+    suite, and a ``Tests:`` summary speaks of failures.  A rejection line counts if the name is repeated on a line indented by
+    two blanks and a summary tells how many tests failed.  Lines are split once; all else works on arrays inside the JVM.
+    """
+    lines = F.split(F.regexp_replace(log, "\r\n?", "\n"), "\n")
+    behind = lambda x, mark: test_name(F.substring(F.trim(x), len(mark) + 1, 1 << 30))
+    marked = lambda mark: F.filter(lines, lambda x: F.ltrim(x).startswith(mark))
+    numbered = F.filter(lines, lambda x: F.ltrim(x).rlike("\\A[0-9]+\\)\\s"))
+    number_names = F.transform(numbered, lambda x: test_name(F.regexp_replace(F.rtrim(F.regexp_replace(F.ltrim(x), "\\A[0-9]+\\)\\s+", "")), ":\\z", "")))
+    details = F.transform(marked(DETAIL), lambda x: behind(x, DETAIL))
+    details = F.concat(details, F.transform(details, lambda x: F.element_at(F.split(x, SUITE_SEPARATOR), -1)))
+    jest = F.exists(lines, lambda x: x.startswith("Tests:") & x.rlike("\\b0*[1-9][0-9]*\\s+failed\\b"))
+    crossed = F.filter(F.transform(marked(CROSS), lambda x: behind(x, CROSS)), lambda n: jest & F.array_contains(details, n))
+    indented = F.transform(F.filter(lines, lambda x: x.rlike("\\A  \\S")), test_name)
+    ava = F.exists(lines, lambda x: F.trim(x).rlike("\\A[1-9][0-9]*\\s+tests?\\s+failed\\z"))
+    rejected = F.filter(marked(AVA_FAIL), lambda x: F.rtrim(x).endswith(AVA_REASON))
+    rejected = F.transform(rejected, lambda x: test_name(F.regexp_replace(F.substring(F.trim(x), len(AVA_FAIL) + 1, 1 << 30), f"\\s+{AVA_REASON}\\z", "")))
+    rejected = F.filter(rejected, lambda n: ava & F.array_contains(indented, n))
+    return F.array_distinct(F.concat(number_names, crossed, rejected))
 
 
 def with_recovered(statuses: Column, log: Column, expected: Column) -> Column:
@@ -41,20 +64,23 @@ def complete(statuses: Column, names: Column) -> Column:
 
 
 def evaluate(runs: DataFrame) -> DataFrame:
-    """Adds reason (null for a usable run) and resolved.
+    """Adds reason (null for a usable run), resolved and label_agrees.
 
-    runs: baseline, candidate (maps of statuses), baseline_ok, candidate_ok, truncated (booleans), fail_to_pass, pass_to_pass (arrays), expected_label
-    (boolean or null).  The first of: baseline_failed_to_run, candidate_failed_to_run, truncated, incomplete_tests, baseline_not_reproduced, label_disagreement.
+    runs: baseline, candidate (maps of statuses), baseline_ran, candidate_ran, candidate_succeeded, truncated (booleans), fail_to_pass,
+    pass_to_pass (arrays), expected_label (boolean or null).  The first of: baseline_failed_to_run, candidate_failed_to_run, truncated,
+    incomplete_tests, baseline_not_reproduced, exit_contradicts_tests, label_disagreement; only with the last one is resolved known too.
     """
     both = F.concat("fail_to_pass", "pass_to_pass")
-    resolved = all_have(F.col("candidate"), both, "PASSED")
+    passed = all_have(F.col("candidate"), both, "PASSED")
     reproduced = all_have(F.col("baseline"), F.col("fail_to_pass"), "FAILED") & all_have(F.col("baseline"), F.col("pass_to_pass"), "PASSED")
+    agrees = F.when(F.col("expected_label").isNotNull(), F.col("expected_label") == passed)
     reason = cascade([
-        ("baseline_failed_to_run", ~F.col("baseline_ok")), ("candidate_failed_to_run", ~F.col("candidate_ok")), ("truncated", F.col("truncated")),
+        ("baseline_failed_to_run", ~F.col("baseline_ran")), ("candidate_failed_to_run", ~F.col("candidate_ran")), ("truncated", F.col("truncated")),
         ("incomplete_tests", ~complete(F.col("baseline"), both) | ~complete(F.col("candidate"), both)), ("baseline_not_reproduced", ~reproduced),
-        ("label_disagreement", F.col("expected_label").isNotNull() & (F.col("expected_label") != resolved)),
+        ("exit_contradicts_tests", passed & ~F.col("candidate_succeeded")), ("label_disagreement", ~agrees),
     ])
-    return runs.withColumn("reason", reason).withColumn("resolved", F.when(reason.isNull(), resolved))
+    known = reason.isNull() | (reason == "label_disagreement")
+    return runs.withColumns({"reason": reason, "resolved": F.when(known, passed), "label_agrees": F.when(known, agrees)})
 
 
 def listed(c: Column) -> Column:

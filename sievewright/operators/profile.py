@@ -107,3 +107,73 @@ def partition_digests(df: DataFrame, partition: list[str], value: Column) -> Dat
 
 def languages_of(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(language(F.col(column)).alias("language")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def report(df: DataFrame, declared_rows: int | None = None, caps: tuple[int, int, int] = (100, 100_000, 100), source_passes: bool = True) -> DataFrame:
+    """field, key, value (strings) of a whole audit of raw rows: one row a fact, key '' where a field has one value.
+
+    df: row_index and fields of an open schema.  Fields: row_count, declared_row_count, matches_declared_row_count, schema_field_types
+    (key: field and type; null where some value is), language, resolved and license (key: value), unique_repositories, duplicate_instance_id_count,
+    duplicate_instance_id (key: the caps[2] smallest), duplicate_instance_ids_truncated, trajectory_length and patch_size (key: count, min,
+    p50, p95, max), percentiles_approximate, rejected_row_count, rejected_rows_truncated (beyond caps[0]), issue, status.
+    A row without instance_id and id counts under its row_index.  Percentiles are nearest-rank over at most caps[1] values, those of
+    smallest hash; all else covers every row.  An invalid label fails the query.
+    """
+    from . import traces
+
+    spark = df.sparkSession
+    kind = traces.type_at
+    identity = F.coalesce(*[F.col(c).cast("string") for c in ("instance_id", "id") if c in df.columns], F.col("row_index").cast("string"))
+    label = traces.label(df)
+    known = F.when(label.valid, label.known).otherwise(F.raise_error(F.lit("a label must be true, false or unknown")).cast("boolean"))
+    nonempty = [F.when(F.col(c) != "", F.col(c)) for c in traces.REPOSITORY if c in df.columns]
+    repo = F.coalesce(*nonempty, F.lit(None).cast("string"))
+    lang = F.when(F.col("language") != "", F.col("language")) if "language" in df.columns else F.lit(None)
+    disposition = license_disposition(F.col("license") if "license" in df.columns else F.lit(None).cast("string"))
+    rows = df.select(
+        "row_index", identity.alias("i"), F.coalesce(canonical_repository(repo), F.lower(F.trim(repo))).alias("repo"), F.coalesce(lang, F.lit("UNKNOWN")).alias("lang"),
+        F.when(known, "resolved").when(~known, "unresolved").otherwise("unknown").alias("label"), disposition.alias("d"), traces.steps(df).alias("steps"), traces.patch_bytes(df).alias("size"),
+    )
+    out = []
+
+    def fact(name: str, part: DataFrame, key, value) -> None:
+        out.append(part.select(F.lit(name).alias("field"), key.cast("string").alias("key"), value.cast("string").alias("value")))
+
+    blank = F.lit("")
+    whole = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("d") != "ALLOW").alias("rejected"), F.count("repo").alias("named"))
+    fact("row_count", whole, blank, F.col("n"))
+    fact("declared_row_count", whole, blank, F.lit(declared_rows))
+    fact("matches_declared_row_count", whole, blank, (F.col("n") == F.lit(declared_rows)) if declared_rows is not None else F.lit(None))
+    fact("rejected_row_count", whole, blank, F.col("rejected"))
+    fact("rejected_rows_truncated", whole, blank, F.col("rejected") > caps[0])
+    for name, column in (("language", "lang"), ("resolved", "label"), ("license", "d")):
+        fact(name, rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")), F.col(column), F.col("n"))
+    fact("unique_repositories", rows.where("repo is not null").select("repo").distinct().agg(F.count(F.lit(1)).alias("n")), blank, F.col("n"))
+    repeated = duplicate_ids(rows, "i")
+    fact("duplicate_instance_id_count", repeated.agg(F.count(F.lit(1)).alias("n")), blank, F.col("n"))
+    fact("duplicate_instance_ids_truncated", repeated.agg(F.count(F.lit(1)).alias("n")), blank, F.col("n") > caps[2])
+    fact("duplicate_instance_id", repeated.orderBy("i").limit(caps[2]), F.col("i"), F.col("n_rows"))
+    approximate = []
+    for name, column in (("trajectory_length", "steps"), ("patch_size", "size")):
+        d = distribution(rows, F.col("row_index"), F.col(column), caps[1])
+        pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).cast("long").cast("string").alias("v")) for k, c in (("count", "n"), ("min", "minimum"), ("p50", "p50"), ("p95", "p95"), ("max", "maximum"))])
+        fact(name, d.select(F.inline(pairs)), F.col("k"), F.col("v"))
+        approximate.append(d.select("approximate"))
+    fact("percentiles_approximate", approximate[0].unionByName(approximate[1]).agg(F.bool_or("approximate").alias("a")), blank, F.col("a"))
+    # types of the schema are known; whether nulls occur takes one pass
+    names = {"StringType": "string", "BooleanType": "boolean", "ArrayType": "array", "StructType": "object", "MapType": "object", "DoubleType": "number", "FloatType": "number", "DecimalType": "number"}
+    fields = [c for c in df.columns if c != "row_index"]
+    seen = df.agg(*[F.struct(F.count_if(F.col(f"`{c}`").isNotNull()).alias("some"), F.count_if(F.col(f"`{c}`").isNull()).alias("none")).alias(c) for c in fields]) if fields else None
+    if seen is not None:
+        kinds = {c: names.get(type(kind(df.schema, c)).__name__, "integer") for c in fields}
+        pairs = F.array(*[x for c in fields for x in (F.struct(F.lit(f"{c}:{kinds[c]}").alias("k"), F.col(f"`{c}`.some").alias("n")), F.struct(F.lit(f"{c}:null").alias("k"), F.col(f"`{c}`.none").alias("n")))])
+        fact("schema_field_types", seen.select(F.inline(pairs)).where("n > 0"), F.col("k"), F.lit(None))
+    drift = F.lit(False) if declared_rows is None else F.col("n") != F.lit(declared_rows)
+    nameless = (F.col("n") > 0) & (F.col("named") == 0)
+    issues = whole.select(F.explode(F.array(F.when(drift, "row_count_drift"), F.when(nameless, "no_repository_identity"))).alias("x")).where("x is not null")
+    fact("issue", issues, F.col("x"), F.lit(None))
+    fact("status", whole, blank, F.when(drift | nameless, "FAIL").otherwise("PASS" if source_passes else "UNVERIFIED"))
+    total = out[0]
+    for part in out[1:]:
+        total = total.unionByName(part)
+    return total

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.repository import canonical_repository
+from ..functions.text import license_disposition, spdx
+
 
 def cascade(rules: list[tuple[str, Column]]) -> Column:
     """Name of the first rule that holds, else null."""
@@ -41,8 +46,16 @@ def rank_in(c: Column, values: list[str]) -> Column:
 def cover(df: DataFrame, identity: str, features: Column, minimum: int, maximum: int) -> DataFrame:
     """Rows of a bounded cover: the smallest identity of every feature, filled with the smallest others up to minimum.
 
-    features: an array column expression.  The cover may not exceed maximum nor stay below minimum.
+    features: an array column expression.  Null and repeated identities, a cover of more than maximum rows, and fewer rows
+    than minimum are errors.
     """
+    if not 0 < minimum <= maximum:
+        raise ValueError("0 < minimum <= maximum must hold")
+    seen = df.agg(F.count(F.lit(1)).alias("n"), F.count(identity).alias("some")).first()
+    if seen["some"] < seen["n"] or df.groupBy(identity).count().where("count > 1").limit(1).count():
+        raise ValueError(f"{identity} must be known and unique")
+    if seen["n"] < minimum:
+        raise ValueError(f"{seen['n']} rows can't make a cover of {minimum}")
     firsts = df.select(identity, F.explode(features).alias("f")).groupBy("f").agg(F.min(identity).alias(identity)).select(identity).distinct()
     chosen = df.join(firsts, identity, "left_semi")
     n = firsts.count()
@@ -52,3 +65,64 @@ def cover(df: DataFrame, identity: str, features: Column, minimum: int, maximum:
         rest = df.join(firsts, identity, "left_anti").orderBy(identity).limit(minimum - n)
         chosen = chosen.unionByName(rest)
     return chosen
+
+
+@dataclass(frozen=True)
+class PilotPolicy:
+    """What a pilot subset admits; limits that are None don't apply."""
+
+    most_samples: int = 10_000
+    languages: tuple[str, ...] = ("TypeScript", "JavaScript")
+    licenses: tuple[str, ...] = ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause")
+    require_resolved: bool = True
+    require_steps: bool = True
+    most_steps: int | None = None
+    most_patch_bytes: int | None = None
+
+    def check(self, spark) -> None:
+        """Raises ValueError for limits that aren't positive, no language, and licenses that the gate doesn't allow."""
+        limits = [x for x in (self.most_samples, self.most_steps, self.most_patch_bytes) if x is not None]
+        if min(limits) <= 0:
+            raise ValueError("limits must be positive")
+        if not self.languages or not self.licenses:
+            raise ValueError("a policy names languages and licenses")
+        given = spark.createDataFrame([(x,) for x in self.licenses], "l string")
+        if bad := [r.l for r in given.where(license_disposition(F.col("l")) != "ALLOW").collect()]:
+            raise ValueError(f"licenses that the gate doesn't allow: {bad}")
+
+
+def pilot_reasons(samples: DataFrame, policy: PilotPolicy, excluded: DataFrame, training: DataFrame | None = None) -> DataFrame:
+    """samples with rank (of the language) and reason: the first broken rule, duplicate, or null for what may be chosen.
+
+    samples: ordinal (unique), repository, repository_license, language, resolved, n_steps, patch_bytes, issue, rollout.  excluded and,
+    if the split is frozen, training: one column of repositories in any spelling, joined in; the rules go from repository over
+    evaluation_repository, not_in_frozen_split, license, language, unresolved, empty_trajectory, trajectory_length and patch_size to duplicate.
+    """
+    policy.check(samples.sparkSession)
+
+    def names(df: DataFrame, flag: str) -> DataFrame:
+        return df.select(canonical_repository(F.col(df.columns[0])).alias("_name")).where("_name is not null").distinct().withColumn(flag, F.lit(True))
+
+    rows = samples.withColumn("_name", canonical_repository(F.col("repository"))).join(names(excluded, "_out"), "_name", "left")
+    rows = rows.join(names(training, "_in"), "_name", "left") if training is not None else rows.withColumn("_in", F.lit(True))
+    rows = rows.withColumn("rank", rank_in(F.col("language"), list(policy.languages)))
+    license_ = spdx(F.col("repository_license"))
+    rules = [
+        ("repository", F.col("_name").isNull()), ("evaluation_repository", F.col("_out")), ("not_in_frozen_split", F.col("_in").isNull()),
+        ("license", license_.isNull() | ~license_.isin(*[_spdx(x) for x in policy.licenses])), ("language", F.col("rank").isNull()),
+        ("unresolved", F.lit(policy.require_resolved) & ~F.coalesce("resolved", F.lit(False))), ("empty_trajectory", F.lit(policy.require_steps) & (F.coalesce("n_steps", F.lit(0)) == 0)),
+        ("trajectory_length", F.col("n_steps") > F.lit(policy.most_steps)), ("patch_size", F.col("patch_bytes") > F.lit(policy.most_patch_bytes)),
+    ]
+    return decide(rows, rules, ["_name", "issue", "rollout"], "ordinal").drop("_out", "_in")
+
+
+def _spdx(name: str) -> str:
+    from ..functions.text import ALLOWED_LICENSES
+
+    return ALLOWED_LICENSES[name.strip().lower()]
+
+
+def pilot(samples: DataFrame, policy: PilotPolicy, excluded: DataFrame, training: DataFrame | None = None) -> DataFrame:
+    """The first most_samples admitted samples by rank of language, canonical repository, issue, rollout and ordinal."""
+    judged = pilot_reasons(samples, policy, excluded, training).where("reason is null")
+    return top(judged, [F.col(c) for c in ("rank", "_name", "issue", "rollout", "ordinal")], policy.most_samples).withColumnRenamed("_name", "canonical")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curation_queries, skew_queries
+from . import curation_queries, skew_queries, trace_queries
 
-_MODULES = [curation_queries, skew_queries]
+_MODULES = [curation_queries, skew_queries, trace_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

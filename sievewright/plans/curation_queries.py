@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.repository import canonical_repository
-from ..operators import aliases, contamination, decisions, evidence, normalization, profile, recovery, selection
+from ..operators import aliases, contamination, decisions, evidence, normalization, profile, selection
 from ..sources.tables import table
 from .curation_sql import SQL as SQL
 
@@ -150,23 +150,6 @@ def decontamination_evidence(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.evidence(s, b, contamination.split_repositories(s, b, SEED, FRACTION))
 
 
-def _labels(spark: SparkSession, folder: str) -> DataFrame:
-    t = _tasks(spark, folder).where("patch is not null and instance_id is not null")
-    return t.select(F.col("row_index").alias("row_id"), F.sha2(F.concat_ws("|", "instance_id", F.sha2("patch", 256)), 256).alias("key"), F.col("language").alias("lang"), (F.pmod("row_index", F.lit(3)).cast("int") - 1).alias("resolved"), "repository")
-
-
-def label_recovery(spark: SparkSession, folder: str) -> DataFrame:
-    return recovery.recover(_labels(spark, folder), ["TypeScript", "JavaScript"])
-
-
-def label_requests(spark: SparkSession, folder: str) -> DataFrame:
-    return recovery.requests(recovery.recover(_labels(spark, folder), ["TypeScript", "JavaScript"]))
-
-
-def label_accounting(spark: SparkSession, folder: str) -> DataFrame:
-    return recovery.accounting(_labels(spark, folder), ["TypeScript", "JavaScript"], "repository")
-
-
 def pilot_selection(spark: SparkSession, folder: str) -> DataFrame:
     t = _tasks(spark, folder)
     n = F.octet_length("patch")
@@ -224,7 +207,7 @@ QUERIES = {
         whole_decontaminated_split, whole_decontamination_evidence, decontaminated_split, audit_summary, audit_value_counts, duplicate_instances, first_duplicate_instances, license_rejections,
         patch_size_distribution, small_sample_distribution, observed_fields, canonical_repositories, text_fingerprints, diff_statistics,
         hash_buckets, task_decisions, task_reasons, rollout_decisions, row_numbers, claimed_once, normalized_traces, exact_groups,
-        exact_benchmark_overlap, near_benchmark_overlap, near_task_pairs, decontamination_evidence, label_recovery, label_requests, label_accounting,
+        exact_benchmark_overlap, near_benchmark_overlap, near_task_pairs, decontamination_evidence,
         pilot_selection, pilot_reasons, stratified_cover, language_counts, split_overlap, unassigned_samples, accounting_violations,
         snapshot_differences,
     )

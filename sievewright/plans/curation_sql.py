@@ -31,15 +31,13 @@ def normalized(x: str) -> str:
 def canonical(x: str) -> str:
     """Canonical repository; the alias of each step is a lateral column."""
     s = strip(x)
-    whole = (
-        f"case when regexp_matches({s}, '^git@[^:]*:') then regexp_replace({s}, '^git@([^:]*):', '\\1/')"
-        f" when contains({s}, '://') then lower(regexp_replace(regexp_replace(regexp_extract(regexp_replace({s}, '^[^:]*://', ''), '^([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', ''))"
-        f" || regexp_extract(regexp_replace({s}, '^[^:]*://', ''), '^[^/?#]*([^?#]*)', 1) else {s} end"
-    )
-    w = f"lower(regexp_replace(regexp_replace({whole}, '\\.git$', ''), '^/+|/+$', '', 'g'))"
-    parts = f"string_split({w}, '/')"
-    bare = f"not regexp_matches({s}, '^git@[^:]*:') and not contains({s}, '://')"
-    return f"case when list_contains({parts}, '') then null when len({parts}) = 2 and {bare} then 'github.com/' || {w} when len({parts}) >= 3 then {w} end"
+    scp, url = f"regexp_full_match({s}, 'git@[^:]+:.+')", f"contains({s}, '://')"
+    host = f"lower(regexp_replace(regexp_replace(regexp_extract(regexp_replace({s}, '^[^:]*://', ''), '^([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', ''))"
+    path = f"regexp_extract(regexp_replace({s}, '^[^:]*://', ''), '^[^/?#]*([^?#]*)', 1)"
+    whole = f"case when {scp} then regexp_replace({s}, '^git@([^:]+):', '\\1/') when {url} then nullif({host}, '') || {path} else {s} end"
+    parts = f"list_filter(string_split(lower(regexp_replace({whole}, '\\.git$', '')), '/'), lambda p: p <> '')"
+    joined = f"array_to_string({parts}, '/')"
+    return f"case when len({parts}) = 2 and not {scp} and not {url} then 'github.com/' || {joined} when len({parts}) >= 3 then {joined} end"
 
 
 def diff(x: str, sign: str) -> str:
@@ -48,7 +46,7 @@ def diff(x: str, sign: str) -> str:
 
 _TASKS = f"""
 t as (select row_index, nullif({strip('instance_id')}, '') as id, {canonical('repository')} as repo, nullif({strip('repository')}, '') as some_repo,
-        lower(base_commit) as commit_, base_commit, {spdx('license')} as spdx, {disposition('license')} as d, {language('language')} as lang from tasks),
+        lower({strip('base_commit')}) as commit_, {strip('base_commit')} as base_commit, {spdx('license')} as spdx, {disposition('license')} as d, {language('language')} as lang from tasks),
 r as (select *, case when d = 'UNKNOWN' then 'license_unknown' when d = 'REJECT' then 'license_reject' when id is null then 'missing_instance_id'
         when some_repo is null then 'missing_repository' when repo is null then 'invalid_repository'
         when not coalesce(regexp_full_match(base_commit, '[0-9a-fA-F]{{40}}'), false) then 'invalid_base_commit' when lang is null then 'missing_language' end as reason,
@@ -85,14 +83,6 @@ assigned as (select sample_id, repository, contamination_group, case when contam
       when ('0x' || substr(sha256('11:' || contamination_group), 1, 16))::ubigint::double / 18446744073709551615 < 0.5 then 'evaluation' else 'train' end as split
       from s join root using (repository))"""
 
-_LABELS = f"""
-l as (select row_index as row_id, sha256(instance_id || '|' || sha256(patch)) as key, {language('language')} as lang, (row_index % 3)::int - 1 as resolved, repository
-      from tasks where patch is not null and instance_id is not null),
-c as (select *, case when not coalesce(lang in ('TypeScript', 'JavaScript'), false) then 'ineligible' when resolved >= 0 then 'known' else 'target' end as row_class from l),
-k as (select key, count(*) as n_labels, case when min(resolved) = max(resolved) then min(resolved) = 1 end as label from c where row_class = 'known' group by key),
-recovered as (select row_id, key, case when n_labels is null then 'request' when label is null then 'conflict' else 'candidate' end as outcome, label, coalesce(n_labels, 0) as n_labels
-      from c left join k using (key) where row_class = 'target')"""
-
 _SIZES = "n as (select count(*) as n, min(v) as minimum, max(v) as maximum from w), p as (select quantile_disc(v, 0.5) as p50, quantile_disc(v, 0.95) as p95 from (select v from w order by sha256(i || ':' || v::varchar) limit {cap})) select n, minimum, p50, p95, maximum, n > {cap} as approximate from n, p"
 
 
@@ -152,10 +142,6 @@ SQL = {
         union all select 'values_' || kind, count(distinct fingerprint) from v group by kind
         union all select 'overlap_samples', count(distinct sample_id) from v join bench using (kind, fingerprint)
         union all select 'samples_' || split, count(*) from assigned group by split union all select 'repositories_' || split, count(distinct repository) from assigned group by split""",
-    "label_recovery": f"with {_LABELS} select * from recovered",
-    "label_requests": f"with {_LABELS} select key, count(*) as n_targets, min(row_id) as first_row from recovered where outcome = 'request' group by key",
-    "label_accounting": f"""with {_LABELS} select repository, count(*) as n_rows, count(*) filter (where row_class = 'ineligible') as n_ineligible, count(*) filter (where row_class = 'known') as n_known,
-        count(*) filter (where row_class = 'target') as n_target, true as closes from c group by repository""",
     "pilot_selection": _pilot(
         "case when c is null then 'repository' when s is null then 'license' when not coalesce(lang in ('TypeScript', 'JavaScript'), false) then 'language' when n is null or n = 0 then 'empty_patch' when n > 1600 then 'patch_size' end",
         ", k as (select row_index, case lang when 'TypeScript' then 1 else 2 end as rank, repository, instance_id from d where reason is null) select * from k order by rank, repository, instance_id nulls first, row_index limit 100",

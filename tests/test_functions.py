@@ -19,6 +19,7 @@ def one(spark, expression, *values):
         ("git@github.com:Acme/Widget.git", "github.com/acme/widget"), ("https://u:p@Host.example:8443/a/b?q=1#x", "host.example/a/b"),
         ("https://github.com/acme/widget.git/", "github.com/acme/widget.git"), ("a/b.GIT", "github.com/a/b.git"), ("widget", None),
         ("https://github.com/acme", None), ("  ", None), (None, None), ("github.com/acme/widget", "github.com/acme/widget"),
+        ("https://github.com//owner/repo", "github.com/owner/repo"), ("owner//repo", "github.com/owner/repo"), ("git@h:a//b", "h/a/b"), ("git@h:a", None), ("file:///a/b/c", None), ("a//", None),
     ],
 )
 def test_canonical_repository(spark, raw, want):
@@ -57,15 +58,23 @@ def test_diffs(spark):
     assert one(spark, lambda c: X.diff_lines(c, "-"), d) == [1]
     assert one(spark, X.changed_paths, d) == [["x.py"]]
     assert one(spark, X.is_text_diff, d, "x", None, d + "\nrename from a") == [True, False, False, False]
+    more = [d + x for x in ("\nnew file mode 100644", "\r\ndeleted file mode 100644", "\nliteral 12", "\ndelta 3", "\nGIT binary patch", "\n+GIT binary patch", "\nGIT binary patches", "\0", "\n" + "x" * 1_000_000)]
+    assert one(spark, X.is_text_diff, *more) == [False] * 5 + [True, True, False, False]
+
+
+def test_capped_text(spark):
+    assert one(spark, lambda c: X.capped(c, 4), "abcdef", "aéé", "ééé", "ab", "", None) == ["abcd", "aé", "éé", "ab", "", None]
 
 
 def test_field_names(spark):
     assert one(spark, X.key_words, "goldPatch_v2", "ground-truth.Diff") == [["gold", "patch", "v2"], ["ground", "truth", "diff"]]
+    assert one(spark, X.key_words, "aB2C", "GOLDPatch", "goldPATCH", "", None) == [["a", "b2", "c"], ["goldpatch"], ["gold", "patch"], [], None]
     assert one(spark, X.names_reference, "goldPatch", "ground_truth", "groundwork", "refs") == [True, True, False, False]
 
 
 def test_test_output(spark):
     assert one(spark, X.test_name, "a b [12 ms]", "a in 3 sec", "a (0.5s) ") == ["a b", "a", "a"]
+    assert one(spark, X.test_name, "a in 3 msec b", "x [1.5 S]", "in 3", "a (3) ", None) == ["a b", "x", "in 3", "a (3)", None]
     assert one(spark, X.test_count, "# tests 3\nx\nℹ tests 14", "none", None) == [14, None, None]
 
 

@@ -125,15 +125,29 @@ def test_whole_split_resolves_aliases_and_near_content(spark, tmp_path):
     assert n["near_matches_samples"] == 2 and n["near_matches_benchmark"] == 1 and n["near_candidates_samples"] >= 2 and n["near_candidates_benchmark"] >= 1
 
 
+ROWS = "partition string, rollout_id string, row_hash string, key string, instance_id string, lang string, resolved int"
+
+
 def test_recovery(spark):
-    rows = [(0, "k", "ts", 1), (1, "k", "ts", None), (2, "c", "js", 1), (3, "c", "js", 0), (4, "c", "js", -1), (5, "n", "ts", None), (6, "n", "ts", -1), (7, "k", "python", None)]
-    df = spark.createDataFrame(rows, "row_id long, key string, lang string, resolved int")
-    r = recovery.recover(df, ["TypeScript", "JavaScript"])
-    assert {x.row_id: (x.outcome, x.label) for x in r.collect()} == {1: ("candidate", True), 4: ("conflict", None), 5: ("request", None), 6: ("request", None)}
-    q = recovery.requests(r).collect()
-    assert [(x.key, x.n_targets, x.first_row) for x in q] == [("n", 2, 5)]
-    a = recovery.accounting(df.withColumn("p", F.lit("x")), ["TypeScript", "JavaScript"], "p").first()
-    assert a.closes and (a.n_ineligible, a.n_known, a.n_target) == (1, 3, 4)
+    langs = ["TypeScript", "JavaScript"]
+    labelled = spark.createDataFrame([("l", "1", "a", "k", "i", "ts", 1), ("l", "2", "b", "c", "i", "js", 1), ("l", "3", "c", "c", "i", "js", 0), ("l", "4", "d", "far", "i", "ts", 0), ("l", "4", "e", "far", "i", "ts", 1), ("l", "5", "f", "x", "i", "js", 1), ("l", "6", "g", None, "i", "js", 1)], ROWS)
+    targets = spark.createDataFrame([
+        ("t", "1", "a", "k", "i", "TypeScript", None), ("t", "1", "a", "k", "i", "ts", None), ("t", "2", "b", "c", "i", "js", -1), ("t", "3", "c", "n", "i", "ts", None), ("t", "4", "d", "n", "i", "ts", -1), ("t", "5", "e", "k", "i", "python", None),
+        ("t", "6", "f", "y", "i", "ts", 1), ("t", "7", "g", "x", "i", "ts", None), ("t", "8", "h", "y", "i", "ts", None), ("t", "9", "i", None, "i", "ts", None),
+    ], ROWS)
+    r = recovery.recover(labelled, targets, langs)
+    # x is labelled in JavaScript only, so its TypeScript target is a request; y is known from a target row
+    assert {x.rollout_id: (x.outcome, x.label) for x in r.collect()} == {"1": ("candidate", True), "2": ("request", None), "3": ("request", None), "4": ("request", None), "7": ("request", None), "8": ("candidate", True)}
+    assert sorted((x.key, x.n_targets, x.first_rollout) for x in recovery.requests(r).collect()) == [("c", 1, "2"), ("n", 2, "3"), ("x", 1, "7")]
+    assert [(x.key, x.n_true, x.n_false) for x in recovery.conflicts(labelled, targets, langs).collect()] == [("c", 1, 1)]  # far is no target's
+    got = recovery.evidence_of(r.where("outcome = 'candidate'"), recovery.observations(labelled, targets, langs)).collect()
+    assert sorted((x.key, x.label, x.rollout_id, x.place) for x in got) == [("k", True, "1", 1), ("y", True, "6", 1)]
+    assert recovery.contradictions(targets, langs).count() == 0
+    c = recovery.counters(labelled, targets, langs).first()
+    assert (c.n_labelled, c.n_targets, c.n_ineligible, c.n_known, c.n_candidates, c.n_candidate_keys, c.n_resolved, c.n_unresolved, c.n_requests, c.n_queued, c.n_conflicts, c.n_repeated, c.n_lost) == (7, 10, 1, 1, 2, 2, 2, 0, 3, 4, 1, 1, 1)
+    assert all(x.closes for x in recovery.accounting(labelled.unionByName(targets), langs).collect())
+    empty = recovery.counters(labelled.limit(0), targets.limit(0), langs).first()
+    assert (empty.n_targets, empty.n_candidates, empty.n_lost) == (0, 0, 0)
 
 
 def test_selection(spark):

@@ -5,11 +5,31 @@ from sievewright.streaming import arrivals
 
 
 def test_outcomes(spark):
-    schema = "i long, baseline map<string,string>, candidate map<string,string>, baseline_ok boolean, candidate_ok boolean, truncated boolean, fail_to_pass array<string>, pass_to_pass array<string>, expected_label boolean"
+    schema = "i long, baseline map<string,string>, candidate map<string,string>, baseline_ran boolean, candidate_ran boolean, candidate_succeeded boolean, truncated boolean, fail_to_pass array<string>, pass_to_pass array<string>, expected_label boolean"
     good, bad = {"a": "PASSED", "b": "PASSED"}, {"a": "FAILED", "b": "PASSED"}
-    rows = [(0, bad, good, True, True, False, ["a"], ["b"], True), (1, bad, bad, True, True, False, ["a"], ["b"], None), (2, good, good, True, True, False, ["a"], ["b"], None), (3, bad, {"a": "PASSED"}, True, True, False, ["a"], ["b"], None), (4, bad, good, True, True, True, ["a"], ["b"], None), (5, bad, good, False, False, True, ["a"], ["b"], None), (6, bad, bad, True, True, False, ["a"], ["b"], True)]
-    got = {r.i: (r.reason, r.resolved) for r in outcomes.evaluate(spark.createDataFrame(rows, schema)).collect()}
-    assert got == {0: (None, True), 1: (None, False), 2: ("baseline_not_reproduced", None), 3: ("incomplete_tests", None), 4: ("truncated", None), 5: ("baseline_failed_to_run", None), 6: ("label_disagreement", None)}
+    rows = [
+        (0, bad, good, True, True, True, False, ["a"], ["b"], True), (1, bad, bad, True, True, False, False, ["a"], ["b"], None), (2, good, good, True, True, True, False, ["a"], ["b"], None),
+        (3, bad, {"a": "PASSED"}, True, True, True, False, ["a"], ["b"], None), (4, bad, good, True, True, True, True, ["a"], ["b"], None), (5, bad, good, False, False, True, True, ["a"], ["b"], None),
+        (6, bad, bad, True, True, False, False, ["a"], ["b"], True), (7, bad, good, True, True, False, False, ["a"], ["b"], True),
+    ]
+    got = {r.i: (r.reason, r.resolved, r.label_agrees) for r in outcomes.evaluate(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {
+        0: (None, True, True), 1: (None, False, None), 2: ("baseline_not_reproduced", None, None), 3: ("incomplete_tests", None, None), 4: ("truncated", None, None), 5: ("baseline_failed_to_run", None, None),
+        6: ("label_disagreement", False, False), 7: ("exit_contradicts_tests", None, None),
+    }
+
+
+def test_failures_of_reporters(spark):
+    jest = "  ✕ fixes bug (12ms)\n  ✓ keeps behavior\n\n  ● suite › fixes bug\n\nTests:       1 failed, 1 passed, 2 total"
+    ava = "  ✘ [fail]: fixes bug Rejected promise returned by test\n  ✓ keeps behavior\n\n  fixes bug\n\n  1 test failed"
+    logs = [
+        ("  1) fixes bug\n  ✓ keeps behavior\n  2) keeps behavior:", ["fixes bug", "keeps behavior"]), (jest, ["fixes bug"]), (ava, ["fixes bug"]), ("  ✕ fixes bug (12ms)", []),
+        ("  ✕ fixes bug (12ms)\n  ● suite › fixes bug", []), ("  ✕ fixes bug (12ms)\nTests:       1 failed, 1 passed, 2 total", []), ("  ✘ [fail]: fixes bug Rejected promise returned by test", []),
+        ("  ✘ [fail]: fixes bug Rejected promise returned by test\n  fixes bug", []), ("  ✘ [fail]: fixes bug Rejected promise returned by test\n  1 test failed", []), ("", []), (None, None),
+    ]
+    df = spark.createDataFrame([(k, x) for k, (x, _) in enumerate(logs)], "k int, log string")
+    got = {r.k: r.n for r in df.select("k", outcomes.failed_names(F.col("log")).alias("n")).collect()}
+    assert got == {k: n for k, (_, n) in enumerate(logs)}
 
 
 def test_logs_and_lists(spark):
