@@ -67,21 +67,32 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, last, first_id = int(numbers[-1]), key[n - 1].as_py(), firsts[n - 1].as_py()
 
 
-def copies(samples: DataFrame) -> DataFrame:
-    """first_id, sample_id, n_copies of every record that takes part, its set's smallest id and size.
+def members(samples: DataFrame) -> DataFrame:
+    """first_id, sample_id of every record that takes part, first_id being its set's smallest id.
 
-    Records without copies are sets of one.  Repeated rows of an id count once; columns beside sample_id,
-    task_text and patch_texts are ignored; an empty table gives an empty result.
+    Canonical records are made once and kept, so choosing the ranges doesn't make them again.
     """
     spark = samples.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    records = canonical_records(samples)
-    sorted_ = records.withColumn("h", F.xxhash64("key")).repartitionByRange(n, "h", "sample_id").sortWithinPartitions("h", "key", "sample_id")
+    records = cut(canonical_records(samples).withColumn("h", F.xxhash64("key")))
+    sorted_ = records.repartitionByRange(n, "h", "sample_id").sortWithinPartitions("h", "key", "sample_id")
     rows = sorted_.select("h", "key", "sample_id", F.spark_partition_id().alias("part"))
     marked = cut(rows.mapInArrow(_runs, "part int, run long, first_id string, sample_id string, edge string"))
     # a run that may go on in another partition has a row or a few with its full key, by which it is matched
     ends = marked.where("edge is not null").groupBy("part", "run", "edge").agg(F.min("first_id").alias("first_id"))
     joined = ends.groupBy("edge").agg(F.min("first_id").alias("whole_first")).join(ends, "edge").select("part", "run", "whole_first")
-    whole = marked.join(joined, ["part", "run"], "left").select(F.coalesce("whole_first", "first_id").alias("first_id"), "sample_id").distinct()
-    sizes = whole.groupBy("first_id").agg(F.count(F.lit(1)).alias("n_copies"))
-    return whole.join(sizes, "first_id").select("first_id", "sample_id", "n_copies")
+    return marked.join(joined, ["part", "run"], "left").select(F.coalesce("whole_first", "first_id").alias("first_id"), "sample_id").distinct()
+
+
+def sets(samples: DataFrame) -> DataFrame:
+    """first_id, n_copies of every set of copies, those of one record too; counted by partial sums, so a giant set is a row a task."""
+    return members(samples).groupBy("first_id").agg(F.count(F.lit(1)).alias("n_copies"))
+
+
+def copies(samples: DataFrame) -> DataFrame:
+    """first_id, sample_id of the records that are another's copy.
+
+    Repeated rows of an id count once; columns beside sample_id, task_text and patch_texts are ignored; an empty table gives an
+    empty result.
+    """
+    return members(samples).where("sample_id <> first_id")
