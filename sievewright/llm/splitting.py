@@ -12,6 +12,8 @@ label) is summed; the best assignment of all rounds is kept.  Only these sums an
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -147,13 +149,17 @@ def assign_components(stats: DataFrame, targets: DataFrame, seed: int = 7, round
             break
         gap = (goal - have) / blocks  # run is serialised at once, with this round's values
 
-        def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values("component", kind="stable")
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held_rows = [p for p in parts if len(p)]  # one block, of BLOCK components on average
+            if not held_rows:
+                return
+            rows = pd.concat(held_rows).sort_values("component", kind="stable")
+            key = int(rows["block"].iloc[0])
             weights = rows[labels].fillna(0).to_numpy(float)
             start = rows["at"].to_numpy(np.int64)
             own = gap.copy()
             np.add.at(own, start, weights)  # what this block should hold of each split
-            tries = [anneal(weights, start, own, seed * 1000 + number * 100 + int(key[0]) * 7 + c, STEPS, importance, 8.0**c) for c in range(CHAINS)]
+            tries = [anneal(weights, start, own, seed * 1000 + number * 100 + key * 7 + c, STEPS, importance, 8.0**c) for c in range(CHAINS)]
 
             def energy(a: np.ndarray) -> float:
                 g = own.copy()
@@ -161,10 +167,11 @@ def assign_components(stats: DataFrame, targets: DataFrame, seed: int = 7, round
                 return float((np.abs(g) * importance).sum())
 
             rows["at"] = min(tries, key=energy).astype(np.int32)
-            return rows[["component", *labels, "at"]]
+            yield rows[["component", *labels, "at"]]
 
         block = F.pmod(F.xxhash64(F.col("component").cast("string"), F.lit(seed + 1 + number)), F.lit(blocks)).cast("int")
-        state = cut(state.withColumn("block", block).groupBy("block").applyInPandas(run, state.schema))
+        # a task a block: an exchange by hash would be merged into a few tasks, since it is small, and anneal one block after another
+        state = cut(state.withColumn("block", block).repartitionById(blocks, "block").mapInPandas(run, state.schema))
         rest = sums(state)
         if keys:
             tries = [anneal(fixed, fixed_at, goal - rest, seed * 1000 + number * 100 + c, STEPS, importance, 8.0**c) for c in range(CHAINS)]
