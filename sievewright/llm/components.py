@@ -39,10 +39,11 @@ def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
         dropped.append(best.where("not stays").select(F.col("u").alias("vertex"), F.col("top").alias("parent")))
         kept = given.join(best.select("u", "top"), "u").where("m <> top").select("m", "top")
         around = cut(kept.union(kept.select("top", "m")).toDF("u", "v").distinct())
-    label = every
+    gone = None  # every vertex drops out once at most, so one join leaves the seeds
     for d in dropped:
-        label = label.join(d.select("vertex"), "vertex", "left_anti")
-    label = cut(label.select("vertex", F.col("vertex").alias("group")))
+        gone = d.select("vertex") if gone is None else gone.union(d.select("vertex"))
+    seeds = every if gone is None else every.join(gone, "vertex", "left_anti")
+    label = cut(seeds.select("vertex", F.col("vertex").alias("group")))
     for d in reversed(dropped):
         below = d.join(label.select(F.col("vertex").alias("parent"), "group"), "parent").select("vertex", "group")
         label = cut(label.union(below))

@@ -5,8 +5,12 @@ fixed mask over ``SPAN`` consecutive words that ignores some positions, so it al
 the words at those positions were substituted.  Both sides hash their text under every mask and keep, of each
 ``window`` neighbouring seeds of a mask, the one of the smallest hash: texts that share ``run`` =
 SPAN + window - 1 consecutive words keep at least one seed of every mask in common, so no such pair is missed
-while about 2 / (window + 1) of the seeds travel.  Around each hit the words are compared outwards: exactly,
-for the longest run of equal words, and with up to ``tolerance`` substitutions between matching words.
+while about 2 / (window + 1) of the seeds travel.  The masks leave no pattern of up to two substitutions in 20 words
+without a seed, if all seeds are kept.
+
+Seeds travel alone, with the id of their text and their place; only for places that met are words fetched, once from
+each text.  Around each hit they are compared outwards: exactly, for the longest run of equal words, and with up to
+``tolerance`` substitutions between matching words, many hits at once.
 """
 
 from __future__ import annotations
@@ -22,9 +26,11 @@ from ..sources.tables import cut
 from .packed import Bloom, bloom_of, id_hashes, merged_bloom
 from .words import mix, words
 
-#: Words a seed covers, and the masks: 1 takes the word part in the hash, 0 ignores it.
+#: Words a seed covers, and the masks: 1 takes the word part in the hash, 0 ignores it.  Whichever two words of 20 differ, some
+#: place has a mask that ignores them.  Runs of equal words have a seed under every mask, so for them the first WINNOWED do.
 SPAN = 12
-MASKS = ("111101110111", "110111011111")
+MASKS = ("111011011111", "111101011111", "111111100111")
+WINNOWED = 2
 #: Consecutive words that make a leak.
 RUN = 20
 #: Substituted words an extended overlap may bridge, one at a time.
@@ -33,7 +39,7 @@ _CHUNK = 2048
 
 
 def seeds(h: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and word positions of the kept seeds of all masks.
+    """Hashes and word positions of the kept seeds; of all masks if all seeds are kept (window 1), else of the first WINNOWED.
 
     A text with at least SPAN but fewer than SPAN + window - 1 words keeps the smallest seed it has.
     """
@@ -43,7 +49,7 @@ def seeds(h: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray,
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     inside = row[:n] == row[SPAN - 1 :]
     all_hashes, all_places = [], []
-    for number, mask in enumerate(MASKS):
+    for number, mask in enumerate(MASKS if window == 1 else MASKS[:WINNOWED]):
         x = np.full(n, number + 1, np.uint64)
         for k, bit in enumerate(mask):
             if bit == "1":
@@ -87,26 +93,15 @@ def item_texts(benchmark: DataFrame, samples: DataFrame, splits: DataFrame) -> D
     return entries.union(records).where("item_id is not null and text is not null")
 
 
-_SEED_DDL = "seed long, id string, at int, words binary, before int"
-
-
-def _around(h: np.ndarray, offsets: np.ndarray, row: np.ndarray, place: np.ndarray, reach: int) -> tuple[pa.Array, np.ndarray]:
-    """The words around each seed that a verification may need, as bytes, and how many of them come before it."""
-    begin = np.maximum(offsets[row], place - reach)
-    end = np.minimum(offsets[row + 1], place + SPAN + reach)
-    n = end - begin
-    flat = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-    data = (h[flat] >> np.uint64(32)).astype(np.uint32)
-    ends = np.concatenate([[0], np.cumsum(n)]) * 4
-    return pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary()), place - begin
+_SEED_DDL = "seed long, key long, at int"
 
 
 def _places(seed: np.ndarray) -> np.ndarray:
     return id_hashes(pa.array(seed.view(np.int64)))
 
 
-def _seed_rows(reach: int, window: int, bloom):
-    """Rows of the kept seeds that the Bloom filter lets through, with the words around them."""
+def _seed_rows(window: int, bloom):
+    """Rows of the kept seeds that the Bloom filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,17 +109,11 @@ def _seed_rows(reach: int, window: int, bloom):
                 part = batch.slice(k, _CHUNK)
                 h, offsets = words(part.column(1))
                 seed, place = seeds(h, offsets, window)
+                hit = bloom.value.has(_places(seed))
+                seed, place = seed[hit], place[hit]
                 if len(seed):
-                    hit = bloom.value.has(_places(seed))
-                    seed, place = seed[hit], place[hit]
-                if not len(seed):
-                    continue
-                row = np.searchsorted(offsets, place, "right") - 1
-                around, before = _around(h, offsets, row, place, reach)
-                yield pa.RecordBatch.from_pydict({
-                    "seed": pa.array(seed.view(np.int64)), "id": part.column(0).take(pa.array(row)),
-                    "at": pa.array((place - offsets[row]).astype(np.int32)), "words": around, "before": pa.array(before.astype(np.int32)),
-                })
+                    row = np.searchsorted(offsets, place, "right") - 1
+                    yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), part.column(0).take(pa.array(row)), pa.array((place - offsets[row]).astype(np.int32))], ["seed", "key", "at"])
 
     return run
 
@@ -139,23 +128,53 @@ def _seed_bloom(items: DataFrame, window: int, n: int) -> Bloom:
     return merged_bloom(items, n, hashes)
 
 
-def _extend(d: np.ndarray, d0: int, q: np.ndarray, q0: int, tolerance: int) -> tuple[int, int, int]:
-    """Longest exact run that touches the seed, and length and equal words of the overlap with substitutions."""
-    left, right = min(d0, q0), min(len(d) - d0, len(q) - q0)
-    same = d[d0 - left : d0 + right] == q[q0 - left : q0 + right]
-    # longest exact run among those that meet the seed's words
-    edges = np.flatnonzero(np.diff(same, prepend=False, append=False))
-    starts, stops = edges[0::2], edges[1::2]
-    meets = (stops > left) & (starts < left + SPAN)
-    exact = int((stops - starts)[meets].max()) if meets.any() else 0
-    # outwards over at most ``tolerance`` unequal words in all on each side, ending on an equal word
-    wrong_r = np.cumsum(~same[left:])
-    good_r = np.flatnonzero(same[left:] & (wrong_r <= tolerance))
-    wrong_l = np.cumsum(~same[:left][::-1])
-    good_l = np.flatnonzero(same[:left][::-1] & (wrong_l <= tolerance))
-    lo = left - (int(good_l[-1]) + 1 if len(good_l) else 0)
-    hi = left + (int(good_r[-1]) + 1 if len(good_r) else 0)
-    return exact, hi - lo, int(same[lo:hi].sum())
+def _windows(texts: DataFrame, places: DataFrame, reach: int, outside: int) -> DataFrame:
+    """key, at, near: the words up to reach before and behind each wanted place, 32 bits each; outside, under 2, where the text ends.
+
+    texts: key, text.  places: key, at.  A text is read once for all its places, whose number its length bounds.
+    """
+    wanted = places.groupBy("key").agg(F.collect_set("at").alias("places"))
+    some = texts.sparkSession.sparkContext.broadcast(bloom_of(wanted, "key", wanted.count()))
+
+    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(some.value.has(id_hashes(b.column(0)))))
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
+                h, offsets = words(part.column(1))
+                x = (h >> np.uint64(32)).astype(np.uint32) | np.uint32(2)
+                at = part.column(2)
+                row = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(at.offsets)))
+                flat = np.asarray(at.flatten()).astype(np.int64)
+                for m in range(0, len(flat), 1 << 14):
+                    r, f = row[m : m + (1 << 14)], flat[m : m + (1 << 14)]
+                    where = (offsets[r] + f)[:, None] + np.arange(-reach, SPAN + reach)
+                    inside = (where >= offsets[r][:, None]) & (where < offsets[r + 1][:, None])
+                    near = np.where(inside, x[np.clip(where, 0, max(0, len(x) - 1))] if len(x) else np.uint32(0), np.uint32(outside)).astype(np.uint32)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(r)), pa.array(f.astype(np.int32)), pa.array([n.tobytes() for n in near], pa.binary())], ["key", "at", "near"])
+
+    few = texts.select("key", "text").mapInArrow(only, "key long, text string").dropDuplicates(["key"])
+    return few.join(wanted, "key").select("key", "text", "places").mapInArrow(fetch, "key long, at int, near binary")
+
+
+def _extend(same: np.ndarray, reach: int, tolerance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row of equal-word marks around a seed, which starts at column reach: the longest exact run that touches the seed,
+    and length and equal words of the overlap with substitutions."""
+    n, width = same.shape
+    column = np.arange(width)
+    before = np.maximum.accumulate(np.where(same, -1, column), 1)
+    behind = np.minimum.accumulate(np.where(same, width, column)[:, ::-1], 1)[:, ::-1]
+    run = np.where(same, behind - before - 1, 0)
+    exact = run[:, reach : reach + SPAN].max(1, initial=0)
+    sides = []
+    for part in (same[:, reach:], same[:, :reach][:, ::-1]):
+        good = part & (np.cumsum(~part, 1) <= tolerance)  # ends on an equal word
+        length = np.where(good.any(1), part.shape[1] - np.argmax(good[:, ::-1], 1), 0)
+        sides.append((length, (part & (np.arange(part.shape[1]) < length[:, None])).sum(1)))
+    return exact, sides[0][0] + sides[1][0], sides[0][1] + sides[1][1]
 
 
 _AT_DDL = "seed long, key long, at int, near binary"
@@ -287,28 +306,30 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, tolerance: int
     spark = documents.sparkSession
     window = run - SPAN + 1
     reach = 2 * run
-    docs = documents.select(F.col("doc_id").cast("string").alias("id"), "text").where("text is not null and doc_id is not null")
-    wanted = cut(items.select(F.col("item_id").alias("id"), "text"))
-    n = wanted.select(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     broadcast = spark.sparkContext.broadcast
-    # each side only sends the seeds that the other side may hold: filters of bounded size, first of the items, then of what they hit
-    d = cut(docs.mapInArrow(_seed_rows(reach, window, broadcast(_seed_bloom(wanted, window, n // 12 + 1))), _SEED_DDL)).toDF("seed", "doc", "doc_at", "doc_words", "doc_before")
-    q = wanted.mapInArrow(_seed_rows(reach, window, broadcast(bloom_of(d, "seed", d.count()))), _SEED_DDL).toDF("seed", "item", "item_at", "item_words", "item_before")
-    q = q.dropDuplicates(["seed", "item", "item_words", "item_before"]).drop("item_at")
+    key = lambda name: F.xxhash64(F.col(name), F.col("text")).alias("key")
+    docs = documents.where("text is not null and doc_id is not null").select("doc_id", key("doc_id"), "text")
+    wanted = cut(items.where("item_id is not null and text is not null").select("item_id", key("item_id"), "text").distinct())
+    n = wanted.select(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    # each side only sends the seeds that the other side may hold; filters of bounded size, beyond which more seeds, of 20 bytes, travel
+    bloom = broadcast(_seed_bloom(wanted.select("key", "text"), window, n // 12 + 1))
+    d = cut(docs.select("key", "text").mapInArrow(_seed_rows(window, bloom), _SEED_DDL)).toDF("seed", "doc", "doc_at")
+    q = wanted.select("key", "text").mapInArrow(_seed_rows(window, broadcast(bloom_of(d, "seed", d.count()))), _SEED_DDL).toDF("seed", "item", "item_at")
+    hits = cut(d.join(q, "seed").select("doc", "doc_at", "item", "item_at").distinct())
+    left = _windows(docs, hits.select(F.col("doc").alias("key"), F.col("doc_at").alias("at")), reach, 0).toDF("doc", "doc_at", "doc_near")
+    right = _windows(wanted, hits.select(F.col("item").alias("key"), F.col("item_at").alias("at")), reach, 1).toDF("item", "item_at", "item_near")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            dw, qw = b.column("doc_words"), b.column("item_words")
-            d0, q0 = b.column("doc_before").to_pylist(), b.column("item_before").to_pylist()
-            got = [_extend(np.frombuffer(x.as_buffer(), np.uint32), i, np.frombuffer(y.as_buffer(), np.uint32), j, tolerance) for x, i, y, j in zip(dw, d0, qw, q0, strict=True)]
-            e, o, s = (np.array(x, np.int32) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.int32),) * 3
-            out = pa.RecordBatch.from_pydict({"doc": b.column("doc"), "item": b.column("item"), "exact_words": pa.array(e), "overlap_words": pa.array(o), "equal_words": pa.array(s)})
-            yield out.filter(pa.array(o >= run))
-
-    hits = d.join(q, "seed").select("doc", "item", "doc_words", "doc_before", "item_words", "item_before")
-    checked = hits.mapInArrow(verify, "doc string, item string, exact_words int, overlap_words int, equal_words int")
-    kind = dict(documents.dtypes)["doc_id"]
-    return (
-        checked.groupBy(F.col("doc").cast(kind).alias("doc_id"), F.col("item").alias("item_id"))
-        .agg(F.max("exact_words").alias("exact_words"), F.max("overlap_words").alias("overlap_words"), F.max("equal_words").alias("equal_words"))
-    )
+        for whole in batches:
+            for k in range(0, whole.num_rows, 4096):
+                b = whole.slice(k, 4096)
+                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(b.num_rows, -1) for c in ("doc_near", "item_near"))
+                e, o, s = (v.astype(np.int32) for v in _extend(x == y, reach, tolerance))
+                out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(e), pa.array(o), pa.array(s)], ["doc", "item", "exact_words", "overlap_words", "equal_words"])
+                yield out.filter(pa.array(o >= run))
+
+    met = hits.join(left, ["doc", "doc_at"]).join(right, ["item", "item_at"]).select("doc", "item", "doc_near", "item_near")
+    measures = ("exact_words", "overlap_words", "equal_words")
+    found = met.mapInArrow(verify, "doc long, item long, exact_words int, overlap_words int, equal_words int").groupBy("doc", "item").agg(*[F.max(c).alias(c) for c in measures])
+    named = found.join(docs.select("doc_id", F.col("key").alias("doc")), "doc").join(wanted.select("item_id", F.col("key").alias("item")), "item")
+    return named.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in measures])

@@ -21,15 +21,15 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """Every record and kind with its group of similar texts and its number of links to different texts."""
+    """Every record and kind with the groups of similar texts it is in, each named by its smallest record, and the most links that a
+    text of it there has to different texts."""
     found = similar.find(similar.sample_texts(table(spark, folder, "samples")))
     group = components.components(found.links.select("lo_a", "lo_b")).toDF("lo", "group")
     links = found.links.select(F.explode(F.array("lo_a", "lo_b")).alias("lo")).groupBy("lo").agg(F.count(F.lit(1)).alias("links"))
-    return (
-        found.members.join(group, "lo", "left")
-        .join(links, "lo", "left")
-        .select("kind", F.col("id").alias("sample_id"), F.coalesce("group", "lo").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    )
+    rows = found.members.join(group, "lo", "left").join(links, "lo", "left").select("kind", F.col("id").alias("sample_id"), F.coalesce("group", "lo").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))
+    rows = cut(rows)
+    names = rows.groupBy("kind", "group").agg(F.min("sample_id").alias("group_id"))
+    return rows.join(names, ["kind", "group"]).groupBy("kind", "sample_id", "group_id").agg(F.max("links").alias("links"))
 
 
 def sample_groups(spark: SparkSession, folder: str) -> DataFrame:
@@ -53,13 +53,11 @@ def sample_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_copies(spark: SparkSession, folder: str) -> DataFrame:
-    c = formatting.copies(table(spark, folder, "samples"))
-    return c.where("sample_id = first_id").select("first_id", "n_copies")
+    return formatting.sets(table(spark, folder, "samples"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    c = formatting.copies(table(spark, folder, "samples"))
-    return c.where("sample_id <> first_id").select("first_id", F.col("sample_id").alias("copy_id"))
+    return formatting.copies(table(spark, folder, "samples")).select("first_id", F.col("sample_id").alias("copy_id"))
 
 
 def _crossing(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -98,6 +96,28 @@ def p6_splits(spark: SparkSession, folder: str) -> DataFrame:
     return _split(spark, folder).select("sample_id", "entity", "split")
 
 
+def p6_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each split the target share, the share of records reached, and the shares of resolved and unresolved records that it holds."""
+    got = cut(_split(spark, folder))
+    whole = got.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("resolved") == 1).alias("y"), F.count_if(F.col("resolved") == 0).alias("z"))
+    per = got.groupBy("split").agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("resolved") == 1).alias("yes"), F.count_if(F.col("resolved") == 0).alias("no"))
+    targets = table(spark, folder, "split_targets").groupBy("split").agg(F.max("share").alias("target_share"))
+    share = lambda a, b: F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
+    joined = targets.join(per, "split", "left").crossJoin(F.broadcast(whole))  # one row
+    return joined.select("split", "target_share", F.coalesce("records", F.lit(0)).alias("records"), share("records", "n").alias("share"), share("yes", "y").alias("resolved_share"), share("no", "z").alias("unresolved_share"))
+
+
+def p6_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """What a split must keep, one row a rule with the number of cases that break it: no record twice or without a split, no
+    entity in two splits, no split that misses its target by over 0.02 in records or in either label."""
+    got = cut(_split(spark, folder))
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias("broken")).select(F.lit(name).alias("rule"), "broken")
+    missing = table(spark, folder, "samples").where("sample_id is not null").select("sample_id").distinct().join(got.where("split is not null"), "sample_id", "left_anti")
+    parted = got.where("entity is not null").groupBy("entity").agg(F.min("split").alias("a"), F.max("split").alias("b")).where("a <> b")
+    far = p6_shares(spark, folder).where("abs(share - target_share) > 0.02 or abs(resolved_share - target_share) > 0.02 or abs(unresolved_share - target_share) > 0.02")
+    return n(got.groupBy("sample_id").count().where("count > 1"), "record_twice").unionByName(n(missing, "record_without_split")).unionByName(n(parted, "entity_in_two_splits")).unionByName(n(far, "split_off_target"))
+
+
 def _leaks(spark: SparkSession, folder: str, find: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     items = leaks.item_texts(table(spark, folder, "benchmark_entries"), table(spark, folder, "samples"), samples.splits(table(spark, folder, "split_assignments")))
     return find(table(spark, folder, "documents"), items)
@@ -150,7 +170,7 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": sample_groups, "p4_found": p4_found, "p4_copies": p4_copies,
-        "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_splits": p6_splits, "p7_found": p7_found,
+        "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_splits": p6_splits, "p6_shares": p6_shares, "p6_checks": p6_checks, "p7_found": p7_found,
         "p7_leaks": p7_leaks, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found,
         "p10_scores": p10_scores, "p10_rates": p10_rates,
     }

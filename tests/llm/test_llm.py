@@ -161,7 +161,9 @@ def test_copies(spark):
         if r[0] and clean(r[2]) and p:
             sets[(clean(r[2]), tuple(p))].add(r[0])
     df = spark.createDataFrame(rows, SAMPLE)
-    got = {r.sample_id: (r.first_id, r.n_copies) for r in formatting.copies(df).collect()}
+    sizes = {r.first_id: r.n_copies for r in formatting.sets(df).collect()}
+    got = {r.sample_id: (r.first_id, sizes[r.first_id]) for r in formatting.members(df).collect()}
+    assert {r.sample_id: r.first_id for r in formatting.copies(df).collect()} == {i: f for i, (f, _) in got.items() if i != f}
     assert got == {x: (min(s), len(s)) for s in sets.values() for x in s}
     assert formatting.copies(df.limit(0)).count() == 0
 
@@ -246,19 +248,30 @@ def test_leaks_against_brute_force(spark):
     assert leaks.leaks(d.limit(0), q).count() == 0 and leaks.leaks(d, q.limit(0)).count() == 0
 
 
+def test_masks_leave_no_two_substitutions_uncovered():
+    from itertools import combinations
+
+    def covered(n, wrong):
+        return any(all(not 0 <= p - a < leaks.SPAN or m[p - a] == "0" for p in wrong) for m in leaks.MASKS for a in range(n - leaks.SPAN + 1))
+
+    assert all(covered(20, w) for k in (0, 1, 2) for w in combinations(range(20), k))
+    three = [covered(20, w) for w in combinations(range(20), 3)]
+    assert sum(three) / len(three) > 0.8 and all(covered(36, w) for w in combinations(range(36), 3))
+
+
 def test_tolerant_leaks_are_whole(spark):
     """Passages with substitutions are found wherever a seed fits, and lengths are not cut off at a reach."""
     rng = random.Random(9)
     fresh = iter(range(10**6))
     docs, items = [], []
     for k in range(60):
-        n, wrong = [(20, [13]), (25, [12]), (36, [12, 24]), (400, [100, 300])][k % 4]
+        n, wrong = [(20, [13]), (25, [12]), (36, [12, 24]), (400, [100, 300]), (20, [6, 13])][k % 5]
         piece = [f"p{next(fresh)}" for _ in range(n)]
         items.append((f"i{k}", " ".join(piece)))
         pad = [f"d{rng.randrange(10**6)}x" for _ in range(20)]
         docs.append((k, " ".join([*pad, *[f"z{next(fresh)}" if p in wrong else w for p, w in enumerate(piece)], *pad])))
     got = {(r.doc_id, r.item_id): (r.exact_words, r.overlap_words, r.equal_words) for r in leaks.all_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")).collect()}
-    want = {(k, f"i{k}"): [(13, 20, 19), (12, 25, 24), (12, 36, 34), (199, 400, 398)][k % 4] for k in range(60)}
+    want = {(k, f"i{k}"): [(13, 20, 19), (12, 25, 24), (12, 36, 34), (199, 400, 398), (6, 20, 18)][k % 5] for k in range(60)}
     assert got == want
 
 
