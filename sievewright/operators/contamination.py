@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalized_text, unit_bucket
 from ..sources.tables import cut
+from . import edits
 
 
 def content(samples: DataFrame) -> DataFrame:
@@ -54,15 +55,6 @@ def exact_overlap(values: DataFrame, benchmark: DataFrame) -> DataFrame:
     return values.join(benchmark.select("kind", "fingerprint", "benchmark_id"), ["kind", "fingerprint"]).select("sample_id", "benchmark_id", "kind").distinct()
 
 
-def _bands(n: Column, t: float, width: float):
-    """Geometric length bands: a value lies in one, and a text looks into the ones its partners may lie in."""
-    import math
-
-    step = math.log(width)
-    band = lambda x: F.floor(F.log(F.greatest(x, F.lit(1.0))) / step).cast("int")
-    return band(n.cast("double")), F.sequence(band(F.floor(n * t / (2 - t)).cast("double")), band(F.ceil(n * (2 / t - 1)).cast("double")))
-
-
 _GRAM_CELLS = 2048
 
 
@@ -83,25 +75,50 @@ def gram_counts(text: Column) -> Column:
 
 
 def near_candidates(left: DataFrame, right: DataFrame, t: float, symmetric: bool) -> DataFrame:
-    """Pairs of one kind and different fingerprints whose lengths allow a similarity of t, with texts and pair counts.
+    """kind, fp_l, fp_r, text_l, text_r, n_l, n_r, grams_l, grams_r of the pairs of one kind and different fingerprints that may
+    reach a ratio of t; no pair that does is missing.
 
-    The length range becomes an equi-join on geometric bands; the bounds use the left length.  symmetric: each pair once,
-    smaller fingerprint left.  Made for a stated query set (a benchmark) against all rows, or for high thresholds.
+    Candidates are found by rare grams of characters (``edits``) as pairs of ids; texts are fetched for what is left, each value's
+    grams counted once.  symmetric: left and right are one relation, each pair once, smaller fingerprint left.
     """
-    one, many = _bands(F.col("n_chars"), t, 1.05)
-    grams = gram_counts(F.col("text"))
-    a = left.select("kind", "fingerprint", "text", "n_chars").dropDuplicates(["kind", "fingerprint"]).withColumn("grams", grams).withColumn("band", F.explode(many)).toDF("kind", "fp_l", "text_l", "n_l", "grams_l", "band")
-    b = right.select("kind", "fingerprint", "text", "n_chars").dropDuplicates(["kind", "fingerprint"]).withColumn("grams", grams).withColumn("band", one).toDF("kind", "fp_r", "text_r", "n_r", "grams_r", "band")
-    order = F.col("fp_l") < F.col("fp_r") if symmetric else F.col("fp_l") != F.col("fp_r")
-    fits = (F.col("n_r") >= F.floor(F.col("n_l") * t / (2 - t))) & (F.col("n_r") <= F.ceil(F.col("n_l") * (2 / t - 1)))
-    return a.join(b, ["kind", "band"]).where(order & fits).drop("band")
+
+    def values(df: DataFrame) -> DataFrame:
+        return df.select("kind", "fingerprint", "text", "n_chars").dropDuplicates(["kind", "fingerprint"]).withColumn("id", F.xxhash64("kind", "fingerprint"))
+
+    a = values(left)
+    b = a if symmetric else values(right)
+    ids = edits.candidates(a, None if symmetric else b, t)
+
+    def used(df: DataFrame, side: str) -> DataFrame:
+        some = df.join(ids.select(F.col(f"id_{side}").alias("id")).distinct(), "id", "left_semi")
+        return some.select(F.col("id").alias(f"id_{side}"), F.col("kind").alias(f"kind_{side}"), *[F.col(c).alias(f"{n}_{side}") for c, n in (("fingerprint", "fp"), ("text", "text"), ("n_chars", "n"))], gram_counts(F.col("text")).alias(f"grams_{side}"))
+
+    j = ids.join(used(a, "l"), "id_l").join(used(b, "r"), "id_r").where("kind_l = kind_r and fp_l <> fp_r")
+    swap = (F.col("fp_l") > F.col("fp_r")) if symmetric else F.lit(False)
+    names = ["fp", "text", "n", "grams"]
+    return j.select(
+        F.col("kind_l").alias("kind"), *[F.when(swap, F.col(f"{n}_r")).otherwise(F.col(f"{n}_l")).alias(f"{n}_l") for n in names], *[F.when(swap, F.col(f"{n}_l")).otherwise(F.col(f"{n}_r")).alias(f"{n}_r") for n in names]
+    )
+
+
+def common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a row of the table in the bits of one integer."""
+    masks: dict[str, int] = {}
+    for k, c in enumerate(a):
+        masks[c] = masks.get(c, 0) | (1 << k)
+    whole = row = (1 << len(a)) - 1
+    for c in b:
+        hit = row & masks.get(c, 0)
+        row = ((row + hit) | (row - hit)) & whole
+    return len(a) - row.bit_count()
 
 
 def near_pairs(candidates: DataFrame, t: float) -> DataFrame:
     """kind, fp_l, fp_r, similarity of the candidates whose sequence-matching ratio, the larger of both directions, is at least t.
 
     A ratio of t leaves at most (1 - t) of both lengths unmatched, and one character more or less changes at most three
-    counts of character pairs; candidates whose counts differ by more are refuted before any sequence is matched.
+    counts of character pairs; candidates whose counts differ by more are refuted before any sequence is matched.  What sequence
+    matching matches is a common subsequence, so candidates whose longest one is too short are refuted next.
     """
 
     def refute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,10 +136,8 @@ def near_pairs(candidates: DataFrame, t: float) -> DataFrame:
             out = []
             for a, b in zip(batch.column("text_l").to_pylist(), batch.column("text_r").to_pylist(), strict=True):
                 best = 0.0
-                for x, y in ((a, b), (b, a)):
-                    m = SequenceMatcher(None, x, y, autojunk=False)
-                    if m.real_quick_ratio() >= t and m.quick_ratio() >= t:
-                        best = max(best, m.ratio())
+                if 2 * common_subsequence(a, b) >= t * (len(a) + len(b)) - 1e-9:
+                    best = max(SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in ((a, b), (b, a)))
                 out.append(best)
             kept = pa.array([s >= t for s in out])
             yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("fp_l"), batch.column("fp_r"), pa.array(out, pa.float64())], ["kind", "fp_l", "fp_r", "similarity"]).filter(kept)
