@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.repository import canonical_repository
 from ..functions.text import language, unit_bucket
-from ..operators import aliases, decisions, evidence, isolation, outcomes, profile, recovery, selection, traces
+from ..operators import aliases, contamination, decisions, evidence, isolation, manifests, outcomes, profile, recovery, selection, traces
+from ..sources import snapshot
 from ..sources.tables import cut, table
+from . import curation_queries
 from .trace_sql import SQL as SQL
 
 LANGUAGES = ["TypeScript", "JavaScript"]
@@ -195,10 +197,84 @@ def resolved_repositories(spark: SparkSession, folder: str) -> DataFrame:
     return aliases.entities(table(spark, folder, "repository_aliases")).select("name", "entity")
 
 
+def run_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return manifests.run_summary(run_outcomes(spark, folder))
+
+
+def hashed_split(spark: SparkSession, folder: str) -> DataFrame:
+    """The split of all repositories of samples by hash, under their resolved names."""
+    s = aliases.resolve(table(spark, folder, "samples").select("repository"), table(spark, folder, "repository_aliases"))
+    return manifests.hashed_split(s, 11, 0.5)
+
+
+def excluded_repositories(spark: SparkSession, folder: str) -> DataFrame:
+    return manifests.excluded(hashed_split(spark, folder))
+
+
+def overlapping_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Repositories, in canonical form, that are in several of tasks, samples and documents."""
+    name = lambda t: table(spark, folder, t).select(canonical_repository(F.col("repository")).alias("repository"))
+    return manifests.overlapping({t: name(t) for t in ("documents", "samples", "tasks")}, "repository")
+
+
+def unequal_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers whose nation, balance or segment isn't that of a second copy with every seventh balance and eleventh row changed."""
+    c = table(spark, folder, "customer")
+    k = F.col("c_custkey")
+    other = c.where(k % 11 != 0).withColumn("c_acctbal", F.when(k % 7 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")))
+    return manifests.unequal(c, other, ["c_custkey"], ["c_nationkey", "c_acctbal", "c_mktsegment"])
+
+
+def replayed_targets(spark: SparkSession, folder: str) -> DataFrame:
+    """The target rows of all candidates of the recovery, found again by their references."""
+    labelled, targets = _labels(spark, folder)
+    chosen = recovery.recover(labelled, targets, LANGUAGES).where("outcome = 'candidate'").select(*recovery.REFERENCE, "key")
+    return manifests.replayed(chosen, targets.select(*recovery.REFERENCE, "key", "instance_id"), recovery.REFERENCE, ["key"])
+
+
+def private_tasks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every admitted task with the one set of its private texts' digests; ids with several are left to the decisions that refuse them."""
+    t = table(spark, folder, "tasks")
+    admitted = decisions.admitted_tasks(t).select("instance_id")
+    private = t.select("instance_id", F.sha2(F.concat_ws("|", F.coalesce("problem_statement", F.lit("-")), F.coalesce("test_patch", F.lit("-"))), 256).alias("private_sha256")).distinct()
+    single = private.groupBy("instance_id").count().where("count = 1").select("instance_id")
+    return manifests.with_unique(admitted.join(single, "instance_id", "left_semi"), private, "instance_id")
+
+
+def snapshot_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows and least and greatest row_index of two tables read as one snapshot."""
+    rows = snapshot.scan(spark, folder, None, ("part.parquet", "supplier.parquet"))
+    n = snapshot.numbered(rows.select("source_file", "file_ordinal", "row_place"), ["file_ordinal", "row_place"])
+    return n.groupBy("source_file").agg(F.count(F.lit(1)).alias("n_rows"), F.min("row_index").alias("first"), F.max("row_index").alias("last"))
+
+
+def planted_benchmark(spark: SparkSession, folder: str) -> DataFrame:
+    """The benchmark, and an entry of every sample whose id starts with 00: its task text, and its first patch with another line."""
+    b = table(spark, folder, "benchmark_entries").select("benchmark_id", "task_text", "patch_text")
+    s = table(spark, folder, "samples").where("sample_id like '00%'").dropDuplicates(["sample_id"])
+    return b.unionByName(s.select(F.concat(F.lit("planted-"), "sample_id").alias("benchmark_id"), "task_text", F.concat(F.try_element_at("patch_texts", F.lit(1)), F.lit("\n+one line more")).alias("patch_text")))
+
+
+def planted_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination.exact_overlap(contamination.content(curation_queries._samples(spark, folder)), contamination.benchmark_values(planted_benchmark(spark, folder)))
+
+
+def planted_split(spark: SparkSession, folder: str) -> DataFrame:
+    """The exact split with the planted benchmark, which excludes whole components."""
+    return contamination.split_repositories(curation_queries._samples(spark, folder), planted_benchmark(spark, folder), curation_queries.SEED, curation_queries.FRACTION)
+
+
+def planted_near_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    """Near overlaps with the planted benchmark: entries and the values that are at least 0.95 similar but not equal."""
+    v, b = contamination.content(curation_queries._samples(spark, folder)), contamination.benchmark_values(planted_benchmark(spark, folder))
+    return contamination.near_pairs(contamination.near_candidates(b, v, curation_queries.NEAR, False), curation_queries.NEAR).select("kind", "fp_l", "fp_r", F.round("similarity", 6).alias("similarity"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         isolation_findings, isolation_summary, task_bindings, model_patches, normalized_records, record_checks, record_collisions, audit_report, pilot_decisions, pilot_subset,
         label_recovery, label_requests, label_conflicts, label_evidence, label_accounting, label_counters, run_outcomes, resolved_repositories,
+        run_summary, hashed_split, excluded_repositories, overlapping_sources, unequal_records, replayed_targets, private_tasks, snapshot_rows, planted_overlap, planted_split, planted_near_overlap,
     )
 }

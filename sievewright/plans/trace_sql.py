@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .curation_sql import _TASKS, canonical, diff, disposition, language, spdx, strip
+from .curation_sql import _SPLIT, _TASKS, canonical, diff, disposition, language, spdx, strip
 
 _RAW = f"""
 raw as (select row_index, row_index as k, instance_id, repository as repo, license, language, base_commit, 'r' || (row_index // 2) as trajectory_id,
@@ -125,3 +125,31 @@ SQL = {
         chain as (select name, target, 1 as depth from step union all select c.name, s.target, depth + 1 from chain c join step s on c.target = s.name)
         select name, arg_max(target, depth) as entity from chain group by name""",
 }
+
+_ENTITY = f"""step as (select name, min(target) as target from (select {_ALIASES.replace('{x}', f"coalesce({canonical('alias')}, alias)")} as name, {_ALIASES.replace('{x}', f"coalesce({canonical('target')}, target)")} as target from repository_aliases)
+        where name is not null and target is not null and name <> target group by name),
+        chain as (select name, target, 1 as depth from step union all select c.name, s.target, depth + 1 from chain c join step s on c.target = s.name),
+        entity as (select name, arg_max(target, depth) as entity from chain group by name),
+        repo as (select distinct coalesce(e.entity, s.name) as name from (select {_ALIASES.replace('{x}', canonical('repository'))} as name from samples) s left join entity e using (name)),
+        placed as (select {canonical('name')} as repository from repo where name is not null),
+        split as (select distinct repository, case when ('0x' || substr(sha256('11:' || repository), 1, 16))::ubigint::double / 18446744073709551615 < 0.5 then 'evaluation' else 'train' end as split from placed where repository is not null)"""
+
+_PLANTED = """(select benchmark_id, task_text, patch_text from benchmark_entries union all select 'planted-' || sample_id, task_text, patch_texts[1] || chr(10) || '+one line more'
+        from (select distinct on (sample_id) sample_id, task_text, patch_texts from samples where starts_with(sample_id, '00')))"""
+
+SQL |= {
+    "run_summary": f"""select reason, count(*) as n_runs, count(*) filter (where resolved) as n_resolved, count(*) filter (where label_agrees) as n_agree, count(*) filter (where not label_agrees) as n_disagree from ({SQL['run_outcomes']}) group by reason""",
+    "hashed_split": f"with recursive {_ENTITY} select repository, split from split",
+    "excluded_repositories": f"with recursive {_ENTITY} select repository from split where split = 'evaluation'",
+    "overlapping_sources": f"""with a as (select distinct {canonical('repository')} as value, 'documents' as p from documents union select {canonical('repository')}, 'samples' from samples union select {canonical('repository')}, 'tasks' from tasks)
+        select value, string_agg(p, ',' order by p) as parts from a where value is not null group by value having count(*) > 1""",
+    "unequal_records": """select c_custkey, unnest(case when c_custkey % 11 = 0 then ['c_nationkey', 'c_acctbal', 'c_mktsegment'] when c_custkey % 7 = 0 then ['c_acctbal'] else [] end) as field from customer""",
+    "replayed_targets": f"with {_LABELS} select \"partition\", rollout_id, row_hash, key, instance_id from recovered where outcome = 'candidate'",
+    "private_tasks": f"""with {_TASKS}, a as (select instance_id from decided where reason_code is null),
+        p as (select distinct instance_id, sha256(coalesce(problem_statement, '-') || '|' || coalesce(test_patch, '-')) as private_sha256 from tasks),
+        one as (select instance_id from p group by instance_id having count(*) = 1) select a.instance_id, private_sha256 from a join one using (instance_id) join p using (instance_id)""",
+    "snapshot_rows": """select 'part.parquet' as source_file, count(*) as n_rows, 0 as first, count(*) - 1 as last from part
+        union all select 'supplier.parquet', count(*), (select count(*) from part), (select count(*) from part) + count(*) - 1 from supplier""",
+    "planted_overlap": "with " + _SPLIT.split(",\ne as (select")[0].replace("benchmark_entries", _PLANTED) + " select distinct sample_id, benchmark_id, kind from v join bench using (kind, fingerprint)",
+    "planted_split": "with recursive " + _SPLIT.replace("benchmark_entries", _PLANTED) + " select * from assigned",
+}

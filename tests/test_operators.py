@@ -207,5 +207,64 @@ def test_publishing(spark, tmp_path):
         snapshot.publish_json(tmp_path / "m.json", {})
     df = spark.createDataFrame([(1,), (2,)], "i long")
     assert snapshot.publish(df, str(tmp_path / "t"))["rows"] == 2
-    with pytest.raises(Exception):
-        snapshot.publish(df, str(tmp_path / "t"))
+    again = snapshot.publish(df.orderBy(F.desc("i")), str(tmp_path / "t"))
+    assert again["rows"] == 2  # the same rows are fine
+    with pytest.raises(snapshot.Collision):
+        snapshot.publish(df.limit(1), str(tmp_path / "t"))
+    df.write.parquet(str(tmp_path / "lost"))
+    with pytest.raises(snapshot.Collision):
+        snapshot.publish(df, str(tmp_path / "lost"))
+    assert snapshot.materialize(df, ["i"], str(tmp_path / "m"), 1)["status"] == "PASS"
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "m")).select("i", "row_index").collect()] == [(1, 0)]
+    assert snapshot.materialize(df.limit(0), ["i"], str(tmp_path / "n"))["status"] == "FAIL"
+
+
+def test_snapshot_order_and_projection(spark, tmp_path):
+    (tmp_path / "a b").mkdir()
+    (tmp_path / "a b" / "x.jsonl").write_text("".join(f'{{"i": {k}, "m": {{"p": {{"q": "v{k}"}}, "z": 1.5}}, "n": null}}\n' for k in range(50)))
+    (tmp_path / "c.jsonl").write_text('{"i": 50, "late": [1]}\n')
+    spark.range(51, 60).select(F.col("id").alias("i")).coalesce(1).toPandas().to_parquet(tmp_path / "d.parquet")
+    rows = snapshot.scan(spark, tmp_path)
+    got = snapshot.numbered(rows.select("i", "source_file", "file_ordinal", "row_place"), ["file_ordinal", "row_place"]).orderBy("row_index").collect()
+    assert [(r.i, r.row_index) for r in got] == [(k, k) for k in range(60)]
+    assert [r.source_file for r in got if r.i in (0, 50, 51)] == ["a b/x.jsonl", "c.jsonl", "d.parquet"]
+    some = snapshot.scan(spark, tmp_path, ["i", "m.p.q"], ("a b/*",), nested=True).where("i = 3").first()
+    assert some.m.p.q == "v3" and set(some.m.asDict()) == {"p"}
+    for bad in (["m", "m.p"], ["i", "i"]):
+        with pytest.raises(ValueError):
+            snapshot.projected(bad)
+    files = snapshot.identities(spark, tmp_path)
+    whole = snapshot.snapshot_digest(files)
+    assert whole == snapshot.snapshot_digest(files.orderBy(F.desc("path"))) and whole["n_bytes"] > 0
+    assert snapshot.snapshot_digest(files.limit(0))["n_bytes"] == 0
+
+
+def test_manifest_rules(spark):
+    from sievewright.operators import manifests as m
+
+    s = spark.createDataFrame([("a", "r1"), ("b", "R2")], "name string, revision string")
+    assert m.registry(s, ["revision"]).count() == 2
+    for bad in (s.limit(0), s.union(s), s.union(spark.createDataFrame([("c", " ")], s.schema))):
+        with pytest.raises(ValueError):
+            m.registry(bad, ["revision"])
+    seen = spark.createDataFrame([("a", "r9"), ("b", "r2")], s.schema)
+    assert [tuple(r) for r in m.pinned_differences(s, seen, ["revision"]).collect()] == [("a", "revision", "r1", "r9")]
+    assert [r.name for r in m.untrusted(s, seen, ["name", "revision"]).collect()] in (["a", "b"], ["b", "a"])
+    assert sorted(map(tuple, m.unequal(s, seen.where("name = 'a'"), ["name"], ["revision"]).collect())) == [("a", "revision"), ("b", "revision")]
+    parts = {"x": s, "y": s.where("name = 'a'"), "z": s.where("name = 'c'")}
+    assert [tuple(r) for r in m.overlapping(parts, "name").collect()] == [("a", "x,y")]
+    rows = spark.createDataFrame([("p", 1, "k", 5), ("p", 1, "k", 5), ("p", 2, "l", 6), ("q", 1, "l", 7), ("q", 1, "l", 8)], "p string, r int, key string, more int")
+    pick = lambda *x: spark.createDataFrame(list(x), "p string, r int, key string")
+    assert sorted((r.r, r.more) for r in m.replayed(pick(("p", 1, "k"), ("p", 2, "l")), rows, ["p", "r"], ["key"]).collect()) == [(1, 5), (2, 6)]
+    for bad in (pick(("p", 3, "k")), pick(("q", 1, "l")), pick(("p", 1, "other"))):
+        with pytest.raises(ValueError):
+            m.replayed(bad, rows, ["p", "r"], ["key"])
+    assert m.with_unique(pick(("p", 1, "k")), rows.select("key", F.lit(1).alias("one")), "key").count() == 1
+    for bad in (pick(("q", 1, "l")), pick(("z", 1, "none"))):
+        with pytest.raises(ValueError):
+            m.with_unique(bad, rows.select("key", "more"), "key")
+    assert [r.more for r in m.exactly(rows, [F.desc("more")], 2).collect()] == [8, 7]
+    with pytest.raises(ValueError):
+        m.exactly(rows, [F.col("more")], 9)
+    h = m.hashed_split(spark.createDataFrame([("A/B",), ("https://github.com/a/b",), ("c/d",), (None,)], "r string"), 11, 0.5)
+    assert h.count() == 2 and m.excluded(h.withColumn("split", F.lit("excluded"))).count() == 2
