@@ -255,8 +255,8 @@ def test_masks_cover_substitutions():
         ways = list(combinations(range(n), k))
         return sum(any(all(not 0 <= p - a < leaks.SPAN or m[p - a] == "0" for p in w) for m in leaks.MASKS for a in range(n - leaks.SPAN + 1)) for w in ways) / len(ways)
 
-    assert [recall(20, k) for k in (0, 1)] == [1, 1] and recall(20, 2) > 0.96
-    assert recall(24, 2) == 1 and recall(24, 3) > 0.9 and recall(30, 3) == 1
+    assert [recall(20, k) for k in (0, 1)] == [1, 1] and recall(20, 2) > 0.92
+    assert recall(24, 2) > 0.98 and recall(24, 3) > 0.93 and recall(30, 3) == 1
 
 
 def test_tolerant_leaks_are_whole(spark):
