@@ -25,24 +25,26 @@ ALLOWED_PLACE = ("metadata", "reference_patch")
 INSPECTION = "reference_patch boolean, reasons array<string>"
 
 
-def canonical_sha256(c: Column) -> Column:
-    """SHA-256 of a JSON column in canonical form: sorted keys, no blanks, characters as they are; null for null and malformed JSON."""
+def canonical_json(c: Column) -> Column:
+    """A JSON column in canonical form: sorted keys, no blanks, characters as they are; null for null and malformed JSON."""
 
     @F.arrow_udf("string")
-    def digest(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        import hashlib
-
+    def dump(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
             out = []
             for text in part.to_pylist():
                 try:
-                    value = None if text is None else json.dumps(json.loads(text), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+                    out.append(None if text is None else json.dumps(json.loads(text), ensure_ascii=False, sort_keys=True, separators=(",", ":")))
                 except ValueError:
-                    value = None
-                out.append(None if value is None else hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest())
+                    out.append(None)
             yield pa.array(out, pa.string())
 
-    return digest(c)
+    return dump(c)
+
+
+def canonical_sha256(c: Column) -> Column:
+    """SHA-256 of a JSON column in canonical form."""
+    return F.sha2(canonical_json(c), 256)
 
 
 def leaves(value: object) -> Iterator[str]:

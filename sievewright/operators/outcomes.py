@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import test_name
+from ..functions.repository import canonical_repository
+from ..functions.text import language, stripped, test_name
+from .decisions import commit
+from .evidence import reference_findings
+from .isolation import canonical_json
 from .selection import cascade
+from .traces import text_field, type_at
 
 
 def normalized_statuses(statuses: Column) -> Column:
@@ -92,3 +98,54 @@ def listed(c: Column) -> Column:
 def training_text(columns: list[str]) -> Column:
     """JSON of the columns with sorted names; nulls are kept."""
     return F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"})
+
+
+def strings_of(df: DataFrame, name: str) -> Column:
+    """Test names or commands given as an array or as one string, stripped; null where one of them is blank or there is no such column."""
+    kind = type_at(df.schema, name)
+    if isinstance(kind, T.StringType):
+        values = F.when(F.col(name).isNotNull(), F.array(F.col(name)))
+    elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
+        values = F.col(name)
+    else:
+        return F.lit(None).cast("array<string>")
+    clean = F.transform(values, stripped)
+    return F.when(F.forall(clean, lambda x: F.coalesce(x != "", F.lit(False))), clean)
+
+
+def private_tasks(rows: DataFrame, languages: tuple[str, ...] = ("TypeScript", "JavaScript")) -> DataFrame:
+    """What an evaluation needs of each task row, without its solution, and reason, the first rule that a row breaks or null.
+
+    rows: instance_id, repo, base_commit, language, image_name, test_patch, FAIL_TO_PASS, PASS_TO_PASS (strings or arrays; the latter may
+    be absent) and install_config with log_parser and test_cmd.  Lists may not repeat a name, nor have one in common.
+    """
+    text = lambda n: text_field(rows, (n,)) if "." not in n else (F.nullif(stripped(F.col(n)), F.lit("")) if isinstance(type_at(rows.schema, n), T.StringType) else F.lit(None).cast("string"))
+    absent = F.array().cast("array<string>")
+    passing = strings_of(rows, "PASS_TO_PASS") if "PASS_TO_PASS" in rows.columns else absent
+    out = rows.select(
+        text("instance_id").alias("instance_id"), canonical_repository(text("repo")).alias("repository"), commit(text("base_commit")).alias("base_commit"), language(text("language")).alias("language"),
+        text("image_name").alias("image_name"), F.when(F.col("test_patch") != "", F.col("test_patch")).alias("test_patch"), strings_of(rows, "FAIL_TO_PASS").alias("fail_to_pass"), passing.alias("pass_to_pass"),
+        strings_of(rows, "install_config.test_cmd").alias("test_commands"), text("install_config.log_parser").alias("log_parser"),
+    )
+    repeats = lambda c: F.size(F.array_distinct(c)) < F.size(c)
+    empty = lambda c: F.coalesce(F.size(c) < 1, F.lit(True))
+    reason = cascade([
+        ("unsupported_language", ~F.coalesce(F.col("language").isin(*languages), F.lit(False))), ("missing_log_parser", F.col("log_parser").isNull()), ("missing_instance_id", F.col("instance_id").isNull()),
+        ("invalid_repository", F.col("repository").isNull()), ("invalid_base_commit", F.col("base_commit").isNull()), ("invalid_image", F.col("image_name").isNull() | F.col("image_name").rlike("[\\s\\x00]")),
+        ("missing_test_patch", F.col("test_patch").isNull()), ("invalid_fail_to_pass", empty("fail_to_pass")), ("invalid_pass_to_pass", F.col("pass_to_pass").isNull()), ("invalid_test_commands", empty("test_commands")),
+        ("repeated_names", repeats("fail_to_pass") | repeats("pass_to_pass") | repeats("test_commands")), ("names_in_both_lists", F.arrays_overlap("fail_to_pass", "pass_to_pass")),
+    ])
+    return out.withColumn("reason", reason)
+
+
+#: Fields of a sample that training may see.
+VISIBLE = ["repository", "base_commit", "issue_or_pr_id", "trajectory", "generated_patch"]
+
+
+def training_texts(samples: DataFrame) -> DataFrame:
+    """sample_id, text: the canonical JSON of what training may see of each sample; a sample without steps, or whose steps name reference
+    patches, fails the query."""
+    steps = F.to_json("trajectory")
+    bad = (F.coalesce(F.size("trajectory"), F.lit(0)) < 1) | (F.size(reference_findings(steps)) > 0)
+    text = canonical_json(F.to_json(F.struct(*VISIBLE), {"ignoreNullFields": "false"}))
+    return samples.select("sample_id", F.when(bad, F.raise_error(F.concat(F.lit("sample without steps or with reference patches: "), "sample_id")).cast("string")).otherwise(text).alias("text"))

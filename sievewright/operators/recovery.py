@@ -59,6 +59,14 @@ def recover(labelled: DataFrame, targets: DataFrame, languages: list[str]) -> Da
     return j.select(*REFERENCE, "key", "instance_id", "lang", F.when(label.isNull(), "request").otherwise("candidate").alias("outcome"), label.alias("label"), F.coalesce("n_labels", F.lit(0)).alias("n_labels"))
 
 
+def evaluation_requests(targets: DataFrame, languages: list[str]) -> DataFrame:
+    """REFERENCE, key, instance_id, lang, patch, patch_sha256 of target rows whose label is still unknown; a known label or another
+    language fails the query, since such rows need no evaluation.  targets also has patch."""
+    c = classified(targets, languages)
+    still = F.when(F.col("row_class") == "target", F.col("lang")).otherwise(F.raise_error(F.concat(F.lit("no request can be made of a row that is "), "row_class")).cast("string"))
+    return c.select(*REFERENCE, "key", "instance_id", still.alias("lang"), "patch", F.sha2("patch", 256).alias("patch_sha256")).distinct()
+
+
 def requests(recovered: DataFrame) -> DataFrame:
     """key, n_targets, first_partition, first_rollout of the keys that need an evaluation: one request serves all its targets."""
     first = F.min(F.struct(*REFERENCE)).alias("f")

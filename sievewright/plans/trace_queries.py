@@ -270,11 +270,36 @@ def planted_near_overlap(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.near_pairs(contamination.near_candidates(b, v, curation_queries.NEAR, False), curation_queries.NEAR).select("kind", "fp_l", "fp_r", F.round("similarity", 6).alias("similarity"))
 
 
+def oracle_tasks(spark: SparkSession, folder: str) -> DataFrame:
+    """Private task rows made of tasks, lists and single names alike, with the reason that keeps one out."""
+    t = table(spark, folder, "tasks")
+    k = F.col("row_index")
+    config = F.struct(F.when(k % 29 != 0, "parse_js").alias("log_parser"), F.when(k % 31 != 0, " npm test ").alias("test_cmd"))
+    names = F.when(k % 5 == 0, F.array(F.lit("a"), F.lit("a "))).when(k % 37 == 0, F.array(F.lit(" "))).otherwise(F.array(F.lit("a"), F.lit("b")))
+    rows = t.select("instance_id", F.col("repository").alias("repo"), "base_commit", "language", F.when(k % 41 != 0, "img:1").otherwise("img 1").alias("image_name"), F.coalesce("test_patch", "patch").alias("test_patch"), names.alias("FAIL_TO_PASS"), F.when(k % 3 == 0, "b").otherwise("c").alias("PASS_TO_PASS"), config.alias("install_config"))
+    found = outcomes.private_tasks(rows)
+    return found.groupBy(F.coalesce("reason", F.lit("usable")).alias("reason"), "language").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def training_text_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """Characters of the training text of every record that is accepted and has steps."""
+    r = _records(spark, folder).where("reason is null and n_steps > 0")
+    return outcomes.training_texts(r.select(F.col("row_index").cast("string").alias("sample_id"), *outcomes.VISIBLE)).select("sample_id", F.length("text").alias("n_chars"))
+
+
+def evaluation_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests rebuilt from the target rows that recovery queued."""
+    labelled, targets = _labels(spark, folder)
+    queued = recovery.recover(labelled, targets, LANGUAGES).where("outcome = 'request'").select(*recovery.REFERENCE)
+    rows = targets.join(queued.distinct(), recovery.REFERENCE, "left_semi").withColumn("patch", F.col("row_hash"))
+    return recovery.evaluation_requests(rows, LANGUAGES).select(*recovery.REFERENCE, "key", "instance_id", "lang")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         isolation_findings, isolation_summary, task_bindings, model_patches, normalized_records, record_checks, record_collisions, audit_report, pilot_decisions, pilot_subset,
         label_recovery, label_requests, label_conflicts, label_evidence, label_accounting, label_counters, run_outcomes, resolved_repositories,
-        run_summary, hashed_split, excluded_repositories, overlapping_sources, unequal_records, replayed_targets, private_tasks, snapshot_rows, planted_overlap, planted_split, planted_near_overlap,
+        run_summary, hashed_split, excluded_repositories, overlapping_sources, unequal_records, replayed_targets, private_tasks, snapshot_rows, planted_overlap, planted_split, planted_near_overlap, oracle_tasks, training_text_sizes, evaluation_requests,
     )
 }

@@ -152,4 +152,15 @@ SQL |= {
         union all select 'supplier.parquet', count(*), (select count(*) from part), (select count(*) from part) + count(*) - 1 from supplier""",
     "planted_overlap": "with " + _SPLIT.split(",\ne as (select")[0].replace("benchmark_entries", _PLANTED) + " select distinct sample_id, benchmark_id, kind from v join bench using (kind, fingerprint)",
     "planted_split": "with recursive " + _SPLIT.replace("benchmark_entries", _PLANTED) + " select * from assigned",
+    "oracle_tasks": f"""with t as (select row_index as k, {language('language')} as language, nullif({strip('instance_id')}, '') as id, {canonical('repository')} as repo,
+        coalesce(regexp_full_match({strip('base_commit')}, '[0-9a-fA-F]{{40}}'), false) as good_commit, nullif(coalesce(test_patch, patch), '') as test_patch from tasks),
+        r as (select language, case when not coalesce(language in ('TypeScript', 'JavaScript'), false) then 'unsupported_language' when k % 29 = 0 then 'missing_log_parser' when id is null then 'missing_instance_id' when repo is null then 'invalid_repository'
+        when not good_commit then 'invalid_base_commit' when k % 41 = 0 then 'invalid_image' when test_patch is null then 'missing_test_patch' when k % 5 <> 0 and k % 37 = 0 then 'invalid_fail_to_pass' when k % 31 = 0 then 'invalid_test_commands'
+        when k % 5 = 0 then 'repeated_names' when k % 3 = 0 then 'names_in_both_lists' else 'usable' end as reason from t) select reason, language, count(*) as n_rows from r group by all""",
+    "training_text_sizes": f"""with {_RAW}, a as (select *, {_REASON} as reason from raw), j as (select row_index, {canonical('repo')} as repo, lower({strip('base_commit')}) as c, nullif({strip('instance_id')}, '') as i, nullif(own, '') as own,
+        case when row_index % 13 = 0 then concat_ws(chr(10), problem_statement, patch) else problem_statement end as shown, patch, test_patch from a where reason = 'accepted' and not stepless),
+        s as (select row_index, '{{"base_commit":' || to_json(c) || ',"generated_patch":' || coalesce(to_json(own)::varchar, 'null') || ',"issue_or_pr_id":' || to_json(i) || ',"repository":' || to_json(repo) || ',"trajectory":['
+        || '{{"content":"Solve the task.","role":"system"}},{{"content":' || coalesce(to_json(shown)::varchar, 'null') || ',"role":"user"}},{{"content":' || coalesce(to_json(patch)::varchar, 'null') || ',"role":"assistant"}},{{"content":' || coalesce(to_json(test_patch)::varchar, 'null') || ',"role":"tool"}}]}}' as text from j)
+        select row_index::varchar as sample_id, length(text) as n_chars from s""",
+    "evaluation_requests": f"with {_LABELS} select distinct \"partition\", rollout_id, row_hash, key, instance_id, lang from recovered where outcome = 'request'",
 }

@@ -226,12 +226,14 @@ def relation_digest(df: DataFrame) -> dict:
     return {"rows": got["n"] if got else 0, "digest": str(got["h"]) if got else None, "columns": df.columns}
 
 
-def publish(df: DataFrame, path: str, manifest: dict | None = None) -> dict:
+def publish(df: DataFrame, path: str, manifest: dict | None = None, nonempty: bool = False) -> dict:
     """Writes a relation as parquet where nothing is, then, last, a manifest of its rows beside it; gives the manifest.
 
     The folder is complete only with its manifest.  The same rows published there before are left as they are; other rows are a
-    Collision, and so is a folder without a manifest, which a lost writer left.
+    Collision, and so is a folder without a manifest, which a lost writer left.  nonempty: no rows are an error.
     """
+    if nonempty and not df.limit(1).count():
+        raise ValueError(f"no rows for {path}")
     beside = Path(f"{path.rstrip('/')}.manifest.json")
     if beside.exists():
         have = json.loads(beside.read_text())
@@ -269,3 +271,22 @@ def snapshot_digest(files: DataFrame) -> dict:
         total += r["n_bytes"]
     h.update(b"]")
     return {"sha256": h.hexdigest(), "n_bytes": total}
+
+
+def population_digest(members: dict[str, str | Path]) -> str:
+    """SHA-256 of the exact bytes of the members' files one behind another, in the order of their names; read in blocks."""
+    import hashlib
+
+    h = hashlib.sha256()
+    for name in sorted(members):
+        with open(members[name], "rb") as f:
+            while block := f.read(1 << 20):
+                h.update(block)
+    return h.hexdigest()
+
+
+def artifact_name(prefix: str, inputs: object, suffix: str = ".json") -> str:
+    """A name that depends on the inputs alone: prefix, 16 digits of their canonical digest, suffix."""
+    import hashlib
+
+    return f"{prefix}-{hashlib.sha256(canonical_json(inputs).encode()).hexdigest()[:16]}{suffix}"

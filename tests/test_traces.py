@@ -124,3 +124,55 @@ def test_cover_refuses(spark):
     for rows, low, high in ((df, 4, 5), (df.limit(0), 1, 2), (df.union(df), 1, 9), (df.select(F.lit(None).cast("long").alias("k"), "f"), 1, 9), (df, 3, 2)):
         with pytest.raises(ValueError):
             selection.cover(rows, "k", F.array("f"), low, high)
+
+
+def test_private_tasks_and_training_texts(spark):
+    from sievewright.operators import outcomes
+
+    schema = "instance_id string, repo string, base_commit string, language string, image_name string, test_patch string, FAIL_TO_PASS array<string>, PASS_TO_PASS string, install_config struct<log_parser:string,test_cmd:array<string>>"
+    good = ["i", "A/B", "A" * 40, "ts", "img:1", "p", ["a", " b "], "c", ("js", ["npm test"])]
+    bad = [("unsupported_language", 3, "go"), ("missing_log_parser", 8, (" ", ["x"])), ("missing_instance_id", 0, None), ("invalid_repository", 1, "x"), ("invalid_base_commit", 2, "f" * 39), ("invalid_image", 4, "a b"), ("missing_test_patch", 5, ""), ("invalid_fail_to_pass", 6, []), ("invalid_fail_to_pass", 6, [None]), ("invalid_pass_to_pass", 7, " "), ("invalid_test_commands", 8, ("js", [])), ("repeated_names", 6, ["b", " b"]), ("names_in_both_lists", 7, "b")]
+    rows = [tuple(good)] + [tuple(v if k == at else g for k, g in enumerate(good)) for _, at, v in bad]
+    got = outcomes.private_tasks(spark.createDataFrame(rows, schema)).collect()
+    assert [r.reason for r in got] == [None] + [b[0] for b in bad] and got[0].fail_to_pass == ["a", "b"] and "patch" not in got[0].asDict()
+    s = "sample_id string, repository string, base_commit string, issue_or_pr_id string, trajectory array<struct<role:string,gold_patch:string>>, generated_patch string"
+    plain = "sample_id string, repository string, base_commit string, issue_or_pr_id string, trajectory array<struct<role:string,content:string>>, generated_patch string"
+    text = outcomes.training_texts(spark.createDataFrame([("s", "é", "c", "0", [("user", "x/y")], None)], plain)).first().text
+    assert text == '{"base_commit":"c","generated_patch":null,"issue_or_pr_id":"0","repository":"é","trajectory":[{"content":"x/y","role":"user"}]}'
+    for rows, kind in (([("s", "r", "c", "0", [], None)], plain), ([("s", "r", "c", "0", [("user", "x")], None)], s)):
+        with pytest.raises(Exception):
+            outcomes.training_texts(spark.createDataFrame(rows, kind)).collect()
+
+
+def test_evaluation_requests(spark):
+    from sievewright.operators import recovery
+
+    schema = "partition string, rollout_id string, row_hash string, key string, instance_id string, lang string, resolved int, patch string"
+    row = ("p", "r", "h", "k", "i", "ts", None, "x")
+    made = recovery.evaluation_requests(spark.createDataFrame([row, row], schema), ["TypeScript"]).collect()
+    assert len(made) == 1 and made[0].lang == "TypeScript" and made[0].patch_sha256 == hashlib.sha256(b"x").hexdigest()
+    for at, v in ((6, 1), (5, "go"), (6, 7)):
+        with pytest.raises(Exception):
+            recovery.evaluation_requests(spark.createDataFrame([tuple(v if k == at else x for k, x in enumerate(row))], schema), ["TypeScript"]).collect()
+
+
+def test_configuration(spark, tmp_path):
+    from sievewright.sources import config, snapshot
+
+    (tmp_path / "a.json").write_text('{"schema_version": "1", "aliases": {"Old/Name": "new/name"}}')
+    value, sha, n = config.read_mapping(tmp_path / "a.json")
+    assert sha == hashlib.sha256((tmp_path / "a.json").read_bytes()).hexdigest() and n == (tmp_path / "a.json").stat().st_size and value["schema_version"] == "1"
+    assert [tuple(r) for r in config.aliases(spark, tmp_path / "a.json").collect()] == [("Old/Name", "new/name")]
+    for name, text in (("b.json", '{"a": 1, "a": 2}'), ("c.json", "[1]"), ("d.txt", "{}"), ("e.json", '{"schema_version": "1", "aliases": {"x": 1}}'), ("f.json", '{"aliases": {}}')):
+        (tmp_path / name).write_text(text)
+        with pytest.raises(ValueError):
+            config.aliases(spark, tmp_path / name)
+    with pytest.raises(ValueError):
+        config.read_mapping(tmp_path / "a.json", 5)
+    assert [r.name for r in config.records(spark, [{"name": "x"}], "name string, rows long").collect()] == ["x"]
+    with pytest.raises(ValueError):
+        config.records(spark, [{"other": 1}], "name string")
+    (tmp_path / "m1").write_bytes(b"one")
+    (tmp_path / "m2").write_bytes(b"two")
+    assert snapshot.population_digest({"b": tmp_path / "m1", "a": tmp_path / "m2"}) == hashlib.sha256(b"twoone").hexdigest()
+    assert snapshot.artifact_name("x", {"b": 1, "a": 2}) == snapshot.artifact_name("x", {"a": 2, "b": 1}) != snapshot.artifact_name("x", {"a": 2, "b": 2})
