@@ -7,9 +7,10 @@ on the risk pi R+(p) + max(0, R-(u) - pi R-(p)), where the class prior pi correc
 in the unlabelled text, and the maximum keeps the estimate of the negative risk from going below zero.
 Which sentence of a positive document is the toxic one is found by alternating: score, take the best, train.
 
-The weights are fitted on bounded samples (``POSITIVES``, ``UNLABELLED`` documents by hash order), with the
-features that document counts over the whole corpus choose; the threshold is chosen on the held-out scores of
-all labelled documents.  Scoring reads every document whole, in numpy passes over the bytes of its text.
+Positives are a bounded sample of the confirmed documents (``POSITIVES``, by hash order).  The unlabelled side is the whole corpus:
+features are chosen by document counts over all of it, and its sentences are counted, those without a telling feature
+by number, the others by pattern, the features that matter of them, in a sketch of fixed size.  The threshold is chosen on
+the held-out scores of all labelled documents.  Scoring reads every document whole, in numpy passes over its bytes.
 """
 
 from __future__ import annotations
@@ -24,11 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut
+from .packed import blocks, sum_blocks
 from .words import mix, powers
 
-#: Most positive and most unlabelled documents that a fit reads.
+#: Most positive documents that a fit reads, and bytes of the texts of all of them; documents beyond are left out, longest first.
 POSITIVES = 3000
-UNLABELLED = 3000
+POSITIVE_BYTES = 1 << 26
+#: Cells of the sketch of sentence patterns; patterns that share a cell count as the most frequent of them.
+PATTERNS = 1 << 18
 #: Hashed features.
 BITS = 20
 FOLDS = 3
@@ -41,8 +46,10 @@ TOLERANCE = 0.005
 #: Cells of held-out scores to a unit of their inverse hyperbolic sine, and the one of wordless texts.
 CELLS = 4096
 WORDLESS = -(1 << 30)
-#: Share of documents that a feature is given beforehand: one of a full sample; a share, so it doesn't fade as the input grows.
-RARE = 1 / (2 * UNLABELLED)
+#: Share of documents that a feature is given beforehand; a share, so it doesn't fade as the input grows.
+RARE = 1 / 6000
+#: Share of documents in whose doubtful sentences a word must stand to count against toxicity, and its least count.
+AROUND, LEAST = 1 / 2000, 3
 #: Document counters of features that are added at once.
 COUNTERS = 1 << 13
 #: Strength of the weights' decay.
@@ -242,23 +249,46 @@ def row_scores(scores: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def fit_nnpu(feature: np.ndarray, offsets: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float, allowed: np.ndarray, steps: int = 80) -> tuple[np.ndarray, float]:
+@dataclass
+class Sentences:
+    """Features of sentences one after another, their n + 1 offsets, and how many sentences each stands for."""
+
+    feature: np.ndarray
+    offsets: np.ndarray
+    weight: np.ndarray
+
+    def take(self, which: np.ndarray) -> Sentences:
+        size = np.diff(self.offsets)[which]
+        ends = np.cumsum(size)
+        flat = np.repeat(self.offsets[which] - ends + size, size) + np.arange(size.sum())
+        return Sentences(self.feature[flat], np.concatenate([[0], ends]), self.weight[which])
+
+    def scores(self, w: np.ndarray, b: float) -> np.ndarray:
+        return sentence_scores(w, b, self.feature, self.offsets)
+
+
+def fit_nnpu(positive: Sentences, unlabelled: Sentences, n_u: float, prior: float, telling: np.ndarray, against: np.ndarray, steps: int = 80) -> tuple[np.ndarray, float]:
     """Weights and bias of the non-negative PU risk with the logistic loss, by Adagrad over all sentences.
 
-    positive, unlabelled: sentence numbers.  allowed: features that may have a weight; sentences without any
-    score as the bias, so they are carried as one term of their number.
+    n_u: number of all unlabelled sentences.  telling: features that may have a weight; sentences without any score as the bias, so they are
+    carried as one term of their number.  against: features whose weight may only be negative, so what such sentences could lose by
+    them doesn't matter.
     """
-    chosen = np.concatenate([positive, unlabelled])
-    size = np.diff(offsets)[chosen]
-    flat = feature[np.repeat(offsets[chosen] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-    owner = np.repeat(np.arange(len(chosen)), size)
-    keep = allowed[flat]
-    flat, owner = flat[keep], owner[keep]
+    allowed = telling | against
+    parts = []
+    for x in (positive, unlabelled):
+        owner = np.repeat(np.arange(len(x.weight)), np.diff(x.offsets))
+        keep = allowed[x.feature]
+        parts.append((x.feature[keep], owner[keep]))
+    flat = np.concatenate([parts[0][0], parts[1][0]])
+    owner = np.concatenate([parts[0][1], parts[1][1] + len(positive.weight)])
     used, local = np.unique(flat, return_inverse=True)
     live, owner = np.unique(owner, return_inverse=True)
-    is_p = live < len(positive)
-    n_p, n_u = max(1, len(positive)), max(1, len(unlabelled))
-    plain_p, plain_u = n_p - is_p.sum(), n_u - (~is_p).sum()
+    is_p = live < len(positive.weight)
+    mass = np.concatenate([positive.weight, unlabelled.weight])[live].astype(float)
+    n_p, n_u = max(1.0, float(positive.weight.sum())), max(1.0, float(n_u))
+    plain_p, plain_u = n_p - mass[is_p].sum(), n_u - mass[~is_p].sum()
+    most = np.where(telling[used], np.inf, 0.0)
     weight, b = np.zeros(len(used)), -2.0
     squares, square_b = np.full(len(used), 1e-10), 1e-10
     decay = DECAY * prior / n_p  # a feature needs support of about DECAY positive sentences to gain a weight of one
@@ -270,19 +300,19 @@ def fit_nnpu(feature: np.ndarray, offsets: np.ndarray, positive: np.ndarray, unl
     for _ in range(steps):
         z = np.bincount(owner, weight[local], len(live)) + b
         s, s0 = sigmoid(z), float(sigmoid(np.array(b)))
-        minus, minus0 = np.logaddexp(0, z), float(np.logaddexp(0, b))
+        minus, minus0 = mass * np.logaddexp(0, z), float(np.logaddexp(0, b))
         negative_risk = (minus[~is_p].sum() + plain_u * minus0) / n_u - prior * (minus[is_p].sum() + plain_p * minus0) / n_p
         if negative_risk >= 0:
-            g = np.where(is_p, -prior / n_p, s / n_u)
+            g = mass * np.where(is_p, -prior / n_p, s / n_u)
             g0 = -prior * plain_p / n_p + plain_u * s0 / n_u
         else:  # undo what drove the estimate of the negative risk below zero
-            g = np.where(is_p, prior * s / n_p, -s / n_u)
+            g = mass * np.where(is_p, prior * s / n_p, -s / n_u)
             g0 = prior * plain_p * s0 / n_p - plain_u * s0 / n_u
         grad = np.bincount(local, g[owner], len(used)) + decay * weight
         gb = g.sum() + g0
         squares += grad**2
         square_b += gb**2
-        weight -= rate * grad / np.sqrt(squares)
+        weight = np.minimum(weight - rate * grad / np.sqrt(squares), most)
         b -= rate * gb / np.sqrt(square_b)
     w = np.zeros(1 << BITS)
     w[used] = weight
@@ -356,46 +386,143 @@ def spreads(documents: DataFrame) -> tuple[list[Spread], Spread]:
     return [of(k) for k in range(FOLDS)], of(None)
 
 
-def _train(feature: np.ndarray, offsets: np.ndarray, rows: np.ndarray, positive_rows: np.ndarray, unlabelled_rows: np.ndarray, prior: float, spread: Spread, turns: int = 4) -> tuple[np.ndarray, float]:
-    n_rows = int(max(rows.max(initial=0), positive_rows.max(initial=0), unlabelled_rows.max(initial=0))) + 1
-    is_positive, in_unlabelled = np.zeros(n_rows, bool), np.zeros(n_rows, bool)
-    is_positive[positive_rows] = True
-    in_unlabelled[unlabelled_rows] = True
-    sentence_p, sentence_u = np.flatnonzero(is_positive[rows]), np.flatnonzero(in_unlabelled[rows])
-    width = 1 << BITS
+@dataclass
+class Unlabelled:
+    """Patterns of the sentences that aren't of confirmed documents, the group of each, and sentences and documents of each group.
+
+    Group 0 is what isn't labelled, 1 + k what is labelled otherwise and of fold k.
+    """
+
+    patterns: Sentences
+    group: np.ndarray
+    sentences: np.ndarray
+    documents: np.ndarray
+
+    def without(self, fold: int | None) -> tuple[Sentences, float, float]:
+        inside = np.ones(FOLDS + 1, bool)
+        if fold is not None:
+            inside[1 + fold] = False
+        return self.patterns.take(np.flatnonzero(inside[self.group])), float(self.sentences[inside].sum()), float(self.documents[inside].sum())
+
+
+def ratios(spread: Spread) -> tuple[np.ndarray, np.ndarray]:
+    """How much more often each feature stands in confirmed documents than elsewhere, and which features tell of toxicity."""
     in_p, in_u, n_p, n_u = spread
     share_u = in_u / max(1, n_u) + RARE
     ratio = ((in_p + 0.1) / (n_p + 1)) / share_u
     # what stands in one positive document only, or hardly more often than elsewhere, says nothing of others
     expected = share_u * n_p
-    telling = (in_p >= 2) & (ratio >= LIFT) & (in_p - expected >= SURPRISE * np.sqrt(expected))
-    allowed = telling.copy()
+    return ratio, (in_p >= 2) & (ratio >= LIFT) & (in_p - expected >= SURPRISE * np.sqrt(expected))
+
+
+def unlabelled_patterns(documents: DataFrame, telling: np.ndarray, common: np.ndarray) -> Unlabelled:
+    """Patterns of all sentences of the documents that aren't confirmed.
+
+    documents: text, fold, kind (0 labelled otherwise, -1 not labelled).  telling: features one of which a sentence must have to be more than
+    a number; common: features that may count against toxicity; of these, what stands around telling ones often enough, and
+    the telling ones, make the pattern.  Only counters and the sketch, of fixed sizes, reach the driver.
+    """
+    width = 1 << BITS
+    shared = documents.sparkSession.sparkContext.broadcast(telling)  # 1 MB
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = shared.value
+        sentences, counted = np.zeros(FOLDS + 1, np.int64), np.zeros(FOLDS + 1, np.int64)
+        for batch in batches:
+            kind, fold = np.asarray(batch.column(2)), np.asarray(batch.column(1))
+            which = np.where(kind < 0, 0, 1 + fold).astype(np.int64)
+            for k in range(0, batch.num_rows, 512):
+                part = which[k : k + 512]
+                w = words_of(batch.column(0).slice(k, 512).to_pylist())
+                pieces = list(w.pieces())
+                f, at = (np.concatenate([p[n] for p in pieces]) for n in (0, 1))
+                sentences += np.bincount(part[w.rows], minlength=FOLDS + 1)
+                counted += np.bincount(part, minlength=FOLDS + 1)
+                some = np.zeros(len(w.rows), bool)
+                some[at[told[f]]] = True
+                keep = some[at]
+                f, at = f[keep], at[keep]
+                order = np.lexsort((f, at))
+                f, at = f[order].astype(np.int32), at[order]
+                edge = np.append(np.flatnonzero(np.diff(at, prepend=-1)), len(at))
+                if len(edge) > 1:
+                    data = pa.array([f[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(part[w.rows[at[edge[:-1]]]].astype(np.int32)), data, pa.nulls(len(data), pa.int64()), pa.nulls(len(data), pa.int64())], ["group", "features", "sentences", "documents"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(FOLDS + 1), pa.int32()), pa.nulls(FOLDS + 1, pa.binary()), pa.array(sentences), pa.array(counted)], ["group", "features", "sentences", "documents"])
+
+    found = cut(documents.select("text", "fold", "kind").mapInArrow(find, "group int, features binary, sentences long, documents long"))
+    sentences, counted = np.zeros(FOLDS + 1, np.int64), np.zeros(FOLDS + 1, np.int64)
+    for r in found.where("features is null").groupBy("group").agg(F.sum("sentences").alias("s"), F.sum("documents").alias("d")).collect():
+        sentences[r["group"]], counted[r["group"]] = r["s"], r["d"]
+    some = found.where("features is not null").select("group", "features")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width, np.int64)
+        for b in batches:
+            x = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int32)
+            total += np.bincount(x, minlength=width)
+        yield blocks(total)
+
+    around = sum_blocks(some.mapInArrow(near, "block int, counts binary"), width)
+    kept = documents.sparkSession.sparkContext.broadcast(telling | (common & (around >= max(LEAST, AROUND * counted.sum()))))
+
+    def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = kept.value
+        held: dict[tuple[int, bytes], int] = {}
+        for b in batches:
+            for g, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                f = np.frombuffer(x, np.int32)
+                key = (g, f[keep[f]].tobytes())
+                held[key] = held.get(key, 0) + 1
+                if len(held) > PATTERNS:
+                    yield _pattern_rows(held)
+                    held = {}
+        if held:
+            yield _pattern_rows(held)
+
+    cell = F.pmod(F.xxhash64("pattern"), F.lit(PATTERNS)).alias("cell")
+    each = some.mapInArrow(patterns, "group int, pattern binary, n long").groupBy("group", "pattern").agg(F.sum("n").alias("n"))
+    rows = each.groupBy("group", cell).agg(F.max(F.struct("n", "pattern")).alias("top"), F.sum("n").alias("n")).select("group", "cell", F.col("top.pattern").alias("pattern"), "n").orderBy("group", "cell").toArrow()
+    raw = rows.column("pattern").to_pylist()
+    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])]).astype(np.int64)
+    return Unlabelled(Sentences(np.frombuffer(b"".join(raw), np.int32), offsets, np.array(rows.column("n").to_pylist(), float)), np.array(rows.column("group").to_pylist(), np.int64), sentences, counted)
+
+
+def _pattern_rows(held: dict[tuple[int, bytes], int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.int32()), pa.array([k[1] for k in held], pa.binary()), pa.array(list(held.values()), pa.int64())], ["group", "pattern", "n"])
+
+
+def _train(positive: Sentences, rows: np.ndarray, unlabelled: tuple[Sentences, float, float], prior: float, spread: Spread, turns: int = 4) -> tuple[np.ndarray, float]:
+    """positive: sentences of confirmed documents, rows: the document of each."""
+    width = 1 << BITS
+    ratio, telling = ratios(spread)
+    patterns, n_sentences, n_documents = unlabelled
+    against = np.zeros(width, bool)
     w, b = np.where(telling, np.log(np.maximum(ratio, 1)), 0), 0.0
-    density = np.clip(prior * len(unlabelled_rows) / max(1, len(sentence_u)), 1e-4, 0.5)
+    density = float(np.clip(prior * n_documents / max(1, n_sentences), 1e-4, 0.5))
     for turn in range(turns):
-        z = sentence_scores(w, b, feature, offsets)
-        top = np.full(n_rows, -np.inf)
-        np.maximum.at(top, rows[sentence_p], z[sentence_p])
+        z = positive.scores(w, b)
+        top = np.full(int(rows.max(initial=0)) + 1, -np.inf)
+        np.maximum.at(top, rows, z)
         # documents without any telling sentence are taken for labels that are wrong
-        best = sentence_p[(z[sentence_p] >= top[rows[sentence_p]] - 1e-12) & (z[sentence_p] > b)]
+        best = np.flatnonzero((z >= top[rows] - 1e-12) & (z > b))
         if not len(best):
             break
         if turn:  # what surrounds the same words in innocent sentences may count against
-            doubtful = np.zeros(len(offsets) - 1, bool)
-            doubtful[sentence_u[z[sentence_u] > b + 1]] = True
-            near = np.bincount(feature[np.repeat(doubtful, np.diff(offsets))], minlength=width)
-            allowed = telling | ((near >= 3) & (ratio < 0.7))
-        w, b = fit_nnpu(feature, offsets, best, sentence_u, float(density), allowed)
+            doubtful = patterns.take(np.flatnonzero(patterns.scores(w, b) > b + 1))
+            near = np.bincount(doubtful.feature, np.repeat(doubtful.weight, np.diff(doubtful.offsets)), minlength=width)
+            against = (near >= max(LEAST, AROUND * n_documents)) & (ratio < 0.7)
+        w, b = fit_nnpu(positive.take(best), patterns, n_sentences, density, telling, against)
     return w, b
 
 
-def fit(documents: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
-    """A model from labelled documents, confirmed toxic by more labels than deny it, and unlabelled text.
+def fit(documents: DataFrame, labels: DataFrame, positives: int = POSITIVES, positive_bytes: int = POSITIVE_BYTES) -> Model:
+    """A model from labelled documents, confirmed toxic by more labels than deny it, and the text of all others.
 
-    The weights are fitted on samples, the documents of smallest id hash, with features chosen by their counts in all documents.  The class prior is the share of toxic among labelled
-    documents; the threshold is the strictest whose F1 is within TOLERANCE of the best, over all labelled documents, each scored
-    by the weights of the folds it isn't in.  Null labels and null texts count for nothing.  Without two positives the model
-    scores everything as clean.
+    Confirmed documents are a sample, those of smallest id hash, up to positives of them and positive_bytes of text; all else covers
+    every document.  The class prior is the share of toxic among labelled documents; the threshold is the strictest whose F1 is
+    within TOLERANCE of the best, over all labelled documents, each scored by the weights of the folds it isn't in.  Null labels
+    and null texts count for nothing.  Without two positives the model scores everything as clean.
     """
     votes = (
         labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
@@ -405,37 +532,43 @@ def fit(documents: DataFrame, labels: DataFrame, positives: int = POSITIVES, unl
     )
     fold = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(FOLDS)).cast("int").alias("fold")
     text = documents.where("text is not null and trim(text) <> ''").select("doc_id", "text", fold)
-    place = F.xxhash64("doc_id", F.lit(3))
-    ids = text.select("doc_id").join(votes, "doc_id", "left").withColumn("place", place)  # ids alone are put in order
-
-    def first(which: str, n: int, kind: int) -> DataFrame:
-        return ids.where(which).orderBy("place", "doc_id").limit(n).select("doc_id", F.lit(kind).alias("kind"))
-
-    chosen = first("toxic > clean", positives, 1).unionByName(first("toxic <= clean", unlabelled, 0)).unionByName(first("toxic is null", unlabelled, -1))
+    confirmed = text.join(votes.where("toxic > clean").select("doc_id"), "doc_id", "left_semi")
+    size = F.octet_length("text").alias("size")
+    # the first of them by hash, then as many as fit, small ones first; bytes are summed over these few sizes alone
+    first = confirmed.select("doc_id", size, F.xxhash64("doc_id", F.lit(3)).alias("place")).orderBy("place", "doc_id").limit(positives)
+    sizes = sorted((r["size"], r["doc_id"]) for r in first.collect())
+    fit_in = [i for (_, i), total in zip(sizes, np.cumsum([z for z, _ in sizes]) if sizes else [], strict=True) if total <= positive_bytes]
     shares = votes.agg(F.avg((F.col("toxic") > F.col("clean")).cast("double"))).first()[0]
-    table = text.join(chosen.dropDuplicates(["doc_id"]), "doc_id").orderBy("doc_id").select("text", "kind", "fold").toArrow()
-    kind, fold_of = (np.array(table.column(c).to_pylist(), np.int64) for c in ("kind", "fold"))
-    if (kind == 1).sum() < 2:
-        return Model(np.zeros(1 << BITS), -1.0, np.inf, 0.0, shares or 0.0)
+    none = Model(np.zeros(1 << BITS), -1.0, np.inf, 0.0, shares or 0.0)
+    if len(fit_in) < 2:
+        return none
+    chosen = documents.sparkSession.createDataFrame([(i,) for i in fit_in], documents.select("doc_id").schema)
+    table = confirmed.join(F.broadcast(chosen), "doc_id").orderBy("doc_id").select("text", "fold").toArrow()  # at most positives ids, positive_bytes of text
     everything = text.join(votes, "doc_id", "left").select("text", "fold", F.when(F.col("toxic") > F.col("clean"), 1).when(F.col("toxic").isNotNull(), 0).otherwise(-1).alias("kind"))
-    folds, (w, b) = train(table.column("text").to_pylist(), kind, fold_of, shares or 0.0, *spreads(everything))
+    without, whole = spreads(everything)
+    found = [ratios(x) for x in (*without, whole)]
+    telling, common = (np.logical_or.reduce(x) for x in ([t for _, t in found], [r < 0.7 for r, _ in found]))
+    others = unlabelled_patterns(everything.where("kind <> 1"), telling, common)
+    folds, (w, b) = train(table.column("text").to_pylist(), np.array(table.column("fold").to_pylist(), np.int64), shares or 0.0, without, whole, others)
     threshold, f1 = strictest(*held_out(text.join(votes, "doc_id").select("text", "fold", (F.col("toxic") > F.col("clean")).alias("toxic")), folds))
     return Model(w, b, threshold, f1, shares or 0.0)
 
 
-def train(texts: list[str], kind: np.ndarray, fold_of: np.ndarray, prior: float, without: list[Spread], whole: Spread) -> tuple[list[tuple[np.ndarray, float] | None], tuple[np.ndarray, float]]:
+def train(texts: list[str], fold_of: np.ndarray, prior: float, without: list[Spread], whole: Spread, others: Unlabelled) -> tuple[list[tuple[np.ndarray, float] | None], tuple[np.ndarray, float]]:
     """Weights and bias without each fold, None where too few positives are left, and those of all.
 
-    kind: 1 confirmed toxic, 0 labelled otherwise, -1 not labelled.  without, whole: the spreads of all documents.
+    texts: confirmed documents and their folds.  without, whole: the spreads of all documents.
     """
     feature, offsets, rows = features(texts)
+    positive = Sentences(feature, offsets, np.ones(len(rows)))
 
-    def on(inside: np.ndarray, spread: Spread) -> tuple[np.ndarray, float] | None:
-        if (kind[inside] == 1).sum() < 2:
+    def on(inside: np.ndarray, spread: Spread, fold: int | None) -> tuple[np.ndarray, float] | None:
+        if inside.sum() < 2:
             return None
-        return _train(feature, offsets, rows, np.flatnonzero(inside & (kind == 1)), np.flatnonzero(inside & (kind != 1)), prior, spread)
+        mine = np.flatnonzero(inside[rows])
+        return _train(positive.take(mine), rows[mine], others.without(fold), prior, spread)
 
-    return [on((fold_of != k) | (kind < 0), without[k]) for k in range(FOLDS)], on(np.ones(len(texts), bool), whole)
+    return [on(fold_of != k, without[k], k) for k in range(FOLDS)], on(np.ones(len(texts), bool), whole, None)
 
 
 def held_out(labelled: DataFrame, folds: list[tuple[np.ndarray, float] | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -357,7 +357,7 @@ def test_toxicity_threshold_is_that_of_all_labels(spark):
         docs.append((k, "\n".join(lines), "src"))
         labels.append((k, "abusive" if toxic else "clean"))
     d = spark.createDataFrame(docs, "doc_id long, text string, source string")
-    model = toxicity.fit(d, spark.createDataFrame(labels, "doc_id long, label string"), 70, 100)
+    model = toxicity.fit(d, spark.createDataFrame(labels, "doc_id long, label string"), 70)
     flagged = {r.doc_id for r in toxicity.score(d, model).where("toxic").collect()}
     assert set(range(40)) <= flagged and not {k for k in flagged if k >= 70}
     assert abs(model.held_out_f1 - 2 * 40 / (40 + 70)) < 0.02
@@ -378,16 +378,43 @@ def test_toxicity_counts_features_in_all_documents(spark):
             assert (got[n] == want).all() and got[n + 2] == mine.sum()
 
 
-def test_toxicity_features_do_not_depend_on_the_sample(spark, monkeypatch):
-    """The counts that choose features are those of all documents, however few a fit samples, and the shipped sample is 3,000."""
+def test_toxicity_fits_on_the_whole_unlabelled_side(spark, monkeypatch):
+    """Features are chosen by the counts of all documents and all others are the unlabelled side, however few positives a fit samples."""
     seen = []
     train = toxicity._train
-    monkeypatch.setattr(toxicity, "_train", lambda *a, **k: seen.append(a[6]) or train(*a, **k))
+    monkeypatch.setattr(toxicity, "_train", lambda *a, **k: seen.append(a) or train(*a, **k))
     docs = [(k, f"word{k % 7} is here. " + ("You stupid idiot." if k % 10 == 0 else "All fine."), "s") for k in range(600)]
     d = spark.createDataFrame(docs, "doc_id long, text string, source string")
     labels = spark.createDataFrame([(k, "abusive" if k % 10 == 0 else "clean") for k in range(300)], "doc_id long, label string")
-    toxicity.fit(d, labels, 10, 10)
-    assert seen[-1][2:] == (30, 570) and (toxicity.POSITIVES, toxicity.UNLABELLED) == (3000, 3000)
+    toxicity.fit(d, labels, 10)
+    positive, rows, unlabelled, prior, spread = seen[-1]
+    assert spread[2:] == (30, 570) and len(set(rows.tolist())) == 10 and len(positive.weight) == 20
+    assert unlabelled[1:] == (1140, 570) and unlabelled[0].weight.sum() >= 30  # the unlabelled toxic ones are there too
+    seen.clear()
+    size = len(docs[0][1])
+    toxicity.fit(d, labels, 10, 4 * size)
+    assert len(set(seen[-1][1].tolist())) == 4 and toxicity.POSITIVES == 3000
+    assert toxicity.fit(d, labels, 10, size).threshold == np.inf
+
+
+def test_patterns_count_every_sentence(spark):
+    rng = random.Random(3)
+    rows = [(". ".join(" ".join(f"w{rng.randrange(12)}" for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 5))), rng.randrange(toxicity.FOLDS), rng.choice([-1, 0])) for _ in range(400)]
+    feature, offsets, at = toxicity.features([r[0] for r in rows])
+    telling, common = np.zeros(1 << toxicity.BITS, bool), np.zeros(1 << toxicity.BITS, bool)
+    telling[feature[offsets[5] : offsets[6]]] = True
+    common[feature[offsets[9] : offsets[12]]] = True
+    got = toxicity.unlabelled_patterns(spark.createDataFrame(rows, "text string, fold int, kind int"), telling, common)
+    group = [0 if r[2] < 0 else 1 + r[1] for r in rows]
+    assert got.documents.tolist() == [group.count(g) for g in range(4)] and got.sentences.tolist() == np.bincount([group[r] for r in at], minlength=4).tolist()
+    split = [np.sort(feature[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    some = [k for k, f in enumerate(split) if telling[f].any()]
+    near = np.bincount(np.concatenate([split[k] for k in some]), minlength=1 << toxicity.BITS)
+    keep = telling | (common & (near >= 3))
+    want = collections.Counter((group[at[k]], tuple(split[k][keep[split[k]]].tolist())) for k in some)
+    p = got.patterns
+    assert collections.Counter({(int(g), tuple(p.feature[a:b].tolist())): int(n) for g, a, b, n in zip(got.group, p.offsets[:-1], p.offsets[1:], p.weight, strict=True)}) == want
+    assert got.without(0)[2] == got.documents.sum() - got.documents[1]
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
