@@ -15,24 +15,41 @@ def commit(c: Column) -> Column:
     return F.when(x.rlike(r"\A[0-9a-fA-F]{40}\z"), F.lower(x))
 
 
+def canonical_tasks(tasks: DataFrame) -> DataFrame:
+    """row_index, id, some_repository, repository, base_commit, license_disposition, license, language of the table tasks, each in canonical
+    form and worked out once; null where it can't be."""
+    return tasks.select(
+        "row_index", usable(F.col("instance_id")).alias("id"), usable(F.col("repository")).alias("some_repository"), canonical_repository(F.col("repository")).alias("repository"),
+        commit(F.col("base_commit")).alias("base_commit"), license_disposition(F.col("license")).alias("license_disposition"), spdx(F.col("license")).alias("license"), language(F.col("language")).alias("language"),
+    )
+
+
 def task_reason(source_verified: Column | None = None) -> Column:
-    """First failing check of a task row, in fixed order; null if it passes.  Columns as in the table tasks."""
-    d = license_disposition(F.col("license"))
+    """First failing check of a row of canonical_tasks, in fixed order; null if it passes."""
+    d = F.col("license_disposition")
     verified = F.lit(True) if source_verified is None else source_verified
     return (
         F.when(~verified, "unverified_source")
         .when(d == "UNKNOWN", "license_unknown")
         .when(d == "REJECT", "license_reject")
-        .when(usable(F.col("instance_id")).isNull(), "missing_instance_id")
-        .when(usable(F.col("repository")).isNull(), "missing_repository")
-        .when(canonical_repository(F.col("repository")).isNull(), "invalid_repository")
-        .when(commit(F.col("base_commit")).isNull(), "invalid_base_commit")
-        .when(language(F.col("language")).isNull(), "missing_language")
+        .when(F.col("id").isNull(), "missing_instance_id")
+        .when(F.col("some_repository").isNull(), "missing_repository")
+        .when(F.col("repository").isNull(), "invalid_repository")
+        .when(F.col("base_commit").isNull(), "invalid_base_commit")
+        .when(F.col("language").isNull(), "missing_language")
     )
 
 
-def task_decisions(tasks: DataFrame) -> DataFrame:
-    """row_index, instance_id, decision, reason_code, cause_code of every task row.
+KEPT = ["repository", "base_commit", "license", "language"]
+
+
+def task_decisions(tasks: DataFrame, source_verified: Column | None = None) -> DataFrame:
+    """row_index, instance_id, decision, reason_code, cause_code of every task row."""
+    return decided_tasks(tasks, source_verified).drop(*KEPT)
+
+
+def decided_tasks(tasks: DataFrame, source_verified: Column | None = None) -> DataFrame:
+    """As task_decisions, with what the projection keeps of each row in canonical form.
 
     Rows without a usable id keep their reason.  Per id: if no row is valid each keeps its reason; if all are valid and
     equal in what the projection keeps, the first is admitted and the others are duplicate_task_provenance; otherwise
@@ -40,11 +57,7 @@ def task_decisions(tasks: DataFrame) -> DataFrame:
     duplicate_task_provenance if it repeats the first valid row before the conflict showed.  row_index must be unique.
     Counts of an id come from one aggregate, joined back, so an id with many rows needs no window over them.
     """
-    reason = task_reason()
-    payload = F.sha2(
-        F.concat_ws("\x1f", canonical_repository(F.col("repository")), commit(F.col("base_commit")), spdx(F.col("license")), language(F.col("language"))), 256
-    )
-    rows = tasks.select("row_index", usable(F.col("instance_id")).alias("id"), reason.alias("reason"), payload.alias("payload")).withColumn("ok", F.col("reason").isNull())
+    rows = canonical_tasks(tasks).withColumns({"reason": task_reason(source_verified), "payload": F.sha2(F.concat_ws("\x1f", *KEPT), 256)}).withColumn("ok", F.col("reason").isNull())
     ids = rows.where("id is not null").groupBy("id").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("n_ok"),
         F.min(F.when(F.col("ok"), F.struct("row_index", "payload"))).alias("first"),
@@ -69,17 +82,13 @@ def task_decisions(tasks: DataFrame) -> DataFrame:
     cause = F.when(conflict & ~F.col("ok"), F.col("reason")).when(conflict & repeats, "duplicate_task_provenance")
     return j.select(
         "row_index", F.col("id").alias("instance_id"), F.when(code.isNull(), "admit").otherwise("reject").alias("decision"),
-        code.alias("reason_code"), cause.alias("cause_code"),
+        code.alias("reason_code"), cause.alias("cause_code"), *KEPT,
     )
 
 
-def admitted_tasks(tasks: DataFrame) -> DataFrame:
+def admitted_tasks(tasks: DataFrame, source_verified: Column | None = None) -> DataFrame:
     """instance_id, repository, base_commit, license, language of the admitted tasks, in canonical form, each id once."""
-    kept = task_decisions(tasks).where("decision = 'admit'").select("row_index")
-    return tasks.join(kept, "row_index", "left_semi").select(
-        usable(F.col("instance_id")).alias("instance_id"), canonical_repository(F.col("repository")).alias("repository"),
-        commit(F.col("base_commit")).alias("base_commit"), spdx(F.col("license")).alias("license"), language(F.col("language")).alias("language"),
-    )
+    return decided_tasks(tasks, source_verified).where("decision = 'admit'").select("instance_id", *KEPT)
 
 
 def rollout_decisions(rows: DataFrame, key: str, raw: str, valid: str, reason: str, order: str) -> DataFrame:

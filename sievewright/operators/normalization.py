@@ -6,33 +6,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.repository import canonical_repository
-from ..functions.text import diff_lines, language, license_disposition, resolved, resolved_is_valid, spdx, usable
+from ..functions.text import diff_lines, language, license_disposition, resolved, resolved_is_valid, spdx, stripped, usable
 
 
-def agrees(trace: Column, task: Column, canonical) -> Column:
-    """A null trace value is filled from the task; another must be equal in canonical form."""
-    return usable(trace).isNull() | F.coalesce(canonical(trace) == task, F.lit(False))
+#: Fields that a trace and its task share, and the form in which they are compared.
+SHARED = {"repository": canonical_repository, "base_commit": lambda c: F.lower(stripped(c)), "license": spdx, "language": language}
 
 
-def filled(trace: Column, task: Column, canonical) -> Column:
-    return F.when(usable(trace).isNull(), task).otherwise(canonical(trace))
+def agrees(name: str) -> Column:
+    """A value that the trace doesn't give is filled from the task; another must be equal in canonical form."""
+    return ~F.col(f"{name}.given") | F.coalesce(F.col(f"{name}.value") == F.col(f"task_{name}"), F.lit(False))
 
 
-def trace_reason(task_known: Column) -> Column:
+def filled(name: str) -> Column:
+    return F.when(F.col(f"{name}.given"), F.col(f"{name}.value")).otherwise(F.col(f"task_{name}"))
+
+
+def trace_reason() -> Column:
     """First failing check of a joined trace row; null if it passes.
 
     Order: id, resolution (invalid before unknown), task, repository, commit, license, language, license gate, patch.
-    Task columns carry the prefix ``task_``.
+    Task columns carry the prefix ``task_``; shared fields are structs of given and value.
     """
     return (
-        F.when(usable(F.col("instance_id")).isNull(), "missing_instance_id")
+        F.when(F.col("instance_id").isNull(), "missing_instance_id")
         .when(~resolved_is_valid(F.col("resolved")), "invalid_resolution")
         .when(resolved(F.col("resolved")).isNull(), "unknown_resolution")
-        .when(~task_known, "missing_task")
-        .when(~agrees(F.col("repository"), F.col("task_repository"), canonical_repository), "repository_mismatch")
-        .when(~agrees(F.col("base_commit"), F.col("task_base_commit"), F.lower), "base_commit_mismatch")
-        .when(~agrees(F.col("license"), F.col("task_license"), spdx), "license_mismatch")
-        .when(~agrees(F.col("language"), F.col("task_language"), language), "language_mismatch")
+        .when(F.col("task_id").isNull(), "missing_task")
+        .when(~agrees("repository"), "repository_mismatch")
+        .when(~agrees("base_commit"), "base_commit_mismatch")
+        .when(~agrees("license"), "license_mismatch")
+        .when(~agrees("language"), "language_mismatch")
         .when(license_disposition(F.col("task_license")) != "ALLOW", "license_gate")
         .when(F.col("patch").isNull(), "missing_patch")
     )
@@ -43,20 +47,19 @@ def normalize(traces: DataFrame, tasks: DataFrame) -> DataFrame:
 
     traces: row_index, instance_id, repository, base_commit, license, language, resolved, patch.  tasks: instance_id (unique),
     repository, base_commit, license, language in canonical form.  Traces without a task are kept with their reason.
-    Spark picks the join by measured sizes; a hot instance_id on the trace side is split by the adaptive skew join.
+    Canonical forms are worked out once, before the join; Spark picks the join by measured sizes, and a hot instance_id on the trace
+    side is split by the adaptive skew join.
     """
-    known = tasks.select(usable(F.col("instance_id")).alias("task_id"), *[F.col(c).alias(f"task_{c}") for c in ("repository", "base_commit", "license", "language")])
-    j = traces.join(known, usable(F.col("instance_id")) == F.col("task_id"), "left")
-    reason = trace_reason(F.col("task_id").isNotNull())
+    shared = [F.struct(usable(F.col(n)).isNotNull().alias("given"), form(F.col(n)).alias("value")).alias(n) for n, form in SHARED.items()]
+    patch = F.col("patch")
+    own = traces.select(
+        "row_index", usable(F.col("instance_id")).alias("instance_id"), "resolved", *shared, F.when(patch.isNotNull(), F.lit(True)).alias("patch"), F.sha2(patch, 256).alias("patch_sha256"),
+        F.octet_length(patch).alias("patch_bytes"), diff_lines(patch, "+").alias("added_lines"), diff_lines(patch, "-").alias("removed_lines"),
+    )
+    known = tasks.select(usable(F.col("instance_id")).alias("task_id"), *[F.col(n).alias(f"task_{n}") for n in SHARED])
+    j = own.join(known, F.col("instance_id") == F.col("task_id"), "left")
     return j.select(
-        "row_index", usable(F.col("instance_id")).alias("instance_id"),
-        filled(F.col("repository"), F.col("task_repository"), canonical_repository).alias("repository"),
-        filled(F.col("base_commit"), F.col("task_base_commit"), F.lower).alias("base_commit"),
-        filled(F.col("license"), F.col("task_license"), spdx).alias("license"),
-        filled(F.col("language"), F.col("task_language"), language).alias("language"),
-        resolved(F.col("resolved")).alias("resolved"), F.sha2("patch", 256).alias("patch_sha256"), F.octet_length("patch").alias("patch_bytes"),
-        diff_lines(F.col("patch"), "+").alias("added_lines"), diff_lines(F.col("patch"), "-").alias("removed_lines"),
-        reason.alias("reason_code"),
+        "row_index", "instance_id", *[filled(n).alias(n) for n in SHARED], resolved(F.col("resolved")).alias("resolved"), "patch_sha256", "patch_bytes", "added_lines", "removed_lines", trace_reason().alias("reason_code")
     )
 
 

@@ -239,6 +239,20 @@ def test_snapshot_order_and_projection(spark, tmp_path):
     assert snapshot.snapshot_digest(files.limit(0))["n_bytes"] == 0
 
 
+def test_aliases_of_several_targets(spark):
+    from sievewright.operators import aliases
+
+    df = spark.createDataFrame([("A/B", "c/d"), ("https://github.com/a/b", "C/D"), ("c/d", "e/f"), (None, "x/y"), ("q/r", "q/r")], "alias string, target string")
+    names = df.select(F.concat(F.lit("github.com/"), "alias").alias("alias"), F.concat(F.lit("github.com/"), "target").alias("target")).where("alias not like '%https%'")
+    assert {r.name: r.entity for r in aliases.entities(names, strict=True).collect()} == {"github.com/a/b": "github.com/e/f", "github.com/c/d": "github.com/e/f"}
+    several = df.union(spark.createDataFrame([("a/b", "z/z")], df.schema))
+    rows = spark.createDataFrame([("a/b",)], "repository string")
+    assert aliases.resolve(rows, df).first().repository == "github.com/e/f"
+    with pytest.raises(ValueError):
+        aliases.resolve(rows, several)
+    assert aliases.entities(several.where("alias in ('A/B', 'a/b')")).first().entity == "c/d"  # the smallest
+
+
 def test_manifest_rules(spark):
     from sievewright.operators import manifests as m
 
