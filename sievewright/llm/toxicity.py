@@ -435,13 +435,13 @@ def unlabelled_patterns(documents: DataFrame, telling: np.ndarray, common: np.nd
                 part = which[k : k + 512]
                 w = words_of(batch.column(0).slice(k, 512).to_pylist())
                 pieces = list(w.pieces())
-                f, at = (np.concatenate([p[n] for p in pieces]) for n in (0, 1))
                 sentences += np.bincount(part[w.rows], minlength=FOLDS + 1)
                 counted += np.bincount(part, minlength=FOLDS + 1)
                 some = np.zeros(len(w.rows), bool)
-                some[at[told[f]]] = True
-                keep = some[at]
-                f, at = f[keep], at[keep]
+                for f, at in pieces:
+                    some[at[told[f]]] = True
+                kept = [(f[x], at[x]) for f, at in pieces for x in (some[at],)]  # few sentences; nothing is put together of the others
+                f, at = (np.concatenate([p[n] for p in kept]) for n in (0, 1))
                 order = np.lexsort((f, at))
                 f, at = f[order].astype(np.int32), at[order]
                 edge = np.append(np.flatnonzero(np.diff(at, prepend=-1)), len(at))
