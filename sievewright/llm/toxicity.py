@@ -59,7 +59,7 @@ TOXIC = ("abusive", "hateful", "sexual")
 # Letters of other scripts that look like Latin ones, only folded inside words that also hold Latin letters.
 _LOOK = str.maketrans("аеорсухікѕјһԁӏԛԝвнмтοαεικνρτυχßøłđ", "aeopcyxiksjhdlqwbhmtoaeiknptuxsold")
 _INVISIBLE = re.compile("[­​-‏⁠﻿‪-‮]")
-_MIXED = re.compile(r"[^\W_]+")
+_MIXED = re.compile(r"[0-9A-Za-z]*[^\W_\x00-\x7f][^\W_]*")  # words with a character beyond ASCII
 _STOPS = str.maketrans({"。": ". ", "！": "! ", "？": "? ", "¿": " ", "¡": " ", "’": "'", "，": " "})
 
 _MAP = np.zeros(256, np.uint8)
@@ -88,10 +88,7 @@ def fold(text: str) -> str:
     text = unicodedata.normalize("NFKC", _INVISIBLE.sub("", text)).translate(_STOPS)
 
     def one(m: re.Match) -> str:
-        w = m.group()
-        if w.isascii():
-            return w
-        w = "".join(c for c in unicodedata.normalize("NFD", w.lower()) if not unicodedata.combining(c))
+        w = "".join(c for c in unicodedata.normalize("NFD", m.group().lower()) if not unicodedata.combining(c))
         return w.translate(_LOOK) if re.search("[a-z]", w) else w
 
     return _MIXED.sub(one, text)
