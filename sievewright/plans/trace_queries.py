@@ -14,6 +14,7 @@ from ..functions.text import language, unit_bucket
 from ..operators import aliases, contamination, decisions, evidence, isolation, manifests, outcomes, profile, recovery, selection, traces
 from ..sources import snapshot
 from ..sources.tables import cut, table
+from ..streaming import arrivals
 from . import curation_queries
 from .trace_sql import SQL as SQL
 
@@ -295,11 +296,18 @@ def evaluation_requests(spark: SparkSession, folder: str) -> DataFrame:
     return recovery.evaluation_requests(rows, LANGUAGES).select(*recovery.REFERENCE, "key", "instance_id", "lang")
 
 
+def event_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Events of each type and hour, read as arriving files."""
+    schema = table(spark, folder, "events").schema
+    stream = arrivals.arriving(spark, f"{folder}/events.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    return arrivals.drained(arrivals.windowed_counts(stream, "ts", "1 hour", "1 day", ["event_type"])).select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "n_rows")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         isolation_findings, isolation_summary, task_bindings, model_patches, normalized_records, record_checks, record_collisions, audit_report, pilot_decisions, pilot_subset,
         label_recovery, label_requests, label_conflicts, label_evidence, label_accounting, label_counters, run_outcomes, resolved_repositories,
-        run_summary, hashed_split, excluded_repositories, overlapping_sources, unequal_records, replayed_targets, private_tasks, snapshot_rows, planted_overlap, planted_split, planted_near_overlap, oracle_tasks, training_text_sizes, evaluation_requests,
+        run_summary, hashed_split, excluded_repositories, overlapping_sources, unequal_records, replayed_targets, private_tasks, snapshot_rows, planted_overlap, planted_split, planted_near_overlap, oracle_tasks, training_text_sizes, evaluation_requests, event_windows,
     )
 }

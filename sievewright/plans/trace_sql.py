@@ -163,4 +163,5 @@ SQL |= {
         || '{{"content":"Solve the task.","role":"system"}},{{"content":' || coalesce(to_json(shown)::varchar, 'null') || ',"role":"user"}},{{"content":' || coalesce(to_json(patch)::varchar, 'null') || ',"role":"assistant"}},{{"content":' || coalesce(to_json(test_patch)::varchar, 'null') || ',"role":"tool"}}]}}' as text from j)
         select row_index::varchar as sample_id, length(text) as n_chars from s""",
     "evaluation_requests": f"with {_LABELS} select distinct \"partition\", rollout_id, row_hash, key, instance_id, lang from recovered where outcome = 'request'",
+    "event_windows": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as window_start, event_type, count(*) as n_rows from events where ts is not null group by 1, 2",
 }
