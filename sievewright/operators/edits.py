@@ -11,6 +11,10 @@ places: a common gram leaves as many grams before and behind it unshared as its
 characters may differ by no more than the edits.  Texts so short that edits can touch all their grams are all in one cell, whose
 range join by length remains.  Nothing is capped: every pair that reaches the ratio is a candidate.
 
+Where texts share most of their grams, as texts of few templates do, such cells hold more pairs than there are.  So the pairs of
+both ways are estimated from the sketch and the numbers of texts by length; if the cells of grams don't have fewer, texts enter
+cells of neighbouring length bands, divided into tiles of bounded size.  Either way gives the same pairs of the ratio.
+
 Cell entries travel packed by bucket, a text's histogram once to a bucket; candidates are pairs of ids.
 """
 
@@ -30,6 +34,9 @@ GRAM = 3
 SKETCH = 1 << 18
 BLOCK = 1 << 12
 HISTOGRAM = 64
+#: Length bands that are counted for each of KINDS groups of kinds, and texts of a tile.
+BANDS, KINDS = 512, 8
+TILE = 4096
 #: Texts, and pairs, handled at once.
 CHUNK = 1 << 10
 PAIRS = 1 << 19
@@ -74,27 +81,67 @@ def _salts(kinds: pa.Array) -> np.ndarray:
     return _spread(salt * _ODD)[np.asarray(d.indices)]
 
 
-def _sketch(values: DataFrame) -> np.ndarray:
-    """Counts of all grams by cell of the sketch, summed by blocks in the executors; its size is the same at any input."""
+def band(n: np.ndarray, t: float) -> np.ndarray:
+    """Length band: of two texts within the ratio the longer one is in the band of the shorter or in the next."""
+    return np.minimum(BANDS - 2, np.floor(np.log(np.maximum(1, n)) / np.log(max(1.05, 2 / t - 1)) + 1e-9)).astype(np.int64)
+
+
+def _sketch(values: DataFrame, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of all grams by cell of the sketch, and of texts by group of kinds and band, summed by blocks in the executors; their
+    size is the same at any input."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
+        total = np.zeros(SKETCH + BLOCK, np.int64)
         for batch in batches:
             for k in range(0, batch.num_rows, CHUNK):
                 b = batch.slice(k, CHUNK)
-                h = grams(b.column(1).to_pylist(), _salts(b.column(0)))[0]
-                total += np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        some = [k for k in range(0, SKETCH, BLOCK) if total[k : k + BLOCK].any()]
+                salt = _salts(b.column(0))
+                h, _, _, starts = grams(b.column(1).to_pylist(), salt)
+                total[:SKETCH] += np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+                total[SKETCH:] += np.bincount((salt % np.uint64(KINDS)).astype(np.int64) * BANDS + band(np.diff(starts), t), minlength=BLOCK)
+        some = [k for k in range(0, len(total), BLOCK) if total[k : k + BLOCK].any()]
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([total[k : k + BLOCK].tobytes() for k in some], pa.binary())], ["block", "counts"])
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
         total = np.sum([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("counts")], axis=0, dtype=np.int64)
         return pa.table({"block": table.column("block").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    out = np.zeros(SKETCH, np.int64)
+    out = np.zeros(SKETCH + BLOCK, np.int64)
     for r in values.select("kind", "text").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect():
         out[r["block"] : r["block"] + BLOCK] = np.frombuffer(r["counts"], np.int64)
-    return out
+    return out[:SKETCH], out[SKETCH:].reshape(KINDS, BANDS)
+
+
+def estimates(counts: np.ndarray, texts: np.ndarray, t: float) -> tuple[float, float]:
+    """Pairs that meet in cells of grams, which take the rarest part of all grams, and in those of length bands."""
+    rare = np.sort(counts[counts > 0]).astype(float)
+    taken = rare[np.cumsum(rare) <= min(1.0, 2 * GRAM * (1 - t) / (2 - t)) * rare.sum()]
+    both = texts.astype(float) + np.roll(texts, -1, 1)
+    return float((taken * (taken - 1)).sum() / 2), float((both * both).sum() / 2)
+
+
+def length_entries(n: np.ndarray, ids: np.ndarray, salt: np.ndarray, texts: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells by length: key, row, and 0 in a cell of one tile, else the text's own tile plus one.
+
+    A text enters its band and the one before, there with every tile of the band; two texts meet in the cell of their two tiles.
+    """
+    tiles = np.maximum(1, -(-(texts + np.roll(texts, -1, 1)) // TILE))
+    own = band(n, t)
+    group = (salt % np.uint64(KINDS)).astype(np.int64)
+    keys, rows, places = [], [], []
+    for step in (0, 1):
+        some = np.flatnonzero(own >= step)
+        at = own[some] - step
+        count = tiles[group[some], at]
+        mine = (_spread(ids[some].view(np.uint64)) % count.astype(np.uint64)).astype(np.int64)
+        row = np.repeat(some, count)
+        other = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        tile, where = np.repeat(mine, count), np.repeat(at, count)
+        low, high = np.minimum(tile, other), np.maximum(tile, other)
+        keys.append(_spread(_spread(salt[row] + where.astype(np.uint64)) + (low * (1 << 20) + high).astype(np.uint64) * _ODD))
+        rows.append(row)
+        places.append(np.where(low == high, 0, tile + 1))
+    return np.concatenate(keys), np.concatenate(rows), np.concatenate(places)
 
 
 def touched(n: np.ndarray, t: float) -> np.ndarray:
@@ -134,7 +181,7 @@ def _pack(key: np.ndarray, row: np.ndarray, at: np.ndarray, texts: np.ndarray, b
     return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["bucket", "texts", "cells"])
 
 
-def _meet(batches: Iterator[pa.RecordBatch], t: float, symmetric: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _meet(batches: Iterator[pa.RecordBatch], t: float, symmetric: bool, by_length: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of ids that a bucket's cells leave standing; of two sides, or each unordered pair of one."""
     texts, cells, base = [], [], 0
     for batch in batches:
@@ -167,9 +214,13 @@ def _meet(batches: Iterator[pa.RecordBatch], t: float, symmetric: bool) -> Itera
         b = np.arange(total[stop - 1] - before) - np.repeat(total[done:stop] - count - before, count) + np.repeat(begin[done:stop], count)
         x, y = row[a], row[b]
         edits = np.floor((1 - t) * (n[x] + n[y]) + 1e-9)
-        grams_x, grams_y = np.maximum(0, n[x] - GRAM + 1), np.maximum(0, n[y] - GRAM + 1)
-        apart = np.abs(at[a] - at[b]) + np.abs((grams_x - at[a]) - (grams_y - at[b]))
-        ok = (both["id"][x] != both["id"][y]) & (n[x] - n[y] <= edits) & (apart <= (2 * GRAM - 1) * edits)
+        ok = (both["id"][x] != both["id"][y]) & (n[x] - n[y] <= edits)
+        if by_length:
+            ok &= (at[a] == 0) | (at[a] != at[b])
+        else:
+            grams_x, grams_y = np.maximum(0, n[x] - GRAM + 1), np.maximum(0, n[y] - GRAM + 1)
+            apart = np.abs(at[a] - at[b]) + np.abs((grams_x - at[a]) - (grams_y - at[b]))
+            ok &= apart <= (2 * GRAM - 1) * edits
         if not symmetric:
             ok &= both["side"][x] != both["side"][y]
         x, y, edits = x[ok], y[ok], edits[ok]
@@ -191,10 +242,11 @@ def _meet(batches: Iterator[pa.RecordBatch], t: float, symmetric: bool) -> Itera
         yield pairs[:, 0], pairs[:, 1]
 
 
-def candidates(left: DataFrame, right: DataFrame | None, t: float) -> DataFrame:
+def candidates(left: DataFrame, right: DataFrame | None, t: float, by_length: bool | None = None) -> DataFrame:
     """id_l, id_r of texts of one kind that may reach the ratio t; with right None pairs of left, each once, smaller id left.
 
-    left, right: id long (unique), kind, text.  Null and empty texts are no candidates.
+    left, right: id long (unique), kind, text.  Null and empty texts are no candidates.  by_length: the cells that texts enter; None lets
+    the estimates choose.
     """
     if not 0 < t <= 1:
         raise ValueError("the ratio must be in (0, 1]")
@@ -202,9 +254,12 @@ def candidates(left: DataFrame, right: DataFrame | None, t: float) -> DataFrame:
     symmetric = right is None
     values = sides[0] if symmetric else sides[0].unionByName(sides[1])
     spark = values.sparkSession
-    counts = _sketch(values)
+    counts, lengths = _sketch(values, t)
+    if by_length is None:
+        by_grams, by_bands = estimates(counts, lengths, t)
+        by_length = by_bands <= by_grams
     shared = spark.sparkContext.broadcast(counts)  # 2 MB at any input
-    texts = int(counts.sum()) // 400
+    texts = int(lengths.sum())
     buckets = max(4 * spark.sparkContext.defaultParallelism, int(np.sqrt(max(1, texts)) / 20), texts >> 17)
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,12 +275,12 @@ def candidates(left: DataFrame, right: DataFrame | None, t: float) -> DataFrame:
                 x = np.zeros(len(n), TEXT)
                 x["id"], x["side"], x["n"] = np.asarray(b.column(2)), np.asarray(b.column(3)), n
                 x["h"] = np.minimum(255, np.bincount(owner * HISTOGRAM + cell, minlength=len(n) * HISTOGRAM)).reshape(len(n), HISTOGRAM)
-                key, row, at = entries(h, offsets, n, counts, t, salt)
+                key, row, at = length_entries(n, x["id"], salt, lengths, t) if by_length else entries(h, offsets, n, counts, t, salt)
                 if len(key):
                     yield _pack(key, row, at, x, buckets)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, b in _meet(batches, t, symmetric):
+        for a, b in _meet(batches, t, symmetric, by_length):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["id_l", "id_r"])
 
     packed = values.mapInArrow(enter, "bucket int, texts binary, cells binary").repartitionById(buckets, "bucket")

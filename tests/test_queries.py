@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 from conftest import same_rows
 
 from sievewright.plans import catalog
@@ -21,6 +22,7 @@ def test_near_task_pairs_against_brute_force(spark, duck):
     from difflib import SequenceMatcher
 
     from sievewright.operators import contamination as c
+    from sievewright.operators import edits
 
     base = "the quick brown fox jumps over the lazy dog and runs away from the big bad wolf in the forest"
     texts = [base, base.replace("quick", "quack"), base.upper(), base + ".", "something else entirely", "", None, "  "]
@@ -29,6 +31,10 @@ def test_near_task_pairs_against_brute_force(spark, duck):
     v = c.content(df).where("kind = 'task'")
     for t in (0.5, 0.9, 0.98):
         got = {frozenset((r.fp_l, r.fp_r)) for r in c.near_pairs(c.near_candidates(v, v, t, True), t).collect()}
+        ids = v.select("kind", "text", F.xxhash64("text").alias("id"), "fingerprint")
+        name = {r.id: r.fingerprint for r in ids.collect()}
+        for by_length in (False, True):  # both kinds of cells
+            assert got <= {frozenset((name[r.id_l], name[r.id_r])) for r in edits.candidates(ids, None, t, by_length).collect()}
         have = {r.fingerprint: r.text for r in v.collect()}
         want = {frozenset((a, b)) for a in have for b in have if a < b and max(SequenceMatcher(None, have[a], have[b], False).ratio(), SequenceMatcher(None, have[b], have[a], False).ratio()) >= t}
         assert got == want
@@ -52,3 +58,54 @@ def test_near_pairs_of_both_kinds_against_brute_force(spark, tmp_path):
     }
     got = {(r.kind, r.fp_l, r.fp_r) for r in catalog.queries()["near_task_pairs"](spark, str(tmp_path)).collect()}
     assert got == want and {k for k, _, _ in want} == {"task", "patch"}
+
+
+@pytest.mark.parametrize("by_length", [False, True])
+def test_candidates_hold_every_near_pair(spark, monkeypatch, by_length):
+    import random
+    from difflib import SequenceMatcher
+    from itertools import combinations
+
+    from sievewright.operators import edits
+
+    rng = random.Random(7)
+    base = ["".join(rng.choice("abcdefgh  \n") for _ in range(n)) for n in (3, 8, 40, 41, 120, 400)]
+    texts = set()
+    for _ in range(70):
+        x = list(rng.choice(base))
+        for _ in range(rng.randint(0, max(1, len(x) // 12))):
+            k = rng.randrange(len(x))
+            x[k : k + rng.randint(0, 1)] = [rng.choice("abcxyz")] * rng.randint(0, 1)
+        texts.add("".join(x))
+    texts = sorted(texts - {""})
+    df = spark.createDataFrame([(k, "task" if k % 9 else "patch", x, "clash") for k, x in enumerate(texts)] + [(900, "task", None, ""), (901, "task", "", "")], "id long, kind string, text string, bucket string")
+    near = lambda a, b: max(SequenceMatcher(None, x, y, False).ratio() for x, y in ((a, b), (b, a)))
+    for t in (0.8, 0.95):
+        want = {(a, b) for a, b in combinations(range(len(texts)), 2) if (a % 9 == 0) == (b % 9 == 0) and near(texts[a], texts[b]) >= t}
+        got = [(r.id_l, r.id_r) for r in edits.candidates(df, None, t, by_length).collect()]
+        assert want and want <= set(got) and len(got) == len(set(got)) and all(a < b for a, b in got)
+        left = df.where("id % 2 = 0")
+        cross = {(r.id_l, r.id_r) for r in edits.candidates(left, df.where("id % 2 = 1"), t, by_length).collect()}
+        assert {tuple(sorted(p, key=lambda k: k % 2)) for p in want if (p[0] + p[1]) % 2} <= cross
+    assert edits.candidates(df.limit(0), None, 0.9, by_length).count() == 0
+
+
+def test_tiles_let_every_two_texts_meet_once():
+    import numpy as np
+
+    from sievewright.operators import edits
+
+    n = np.full(300, 50)
+    ids = np.arange(300).astype(np.int64)
+    texts = np.zeros((edits.KINDS, edits.BANDS), np.int64)
+    salt = np.full(300, 8, np.uint64)
+    texts[0, edits.band(n, 0.9)[0]] = 3 * edits.TILE  # as many as three tiles hold
+    key, row, at = edits.length_entries(n, ids, salt, texts, 0.9)
+    met = {}
+    for k in np.unique(key):
+        here = np.flatnonzero(key == k)
+        for a in here:
+            for b in here:
+                if row[a] < row[b] and (at[a] == 0 or at[a] != at[b]):
+                    met[(row[a], row[b])] = met.get((row[a], row[b]), 0) + 1
+    assert len(met) == 300 * 299 // 2 and set(met.values()) <= {2}  # in the band and in the one before
