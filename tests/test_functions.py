@@ -31,6 +31,7 @@ def test_repository_key(spark):
     assert one(spark, repository_key, *raw) == ["forge.example/a/b", "git.example/a/b", "git.example/a/b", "git.example/a/b", None, None]
 
 
+# Spellings of licenses and what becomes of them.
 def test_license_table(spark):
     raw = [" MIT", "MIT License", "Apache License 2.0", "BSD 2-Clause", None, "", "unknown", "GPL-3.0", "AGPL-3.0", "MIT OR GPL-3.0"]
     assert one(spark, X.license_disposition, *raw) == ["ALLOW"] * 4 + ["UNKNOWN"] * 3 + ["REJECT"] * 3
