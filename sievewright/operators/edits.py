@@ -121,9 +121,10 @@ def estimates(counts: np.ndarray, texts: np.ndarray, t: float) -> tuple[float, f
 
 
 def length_entries(n: np.ndarray, ids: np.ndarray, salt: np.ndarray, texts: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cells by length: key, row, and 0 in a cell of one tile, else the text's own tile plus one.
+    """Cells by length: key, row, and place: twice 0 in a cell of one tile, else the text's own tile plus one, plus 1 in the band before its own.
 
-    A text enters its band and the one before, there with every tile of the band; two texts meet in the cell of their two tiles.
+    A text enters its band and the one before, there with every tile of the band; two texts meet in the cell of their two tiles
+    and of the band of the shorter one.
     """
     tiles = np.maximum(1, -(-(texts + np.roll(texts, -1, 1)) // TILE))
     own = band(n, t)
@@ -140,7 +141,7 @@ def length_entries(n: np.ndarray, ids: np.ndarray, salt: np.ndarray, texts: np.n
         low, high = np.minimum(tile, other), np.maximum(tile, other)
         keys.append(_spread(_spread(salt[row] + where.astype(np.uint64)) + (low * (1 << 20) + high).astype(np.uint64) * _ODD))
         rows.append(row)
-        places.append(np.where(low == high, 0, tile + 1))
+        places.append(2 * np.where(low == high, 0, tile + 1) + step)
     return np.concatenate(keys), np.concatenate(rows), np.concatenate(places)
 
 
@@ -202,7 +203,11 @@ def _meet(batches: Iterator[pa.RecordBatch], t: float, symmetric: bool, by_lengt
     code = (key << np.uint64(24)) | np.minimum(length, (1 << 24) - 1).astype(np.uint64)
     low = (key << np.uint64(24)) | np.minimum(np.floor(length * t / (2 - t)), (1 << 24) - 1).astype(np.uint64)
     begin, end = np.searchsorted(code, low), np.arange(len(code))  # partners that stand before, no longer than the text itself
-    times = end - begin
+    if by_length:  # of two texts from the next band none is the shorter one; those of the band itself stand first
+        guest = at % 2 == 1
+        end = np.where(guest, np.maximum.accumulate(np.where(guest, -1, end)) + 1, end)
+        at = at // 2
+    times = np.maximum(0, end - begin)
     total = np.cumsum(times)
     done = 0
     seen: list[np.ndarray] = []
