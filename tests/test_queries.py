@@ -18,6 +18,19 @@ def test_entry_runs():
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
+def test_entry_needs_no_python_path(duck):
+    """In a session of its own, started elsewhere and without a path to the package, as a driver would."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"import sys; sys.path.insert(0, {root!r}); from pyspark.sql import SparkSession as S; s = S.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '4').getOrCreate(); import __spark_entry__ as e; print('rows', len(e.entry(s).collect()))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], env=env, cwd="/", capture_output=True, text=True, timeout=300)
+    assert out.stdout.startswith("rows ") and int(out.stdout.split()[1]) > 0, out.stderr[-2000:]
+
+
 def test_near_task_pairs_against_brute_force(spark, duck):
     from difflib import SequenceMatcher
 
