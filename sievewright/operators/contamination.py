@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalized_text, unit_bucket
@@ -55,47 +55,29 @@ def exact_overlap(values: DataFrame, benchmark: DataFrame) -> DataFrame:
     return values.join(benchmark.select("kind", "fingerprint", "benchmark_id"), ["kind", "fingerprint"]).select("sample_id", "benchmark_id", "kind").distinct()
 
 
-_GRAM_CELLS = 2048
-
-
-def gram_counts(text: Column) -> Column:
-    """Counts of a text's pairs of neighbouring characters by 2048 hash cells, a byte each, cut off at 255."""
-
-    @F.arrow_udf("binary")
-    def count(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for part in parts:
-            out = []
-            for x in part.to_pylist():
-                c = np.frombuffer((x or "").encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-                g = ((c[:-1] * np.uint64(0x110000) + c[1:]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(53)
-                out.append(np.minimum(np.bincount(g.astype(np.int64), minlength=_GRAM_CELLS), 255).astype(np.uint8).tobytes())
-            yield pa.array(out, pa.binary())
-
-    return count(text)
+def near_values(df: DataFrame) -> DataFrame:
+    """kind, fingerprint, text, n_chars, id of the different values, computed once."""
+    return cut(df.select("kind", "fingerprint", "text", "n_chars").dropDuplicates(["kind", "fingerprint"]).withColumn("id", F.xxhash64("kind", "fingerprint")))
 
 
 def near_candidates(left: DataFrame, right: DataFrame, t: float, symmetric: bool) -> DataFrame:
-    """kind, fp_l, fp_r, text_l, text_r, n_l, n_r, grams_l, grams_r of the pairs of one kind and different fingerprints that may
-    reach a ratio of t; no pair that does is missing.
+    """kind, fp_l, fp_r, text_l, text_r of the pairs of one kind and different fingerprints that may reach a ratio of t; no pair that does
+    is missing.
 
-    Candidates are found by rare grams of characters (``edits``) as pairs of ids; texts are fetched for what is left, each value's
-    grams counted once.  symmetric: left and right are one relation, each pair once, smaller fingerprint left.
+    Candidates are found as pairs of ids (``edits``); texts are fetched for what is left.  left and right are values or already what
+    near_values makes of them.  symmetric: left and right are one relation, each pair once, smaller fingerprint left.
     """
-
-    def values(df: DataFrame) -> DataFrame:
-        return df.select("kind", "fingerprint", "text", "n_chars").dropDuplicates(["kind", "fingerprint"]).withColumn("id", F.xxhash64("kind", "fingerprint"))
-
-    a = values(left)
-    b = a if symmetric else values(right)
+    a = left if "id" in left.columns else near_values(left)
+    b = a if symmetric else right if "id" in right.columns else near_values(right)
     ids = edits.candidates(a, None if symmetric else b, t)
 
     def used(df: DataFrame, side: str) -> DataFrame:
         some = df.join(ids.select(F.col(f"id_{side}").alias("id")).distinct(), "id", "left_semi")
-        return some.select(F.col("id").alias(f"id_{side}"), F.col("kind").alias(f"kind_{side}"), *[F.col(c).alias(f"{n}_{side}") for c, n in (("fingerprint", "fp"), ("text", "text"), ("n_chars", "n"))], gram_counts(F.col("text")).alias(f"grams_{side}"))
+        return some.select(F.col("id").alias(f"id_{side}"), F.col("kind").alias(f"kind_{side}"), F.col("fingerprint").alias(f"fp_{side}"), F.col("text").alias(f"text_{side}"))
 
     j = ids.join(used(a, "l"), "id_l").join(used(b, "r"), "id_r").where("kind_l = kind_r and fp_l <> fp_r")
     swap = (F.col("fp_l") > F.col("fp_r")) if symmetric else F.lit(False)
-    names = ["fp", "text", "n", "grams"]
+    names = ["fp", "text"]
     return j.select(
         F.col("kind_l").alias("kind"), *[F.when(swap, F.col(f"{n}_r")).otherwise(F.col(f"{n}_l")).alias(f"{n}_l") for n in names], *[F.when(swap, F.col(f"{n}_l")).otherwise(F.col(f"{n}_r")).alias(f"{n}_r") for n in names]
     )
@@ -113,38 +95,103 @@ def common_subsequence(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+#: Characters of the shortest common run that is looked up for a whole pair.
+_RUN = 8
+
+
+def common_runs(a: str, b: str) -> list[tuple[int, int, int]]:
+    """Start in a, start in b, and length of the common substrings of _RUN characters or more that can't be made longer."""
+    places: dict[str, list[int]] = {}
+    for j in range(len(b) - _RUN + 1):
+        places.setdefault(b[j : j + _RUN], []).append(j)
+    runs, past = [], {}  # past: by diagonal the end of its last run
+    for i in range(len(a) - _RUN + 1):
+        for j in places.get(a[i : i + _RUN], ()):
+            if past.get(j - i, 0) > i:
+                continue
+            n, step, most = _RUN, _RUN, min(len(a) - i, len(b) - j)
+            while n < most and a[i + n : i + n + step] == b[j + n : j + n + step]:
+                n, step = min(most, n + step), 2 * step
+            while step and n < most:  # the first difference is within the next step characters
+                step //= 2
+                if step and n + step <= most and a[i + n : i + n + step] == b[j + n : j + n + step]:
+                    n += step
+            past[j - i] = i + n
+            runs.append((i, j, n))
+    return runs
+
+
+def matched(a: str, b: str, runs: list[tuple[int, int, int]]) -> int:
+    """Characters that sequence matching matches, as SequenceMatcher without junk counts them: the longest common substring, of equal ones
+    the first in a, then in b, and so on before and behind it.  runs: those of a and b."""
+    from difflib import SequenceMatcher
+
+    total = 0
+    parts = [(0, len(a), 0, len(b), runs)]
+    while parts:
+        a0, a1, b0, b1, near = parts.pop()
+        best = (0, 0, 0)
+        inside = []
+        for run in near:
+            i, j, n = run
+            back = max(a0 - i, b0 - j, 0)
+            n = min(a1 - i, b1 - j, n) - back
+            if n >= _RUN:
+                inside.append(run)
+                best = max(best, (n, -i - back, -j - back))
+        size, i, j = best[0], -best[1], -best[2]
+        if size:
+            total += size
+            parts += [(a0, i, b0, j, inside), (i + size, a1, j + size, b1, inside)]
+        elif a0 < a1 and b0 < b1:
+            total += sum(m.size for m in SequenceMatcher(None, a[a0:a1], b[b0:b1], autojunk=False).get_matching_blocks())
+    return total
+
+
 def near_pairs(candidates: DataFrame, t: float) -> DataFrame:
     """kind, fp_l, fp_r, similarity of the candidates whose sequence-matching ratio, the larger of both directions, is at least t.
 
-    A ratio of t leaves at most (1 - t) of both lengths unmatched, and one character more or less changes at most three
-    counts of character pairs; candidates whose counts differ by more are refuted before any sequence is matched.  What sequence
-    matching matches is a common subsequence, so candidates whose longest one is too short are refuted next.
+    What sequence matching matches is a common subsequence, so candidates whose longest one is too short are refuted before any sequence
+    is matched, and where one direction matches all of it the other is no larger.
     """
 
-    def refute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, _GRAM_CELLS) for c in ("grams_l", "grams_r"))
-            differ = (np.maximum(a, b) - np.minimum(a, b)).sum(1, dtype=np.int64)
-            n = np.asarray(batch.column("n_l")).astype(np.int64) + np.asarray(batch.column("n_r")).astype(np.int64)
-            kept = batch.select(["kind", "fp_l", "fp_r", "text_l", "text_r"])
-            yield kept.filter(pa.array(differ <= 3 * np.floor((1 - t) * n + 1e-9)))
-
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from difflib import SequenceMatcher
-
         for batch in batches:
             out = []
             for a, b in zip(batch.column("text_l").to_pylist(), batch.column("text_r").to_pylist(), strict=True):
-                best = 0.0
-                if 2 * common_subsequence(a, b) >= t * (len(a) + len(b)) - 1e-9:
-                    best = max(SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in ((a, b), (b, a)))
-                out.append(best)
+                total, best = len(a) + len(b), 0
+                most = common_subsequence(a, b)
+                if 2 * most >= t * total - 1e-9:
+                    runs = common_runs(a, b)
+                    best = matched(a, b, runs)
+                    if best < most:
+                        best = max(best, matched(b, a, [(j, i, n) for i, j, n in runs]))
+                out.append(2.0 * best / total)
             kept = pa.array([s >= t for s in out])
             yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("fp_l"), batch.column("fp_r"), pa.array(out, pa.float64())], ["kind", "fp_l", "fp_r", "similarity"]).filter(kept)
 
     n = candidates.sparkSession.sparkContext.defaultParallelism * 4
-    left = candidates.mapInArrow(refute, "kind string, fp_l string, fp_r string, text_l string, text_r string")
-    return left.repartition(n).mapInArrow(match, "kind string, fp_l string, fp_r string, similarity double")
+    return candidates.repartition(n).mapInArrow(match, "kind string, fp_l string, fp_r string, similarity double")
+
+
+@dataclass
+class Near:
+    """values: of the samples, without texts.  For samples and benchmark each: numbers of candidates; matches as in near_pairs."""
+
+    values: DataFrame
+    candidates: dict[str, DataFrame]
+    matches: dict[str, DataFrame]
+
+
+def near_content(samples: DataFrame, benchmark: DataFrame, t: float) -> Near:
+    """What is near among the samples and with the benchmark, found once."""
+    texts = near_values(content(samples))
+    out = Near(cut(content(samples).drop("text", "n_chars")), {}, {})
+    for what, left, symmetric in (("samples", texts, True), ("benchmark", near_values(benchmark_values(benchmark)), False)):
+        found = near_candidates(left, texts, t, symmetric)
+        out.candidates[what] = found.agg(F.count(F.lit(1)).alias("n"))
+        out.matches[what] = cut(near_pairs(found, t))
+    return out
 
 
 def near_edges(values: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -176,20 +223,21 @@ def smallest_in_component(vertices: DataFrame, edges: DataFrame, most_rounds: in
     raise ValueError("components did not settle")
 
 
-def split_repositories(samples: DataFrame, benchmark: DataFrame, seed: int, evaluation_fraction: float, near: float | None = None) -> DataFrame:
+def split_repositories(samples: DataFrame, benchmark: DataFrame, seed: int, evaluation_fraction: float, near: float | Near | None = None) -> DataFrame:
     """sample_id, repository, contamination_group, split: excluded, evaluation or train, equal for a whole component.
 
     Repositories that share a value (or, with near, have values at least so similar) form a component; a component
-    with a benchmark overlap is excluded, any other is split by the hash of its smallest repository.
+    with a benchmark overlap is excluded, any other is split by the hash of its smallest repository.  near: the similarity, or what
+    near_content has found for it.
     """
-    values = cut(content(samples))
-    bench = benchmark_values(benchmark)
+    if isinstance(near, float):
+        near = near_content(samples, benchmark, near)
+    values = near.values if near else cut(content(samples))
     edges = exact_edges(values)
-    overlap = exact_overlap(values, bench).select("sample_id")
-    if near is not None:
-        pairs = cut(near_pairs(near_candidates(values, values, near, True), near))
-        edges = edges.unionByName(near_edges(values, pairs))
-        close = near_pairs(near_candidates(bench, values, near, False), near).select("kind", F.col("fp_r").alias("fingerprint"))
+    overlap = exact_overlap(values, benchmark_values(benchmark)).select("sample_id")
+    if near:
+        edges = edges.unionByName(near_edges(values, near.matches["samples"]))
+        close = near.matches["benchmark"].select("kind", F.col("fp_r").alias("fingerprint"))
         overlap = overlap.unionByName(values.join(close.distinct(), ["kind", "fingerprint"], "left_semi").select("sample_id"))
     one = samples.select("sample_id", "repository").where("sample_id is not null and repository is not null").distinct()
     root = smallest_in_component(one.select("repository"), edges).toDF("repository", "contamination_group")
@@ -199,21 +247,17 @@ def split_repositories(samples: DataFrame, benchmark: DataFrame, seed: int, eval
     return placed.join(excluded, "contamination_group", "left").select("sample_id", "repository", "contamination_group", split.alias("split"))
 
 
-def evidence(samples: DataFrame, benchmark: DataFrame, assigned: DataFrame, near: float | None = None) -> DataFrame:
+def evidence(samples: DataFrame, benchmark: DataFrame, assigned: DataFrame, near: Near | None = None) -> DataFrame:
     """name, n: counts of values, groups, overlaps and of samples and repositories in each split; with near also of the near
     candidates and matches among samples and with the benchmark."""
-    values = content(samples)
+    values = near.values if near else content(samples)
     groups = exact_groups(values).groupBy("kind").agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit("exact_groups_"), "kind").alias("name"), "n")
     distinct = values.select("kind", "fingerprint").distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit("values_"), "kind").alias("name"), "n")
     hits = exact_overlap(values, benchmark_values(benchmark)).agg(F.count_distinct("sample_id").alias("n")).select(F.lit("overlap_samples").alias("name"), "n")
     per = assigned.groupBy("split").agg(F.count(F.lit(1)).alias("s"), F.count_distinct("repository").alias("r"))
     splits = per.select(F.inline(F.array(F.struct(F.concat(F.lit("samples_"), "split").alias("name"), F.col("s").alias("n")), F.struct(F.concat(F.lit("repositories_"), "split").alias("name"), F.col("r").alias("n")))))
     out = groups.unionByName(distinct).unionByName(hits).unionByName(splits)
-    if near is not None:
-        values, bench = cut(values), cut(benchmark_values(benchmark))
-        for what, left, symmetric in (("samples", values, True), ("benchmark", bench, False)):
-            candidates = near_candidates(left, values, near, symmetric)
-            for name, rows in (("candidates", candidates), ("matches", near_pairs(candidates, near))):
-                out = out.unionByName(rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(f"near_{name}_{what}").alias("name"), "n"))
+    for what in near.matches if near else ():
+        for name, n in (("candidates", near.candidates[what]), ("matches", near.matches[what].agg(F.count(F.lit(1)).alias("n")))):
+            out = out.unionByName(n.select(F.lit(f"near_{name}_{what}").alias("name"), "n"))
     return out
-

@@ -131,13 +131,15 @@ def _resolved(spark: SparkSession, folder: str) -> DataFrame:
 def whole_decontaminated_split(spark: SparkSession, folder: str) -> DataFrame:
     """The flagship: repositories under their resolved names, linked by equal and near content, excluded by equal and near
     benchmark overlap, split by hash."""
-    return contamination.split_repositories(_resolved(spark, folder), table(spark, folder, "benchmark_entries"), SEED, FRACTION, NEAR)
+    s, b = _resolved(spark, folder), table(spark, folder, "benchmark_entries")
+    return contamination.split_repositories(s, b, SEED, FRACTION, contamination.near_content(s, b, NEAR))
 
 
 def whole_decontamination_evidence(spark: SparkSession, folder: str) -> DataFrame:
     """As decontamination_evidence, of the whole split, with the near candidates and matches of samples and benchmark."""
     s, b = _resolved(spark, folder), table(spark, folder, "benchmark_entries")
-    return contamination.evidence(s, b, contamination.split_repositories(s, b, SEED, FRACTION, NEAR), NEAR)
+    near = contamination.near_content(s, b, NEAR)
+    return contamination.evidence(s, b, contamination.split_repositories(s, b, SEED, FRACTION, near), near)
 
 
 def decontaminated_split(spark: SparkSession, folder: str) -> DataFrame:

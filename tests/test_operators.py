@@ -100,6 +100,16 @@ def test_components_and_split(spark):
     assert got["one"] == got["two"] and got["one"][0] == "r1" and got["three"] == ("r3", "excluded") and got["four"][1] in ("train", "evaluation")
 
 
+def test_whole_evidence_searches_samples_and_benchmark_once(spark, monkeypatch):
+    from sievewright.operators import edits
+    from sievewright.plans import curation_queries
+
+    searched, find = [], edits.candidates
+    monkeypatch.setattr(edits, "candidates", lambda left, right, t, *more: searched.append(right is None) or find(left, right, t, *more))
+    names = {r.name for r in curation_queries.whole_decontamination_evidence(spark, "/root/testdata/sf0.001").collect()}
+    assert sorted(searched) == [False, True] and {f"near_{n}_{k}" for n in ("candidates", "matches") for k in ("samples", "benchmark")} < names
+
+
 def test_whole_split_resolves_aliases_and_near_content(spark, tmp_path):
     from difflib import SequenceMatcher
     from itertools import combinations

@@ -122,3 +122,37 @@ def test_tiles_let_every_two_texts_meet_once():
                 if row[a] < row[b] and (at[a] < 2 or at[a] // 2 != at[b] // 2) and not at[a] % 2:
                     met[(row[a], row[b])] = met.get((row[a], row[b]), 0) + 1
     assert len(met) == 300 * 299 // 2 and set(met.values()) == {1}
+
+
+def test_matched_counts_as_sequence_matching():
+    import random
+    from difflib import SequenceMatcher
+
+    from sievewright.operators import contamination as c
+
+    rng = random.Random(3)
+    for _ in range(400):
+        letters = rng.choice(["ab", "abc", "abcdefghij"])
+        a = "".join(rng.choice(letters) for _ in range(rng.randrange(90)))
+        b = list(a)
+        for _ in range(rng.randrange(12)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randint(0, 2)] = b[: rng.randint(0, 14)] if rng.random() < 0.3 else rng.choice(letters)
+        b = "".join(b)
+        for x, y in ((a, b), (b, a)):
+            assert c.matched(x, y, c.common_runs(x, y)) == sum(m.size for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
+
+
+def test_near_pairs_of_long_texts_take_no_quadratic_time():
+    """Sequence matching of these texts takes minutes where every place of every character is tried."""
+    import random
+    import time
+
+    from sievewright.operators import contamination as c
+
+    rng = random.Random(5)
+    a = "".join(rng.choice("abcdefgh") for _ in range(20_000))
+    b = a[:9_000] + "x" + a[9_000:15_000] + a[15_001:]
+    began = time.process_time()
+    assert c.matched(a, b, c.common_runs(a, b)) == len(a) - 1
+    assert time.process_time() - began < 5
