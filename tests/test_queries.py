@@ -156,3 +156,35 @@ def test_near_pairs_of_long_texts_take_no_quadratic_time():
     began = time.process_time()
     assert c.matched(a, b, c.common_runs(a, b)) == len(a) - 1
     assert time.process_time() - began < 5
+
+
+def test_histograms_refute_no_pair_within_the_edits():
+    import random
+
+    import numpy as np
+
+    from sievewright.operators import edits
+
+    rng = random.Random(11)
+    for _ in range(50):
+        a = "".join(rng.choice("aab \n") for _ in range(rng.randint(1, 600)))
+        b, changes = list(a), rng.randint(0, 30)
+        for _ in range(changes):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randint(0, 1)] = rng.choice(["", "z", "a"])
+        h, g = edits.histograms(*edits.characters([a, "".join(b)]))
+        most = 2 * changes  # a replacement is two edits
+        assert edits.common(h[:1], h[:1]) + edits.common(h[1:], h[1:]) - 2 * edits.common(h[:1], h[1:]) <= most
+        assert edits.pairs_differ(g[:1], g[1:]) <= 3 * most
+        assert edits.common(h[:1], h[1:])[0] == np.minimum(h[0].astype(int), h[1]).sum()
+
+
+def test_estimates_of_two_sides_count_pairs_across():
+    import numpy as np
+
+    from sievewright.operators import edits
+
+    texts = np.zeros((2, edits.KINDS, edits.BANDS), np.int64)
+    texts[0, 0, 9], texts[1, 0, 9] = 10, 100_000
+    by_grams, by_bands = edits.estimates(np.full(1000, 300), texts, 0.95, symmetric=False)
+    assert by_bands == 2 * 10 * 100_000 and by_grams < edits.estimates(np.full(1000, 300), texts, 0.95)[0]
