@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalized_text, unit_bucket
@@ -14,17 +14,22 @@ from ..sources.tables import cut
 from . import edits
 
 
-def content(samples: DataFrame) -> DataFrame:
-    """kind, fingerprint, text, n_chars, sample_id, repository of every task text and patch that isn't blank.
-
-    samples: sample_id, repository, task_text, patch_texts.  A value that a sample holds twice gives one row.
-    """
+def _values(samples: DataFrame) -> DataFrame:
+    """As content, with a row for each time that a sample holds a value."""
     none = F.array().cast("array<string>")
     pair = lambda k: lambda p: F.struct(F.lit(k).alias("kind"), p.alias("text"))
     values = F.concat(F.transform(F.array("task_text"), pair("task")), F.transform(F.coalesce("patch_texts", none), pair("patch")))
     rows = samples.select("sample_id", "repository", F.inline(values)).where("text is not null")
     rows = rows.withColumn("text", normalized_text(F.col("text"))).where("text <> ''")
-    return rows.select("kind", F.sha2("text", 256).alias("fingerprint"), "text", F.length("text").alias("n_chars"), "sample_id", "repository").dropDuplicates(["kind", "fingerprint", "sample_id"])
+    return rows.select("kind", F.sha2("text", 256).alias("fingerprint"), "text", F.length("text").alias("n_chars"), "sample_id", "repository")
+
+
+def content(samples: DataFrame) -> DataFrame:
+    """kind, fingerprint, text, n_chars, sample_id, repository of every task text and patch that isn't blank.
+
+    samples: sample_id, repository, task_text, patch_texts.  A value that a sample holds twice gives one row.
+    """
+    return _values(samples).dropDuplicates(["kind", "fingerprint", "sample_id"])
 
 
 def exact_groups(values: DataFrame) -> DataFrame:
@@ -185,8 +190,12 @@ class Near:
 
 def near_content(samples: DataFrame, benchmark: DataFrame, t: float) -> Near:
     """What is near among the samples and with the benchmark, found once."""
-    texts = near_values(content(samples))
-    out = Near(cut(content(samples).drop("text", "n_chars")), {}, {})
+    # one shuffle by value for both: the first sample of a value keeps its text
+    first = Window.partitionBy("fingerprint", "kind").orderBy("sample_id")
+    rows = _values(samples).repartition("fingerprint").dropDuplicates(["kind", "fingerprint", "sample_id"]).withColumn("first", F.row_number().over(first) == 1)
+    rows = cut(rows.withColumn("text", F.when(F.col("first"), F.col("text"))))
+    texts = rows.where("first").select("kind", "fingerprint", "text", "n_chars", F.xxhash64("kind", "fingerprint").alias("id"))
+    out = Near(rows.select("kind", "fingerprint", "sample_id", "repository"), {}, {})
     for what, left, symmetric in (("samples", texts, True), ("benchmark", near_values(benchmark_values(benchmark)), False)):
         found = near_candidates(left, texts, t, symmetric)
         out.candidates[what] = found.agg(F.count(F.lit(1)).alias("n"))

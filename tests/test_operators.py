@@ -110,6 +110,22 @@ def test_whole_evidence_searches_samples_and_benchmark_once(spark, monkeypatch):
     assert sorted(searched) == [False, True] and {f"near_{n}_{k}" for n in ("candidates", "matches") for k in ("samples", "benchmark")} < names
 
 
+def test_near_content_normalizes_samples_once_and_keeps_every_value(spark, monkeypatch):
+    from sievewright.operators import contamination as c
+
+    text = "the quick brown fox jumps over the lazy dog and runs away from the wolf"
+    rows = [("b", "r2", text, [text, text]), ("a", "r1", text + "  ", None), ("c", "r3", text + "s", [None, " "])]
+    samples = spark.createDataFrame(rows, "sample_id string, repository string, task_text string, patch_texts array<string>")
+    benchmark = spark.createDataFrame([("x", text, None)], "benchmark_id string, task_text string, patch_text string")
+    calls, normalize = [], c.normalized_text
+    monkeypatch.setattr(c, "normalized_text", lambda x: calls.append(1) or normalize(x))
+    near = c.near_content(samples, benchmark, 0.95)
+    assert len(calls) == 2  # of the samples and of the benchmark
+    names = ["kind", "fingerprint", "sample_id", "repository"]
+    assert sorted(near.values.select(names).collect()) == sorted(c.content(samples).select(names).collect()) and near.values.count() == 4
+    assert [(r.kind, r.similarity < 1) for r in near.matches["samples"].collect()] == [("task", True)] and near.matches["benchmark"].count() == 1
+
+
 def test_whole_split_resolves_aliases_and_near_content(spark, tmp_path):
     from difflib import SequenceMatcher
     from itertools import combinations
