@@ -6,9 +6,9 @@ elements in common, similarity 2c / (m + n) >= t means that at most (1 - t)(m +
 Embedding.  Elements are hashed to segments; the per-segment counts of a text are its embedding.  One
 element more or less moves one count by one, so the Manhattan distance of two embeddings never exceeds the
 number of differing elements: a distance beyond (1 - t)(m + n) refutes the pair, whatever the segments are.
-Counts are kept modulo four in the two-bit Gray code, whose bit differences are the distances around the
-circle of four, again no more than those of the counts; so a text has 256 bits, and the distance of two texts
-is the popcount of their exclusive or.
+Counts are kept modulo two, whose differences are again no more than those of the counts; frequent elements
+have segments of their own, so a text has 256 bits, 128 of them of its frequent elements, and the distance of
+two texts is the popcount of their exclusive or.
 
 Grid.  The embedding by fine segments (64-bit ranges, so that one holds hardly more than one word) is cut into
 unary grid cells (segment, level), i.e. elements; elements in one order fixed for the corpus, rare ones first,
@@ -26,7 +26,9 @@ make a text a string, in which elements that differ are insertions and deletions
 
 In a cell the join ranges over the interval of lengths that the Manhattan radius allows, then over positions: a shared
 element at i of m and j of n leaves |i - j| elements before and |(m - i) - (n - j)| behind that differ; then over the
-distance of the coarse embeddings.
+distance of the coarse embeddings.  A pair has to stand only in the first cell that it shares: of single elements, none before it
+is common; of neighbours, no rare element is.  So the rare elements before, of both texts, have used up that much of what may
+differ, and the embeddings of the frequent elements may differ by the rest only.  This is looked at first.
 
 Exchange.  Cell entries travel as packed arrays, one row for each batch and bucket, so the JVM moves a few
 large binaries and a text's embedding goes once to a bucket however many of its cells fall there.
@@ -46,17 +48,16 @@ from .words import elements, mix, words
 #: Segments of the corpus-wide count sketch; its size, 2 MB, is that of what is broadcast, at any input.
 SKETCH_BITS = 18
 SKETCH_BLOCK = 1 << 12
-#: Segments of a text's coarse embedding, two bits each.
+#: Segments of a text's coarse embedding, a bit each, of its frequent elements and as many of the others.
 SEGMENTS = 128
 #: Texts handled at once; their row number needs 14 bits.
 CHUNK = 1 << 12
-#: Pairs handled at once.
+#: Pairs handed on at once, and looked at at once.
 PAIRS = 1 << 20
+STEP = 1 << 16
 #: Bit of a key that tells a cell of two neighbours from one of a single element.
 PAIR = np.uint64(1 << 24)
 
-_GRAY = np.array([0, 1, 3, 2], np.uint8)
-
 
 def segment_counts(e: np.ndarray) -> np.ndarray:
     return np.bincount((e >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
@@ -73,12 +74,15 @@ def bag_ids(e: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return mix(total(mix(e)) + n), mix(total(mix(e ^ np.uint64(0xA5A5A5A5A5A5A5A5))) ^ n)
 
 
-def embed(e: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """n rows of 64-bit words: SEGMENTS counts modulo four in Gray code."""
-    counts = np.bincount(rows * SEGMENTS + ((e >> np.uint64(8)) % np.uint64(SEGMENTS)).astype(np.int64), minlength=n * SEGMENTS)
-    code = _GRAY[counts & 3].reshape(n, SEGMENTS // 4, 4)
-    packed = code[:, :, 0] | (code[:, :, 1] << 2) | (code[:, :, 2] << 4) | (code[:, :, 3] << 6)
-    return np.ascontiguousarray(packed).view(np.uint64)
+def embed(e: np.ndarray, rows: np.ndarray, n: int, frequent: np.ndarray | None = None) -> np.ndarray:
+    """n rows of 64-bit words: SEGMENTS counts modulo two of frequent elements, then those of the others."""
+    at = ((e >> np.uint64(8)) % np.uint64(SEGMENTS)).astype(np.int64)
+    if frequent is None or not len(frequent):
+        at += SEGMENTS
+    else:
+        at += np.where(frequent, 0, SEGMENTS)
+    counts = np.bincount(rows * (2 * SEGMENTS) + at, minlength=n * 2 * SEGMENTS)
+    return np.packbits((counts & 1).astype(np.uint8).reshape(n, 2 * SEGMENTS), axis=1, bitorder="little").view(np.uint64)
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -91,6 +95,11 @@ def classes(counts: np.ndarray) -> np.ndarray:
     return np.minimum(255, np.floor(8 * np.log2(1.0 + counts))).astype(np.uint8)
 
 
+def is_frequent(e: np.ndarray, klass: np.ndarray, hot: int) -> np.ndarray:
+    """Elements beyond ``hot`` by class, so that they are the last ones in the corpus-wide order."""
+    return klass[(e >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] >= classes(np.array([hot + 1]))[0]
+
+
 def ordered(e: np.ndarray, offsets: np.ndarray, klass: np.ndarray) -> np.ndarray:
     """Index that puts each row's elements in the corpus-wide order, rows of a chunk one after another."""
     rows = np.repeat(np.arange(len(offsets) - 1, dtype=np.uint64), np.diff(offsets))
@@ -118,7 +127,7 @@ def cells(e: np.ndarray, offsets: np.ndarray, counts: np.ndarray, klass: np.ndar
     pos = np.arange(len(e)) - offsets[:-1][rows]
     least = np.ceil(t / (2 - t) * m - 1e-9).astype(np.int64)  # elements shared with the smallest partner
     seg = (e >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-    is_hot = klass[seg] >= classes(np.array([hot + 1]))[0]  # by class, so that hot elements come last
+    is_hot = is_frequent(e, klass, hot)
     near = (size - pos >= least[rows]) & (counts[seg] > 1)
     enough = short(t)
     one = np.flatnonzero(near & (~is_hot | (size * t <= enough * (2 - t))))
@@ -133,7 +142,7 @@ def cells(e: np.ndarray, offsets: np.ndarray, counts: np.ndarray, klass: np.ndar
 
 BLOB = pa.schema([("bucket", pa.int32()), ("texts", pa.binary()), ("cells", pa.binary())])
 BLOB_DDL = "bucket int, texts binary, cells binary"
-TEXT = np.dtype([("id", "<u8"), ("m", "<u4"), ("role", "u1"), ("v", "<u8", (SEGMENTS // 32,))])
+TEXT = np.dtype([("id", "<u8"), ("m", "<u4"), ("role", "u1"), ("rare", "<u2"), ("v", "<u8", (SEGMENTS // 32,))])
 CELL = np.dtype([("low", "<u4"), ("high", "u1"), ("row", "<u2"), ("at", "<u4")])
 CELL_NARROW = np.dtype([("low", "<u4"), ("high", "u1"), ("row", "<u2"), ("at", "<u2")])
 
@@ -195,20 +204,26 @@ def pairs(texts: np.ndarray, key: np.ndarray, text: np.ndarray, place: np.ndarra
     """Range join inside the cells: pairs the lengths, the positions and the embeddings leave standing.
 
     An entry of m elements that meets at place i can share m - i elements, or as many neighbours less one, and reaches
-    partners up to the length 2 (m - i) / t - m, or (m - i) / (1.5 t - 1) - m.  A pair stands if each reaches the other, the smaller one therefore beyond its own length; these
-    are laid out by cell, class of reach and length, and every entry looks through one interval of each class.
+    partners up to the length 2 (m - i) / t - m, or (m - i) / (1.5 t - 1) - m; where neighbours are the first to be shared, its r rare elements
+    aren't, and the length is 2 (m - r) / t - m at most.  A pair stands if each reaches the other, the smaller one therefore beyond its own length; these
+    are laid out by cell, class of reach and length, and every entry looks through one interval of each class.  Of the
+    (1 - t)(m + n) elements that may differ each entry brings its share, less the rare ones before the place, which do.
     """
-    m = texts["m"].astype(np.int64)
+    m, rare = texts["m"].astype(np.int64), texts["rare"].astype(np.int64)
     role, v = np.ascontiguousarray(texts["role"]), np.ascontiguousarray(texts["v"])
     most = (1 << 22) - 1  # beyond four million words one interval holds all lengths
-    length = m[text]
+    length, before = m[text], np.minimum(place, rare[text])
     two = (key & np.uint64(1)) == 1  # bit PAIR of the whole key
-    reach = np.floor(np.minimum((length - place) / np.where(two, max(1.5 * t - 1, 1e-9), t / 2), length * 2 / t) - length + 1e-9).astype(np.int64)
+    shared = np.where(two, np.minimum((length - place) / max(1.5 * t - 1, 1e-9), (length - before) / (t / 2)), (length - place) / (t / 2))
+    reach = np.floor(np.minimum(shared, length * 2 / t) - length + 1e-9).astype(np.int64)
+    left = ((1 - t) * (1 + 1e-6) * length + 0.01 - before).astype(np.float32)  # rounded up
+    first = v[:, 0][text]
     small = np.flatnonzero(reach >= length)
     kind = np.searchsorted(REACH, reach[small] / length[small], "right").astype(np.uint64)
     code = (key[small] << np.uint64(24)) | (kind << np.uint64(22)) | np.minimum(length[small], most).astype(np.uint64)
     order = np.argsort(code)
     code, small = code[order], small[order]
+    first_small, left_small = first[small], left[small]
     high = np.minimum(length, reach)
     for k, bound in enumerate(REACH):
         low = np.ceil(length * np.maximum(t / (2 - t), 1 / bound) - 1e-9).astype(np.int64)
@@ -219,24 +234,29 @@ def pairs(texts: np.ndarray, key: np.ndarray, text: np.ndarray, place: np.ndarra
         some = end > begin
         large, begin, times = large[some], begin[some], (end - begin)[some]
         total = np.cumsum(times)
+        first_large, left_large = first[large], left[large]
         done = 0
         while done < len(times):
-            before = total[done - 1] if done else 0
-            stop = max(done + 1, int(np.searchsorted(total, before + PAIRS, "right")))
+            gone = total[done - 1] if done else 0
+            stop = max(done + 1, int(np.searchsorted(total, gone + STEP, "right")))
             count = times[done:stop]
-            a = np.repeat(large[done:stop], count)
-            b = small[np.arange(total[stop - 1] - before) + np.repeat(begin[done:stop] - total[done:stop] + count + before, count)]
+            at = np.arange(total[stop - 1] - gone) + np.repeat(begin[done:stop] - total[done:stop] + count + gone, count)
+            far = np.bitwise_count(np.repeat(first_large[done:stop], count) ^ first_small[at])
+            ok = np.flatnonzero(far <= np.repeat(left_large[done:stop], count) + left_small[at])
+            a, b = large[done + np.searchsorted(total[done:stop] - gone, ok, "right")], small[at[ok]]
+            done = stop
             i, j, p, q = place[a], place[b], length[a], length[b]
             ok = (reach[b] >= p) & (np.abs(i - j) + np.abs((p - i) - (q - j)) <= (1 - t) * (p + q) + 1e-9)
-            x, y = text[a[ok]], text[b[ok]]
-            ok = x != y
+            x, y = text[a], text[b]
+            ok &= x != y
             if crossing:
                 ok &= (role[x] | role[y]) == 3
-            x, y = x[ok], y[ok]
+            x, y, least = x[ok], y[ok], left[a[ok]] + left[b[ok]]
             if len(x):
-                near = distance(v[x], v[y]) <= (1 - t) * (m[x] + m[y]) + 1e-9
-                yield x[near], y[near]
-            done = stop
+                apart = np.bitwise_count(v[x] ^ v[y])
+                near = (apart[:, : SEGMENTS // 64].sum(1, dtype=np.int32) <= least) & (apart.sum(1, dtype=np.int32) <= (1 - t) * (m[x] + m[y]) + 1e-9)
+                if near.any():
+                    yield x[near], y[near]
 
 
 def bucket_count(texts: int, parallelism: int) -> int:

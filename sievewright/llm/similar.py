@@ -143,7 +143,9 @@ def find(texts: DataFrame, threshold: float = 0.8, evaluation_ids: DataFrame | N
                 key, at, place = packed.cells(e, offsets, counts, klass, t, hot)
                 if len(key):
                     x = np.zeros(len(m), packed.TEXT)
-                    x["id"], x["m"], x["role"], x["v"] = lo[new], m, role[new], packed.embed(e, rows, len(m))
+                    frequent = packed.is_frequent(e, klass, hot)
+                    x["id"], x["m"], x["role"], x["v"] = lo[new], m, role[new], packed.embed(e, rows, len(m), frequent)
+                    x["rare"] = np.minimum(np.bincount(rows[~frequent], minlength=len(m)), (1 << 16) - 1)
                     yield packed.pack(key, at, place, x, buckets)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

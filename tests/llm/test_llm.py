@@ -107,6 +107,31 @@ def test_long_texts_of_frequent_words_enter_few_cells(spark):
         assert (np.bincount(row, minlength=len(rows)) <= np.diff(o)).all()
 
 
+def test_texts_of_the_same_frequent_words_are_refuted_by_what_rare_ones_use_up():
+    rng = np.random.default_rng(8)
+    base, texts = [f"w{k}" for k in range(104)], []
+    for k in range(120):  # 104 frequent words and 26 of their own: as many as may differ, so alike only if all frequent ones are the same
+        t = list(base)
+        for at in rng.choice(104, 3 * (k % 4 > 0), replace=False):
+            t[at] = f"v{rng.integers(60)}"
+        texts.append(" ".join(t + [f"own{k}x{i}" for i in range(26)]))
+    e, o = (lambda h, o: (elements(h, o), o))(*words(pa.array(texts)))
+    counts, m = packed.segment_counts(e), np.diff(o)
+    klass, rows = packed.classes(counts), np.repeat(np.arange(len(m)), m)
+    alike = {(i, j) for i in range(120) for j in range(i) if len(np.intersect1d(e[o[i] : o[i + 1]], e[o[j] : o[j + 1]])) >= 104}
+    assert len(alike) >= 30 * 29 / 2
+    for hot in (20, 50):
+        frequent = packed.is_frequent(e, klass, hot)
+        x = np.zeros(len(m), packed.TEXT)
+        x["id"], x["m"], x["role"], x["v"] = np.arange(len(m)), m, 3, packed.embed(e, rows, len(m), frequent)
+        x["rare"] = np.bincount(rows[~frequent], minlength=len(m))
+        key, text, place = packed.cells(e, o, counts, klass, 0.8, hot)
+        order = np.lexsort((text, key >> np.uint64(24)))
+        got = packed.pairs(x, key[order] >> np.uint64(24), text[order], place[order], 0.8, False)
+        met = {(max(i, j), min(i, j)) for a, b in got for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+        assert alike <= met and len(met) <= 1.1 * len(alike)
+
+
 @pytest.mark.parametrize("role_ids", [0, similar.ROLE_IDS])
 def test_crossing_pairs_and_empty_tables(spark, role_ids):
     rows = corpus(1)
