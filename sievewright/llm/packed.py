@@ -52,6 +52,8 @@ SKETCH_BLOCK = 1 << 12
 SEGMENTS = 128
 #: Texts handled at once; their row number needs 14 bits.
 CHUNK = 1 << 12
+#: Share of all words that are in the rare half of the embedding; somewhat fewer may differ.
+RARE = 0.3
 #: Pairs handed on at once, and looked at at once.
 PAIRS = 1 << 20
 STEP = 1 << 16
@@ -95,9 +97,15 @@ def classes(counts: np.ndarray) -> np.ndarray:
     return np.minimum(255, np.floor(8 * np.log2(1.0 + counts))).astype(np.uint8)
 
 
-def is_frequent(e: np.ndarray, klass: np.ndarray, hot: int) -> np.ndarray:
-    """Elements beyond ``hot`` by class, so that they are the last ones in the corpus-wide order."""
-    return klass[(e >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] >= classes(np.array([hot + 1]))[0]
+def is_frequent(e: np.ndarray, klass: np.ndarray, least: int) -> np.ndarray:
+    """Elements from a class on, so that they are the last ones in the corpus-wide order."""
+    return klass[(e >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] >= least
+
+
+def halves(counts: np.ndarray, klass: np.ndarray, hot: int) -> int:
+    """The class from which on elements are in the frequent half of the embedding: RARE of all words are below, none of the hot ones."""
+    mass = np.cumsum(np.bincount(klass, counts, 256))
+    return min(int(classes(np.array([hot + 1]))[0]), int(np.searchsorted(mass, RARE * mass[-1], "right")))
 
 
 def ordered(e: np.ndarray, offsets: np.ndarray, klass: np.ndarray) -> np.ndarray:
@@ -127,7 +135,7 @@ def cells(e: np.ndarray, offsets: np.ndarray, counts: np.ndarray, klass: np.ndar
     pos = np.arange(len(e)) - offsets[:-1][rows]
     least = np.ceil(t / (2 - t) * m - 1e-9).astype(np.int64)  # elements shared with the smallest partner
     seg = (e >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-    is_hot = is_frequent(e, klass, hot)
+    is_hot = is_frequent(e, klass, classes(np.array([hot + 1]))[0])
     near = (size - pos >= least[rows]) & (counts[seg] > 1)
     enough = short(t)
     one = np.flatnonzero(near & (~is_hot | (size * t <= enough * (2 - t))))

@@ -120,6 +120,7 @@ def find(texts: DataFrame, threshold: float = 0.8, evaluation_ids: DataFrame | N
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         klass = packed.classes(counts)
+        least = packed.halves(counts, klass, hot)
         recent = np.zeros((3, _RECENT), np.uint64)  # last bag of each slot, by role
         for batch in batches:
             for part, e, offsets in _chunks(batch):
@@ -143,7 +144,7 @@ def find(texts: DataFrame, threshold: float = 0.8, evaluation_ids: DataFrame | N
                 key, at, place = packed.cells(e, offsets, counts, klass, t, hot)
                 if len(key):
                     x = np.zeros(len(m), packed.TEXT)
-                    frequent = packed.is_frequent(e, klass, hot)
+                    frequent = packed.is_frequent(e, klass, least)
                     x["id"], x["m"], x["role"], x["v"] = lo[new], m, role[new], packed.embed(e, rows, len(m), frequent)
                     x["rare"] = np.minimum(np.bincount(rows[~frequent], minlength=len(m)), (1 << 16) - 1)
                     yield packed.pack(key, at, place, x, buckets)

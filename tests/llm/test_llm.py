@@ -121,7 +121,7 @@ def test_texts_of_the_same_frequent_words_are_refuted_by_what_rare_ones_use_up()
     alike = {(i, j) for i in range(120) for j in range(i) if len(np.intersect1d(e[o[i] : o[i + 1]], e[o[j] : o[j + 1]])) >= 104}
     assert len(alike) >= 30 * 29 / 2
     for hot in (20, 50):
-        frequent = packed.is_frequent(e, klass, hot)
+        frequent = packed.is_frequent(e, klass, packed.halves(counts, klass, hot))
         x = np.zeros(len(m), packed.TEXT)
         x["id"], x["m"], x["role"], x["v"] = np.arange(len(m)), m, 3, packed.embed(e, rows, len(m), frequent)
         x["rare"] = np.bincount(rows[~frequent], minlength=len(m))
